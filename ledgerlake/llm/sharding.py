@@ -17,7 +17,7 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(F.xxhash64(F.lit(seed), key, s).alias("h"), s.alias("s")))).s
 
 
-def fisher_yates(n: int, seed: int) -> np.ndarray:
+def fisher_yates(n: int, seed: int | list[int]) -> np.ndarray:
     """A permutation of range(n)."""
     order = np.arange(n)
     draws = np.random.default_rng(seed).random(n)
@@ -44,19 +44,18 @@ def external_shuffle(docs: DataFrame, shards: int = 40, bucket_bytes: int = 32 <
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
     scattered = placed.join(F.broadcast(cut), "shard").withColumn("_order", order).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 2), "_order"), F.col("_buckets"))).drop("_buckets")
     counts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
-    begins = counts.select("shard", "bucket", (F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("begin"))
+    begins = counts.select(F.col("shard").alias("_shard"), F.col("bucket").alias("_bucket"), (F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("begin"))
     grown = scattered.withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1, seed))
     schema = T.StructType([*grown.schema.fields, T.StructField("slot", T.LongType())])
     names = [f.name for f in schema.fields]
 
     def shuffle(key: tuple, rows: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
         rows = rows.iloc[np.lexsort((rows["_order"].to_numpy(),))]
-        rows = rows.iloc[fisher_yates(len(rows), hash((seed, int(key[0]), int(key[1]))) & (2**63 - 1))]
+        rows = rows.iloc[fisher_yates(len(rows), [seed, int(key[0]), int(key[1])])]
         rows["slot"] = np.arange(len(rows), dtype=np.int64) + int(begin["begin"].iloc[0])
         return rows[names]
 
-    keys = ("shard", "bucket")
-    return grown.groupBy(*keys).cogroup(begins.groupBy(*keys)).applyInPandas(shuffle, schema).drop("_order")
+    return grown.groupBy("shard", "bucket").cogroup(begins.groupBy("_shard", "_bucket")).applyInPandas(shuffle, schema).drop("_order")
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
