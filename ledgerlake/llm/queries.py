@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_formatting
 from .mixing import OP10_SQL, op10_mixing
+from .packing import op9_packing
+from .quality import op2_quality_classifier
 from .sharding import op5_sharding
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op7_chat_formatting, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_toxicity, op5_sharding, op7_chat_formatting, op9_packing, op10_mixing)}
 SQL = {"op7_chat_formatting": OP7_SQL, "op10_mixing": OP10_SQL}
