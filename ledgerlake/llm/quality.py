@@ -19,7 +19,7 @@ BODY = ORDER * SYMBOL
 #: A share of the trusted texts is held out of the counts and sets the thresholds.
 HELD_OUT_OF_10 = 2
 #: A threshold is this quantile of the held-out perplexities of a language, times the slack.
-QUANTILE, SLACK = 0.99, 1.15
+QUANTILE, SLACK = 0.99, 1.3
 #: A text counts as if it had so many more symbols of its language's mean surprise, so short texts are not judged on little.
 PRIOR = 40
 #: Above so many trusted ids a shuffle join takes the place of the broadcast.

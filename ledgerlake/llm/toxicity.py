@@ -18,6 +18,8 @@ FIT_ROWS = 8000
 #: Features live in 2**BITS hashed places; a word gives itself and its first 4, 5 and 6 bytes.
 BITS, PREFIXES = 20, (4, 5, 6)
 GRADES = 4
+#: A text is called toxic from this probability of a grade above 0 on.
+TOXIC_FROM = 0.3
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +65,16 @@ def counted(place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key & ((1 << BITS) - 1), key >> BITS, n
 
 
-def severity(toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Labels say only whether a text is toxic; toxic texts get grades 1, 2, 3 by thirds of the share of their words that are telling."""
+def severity(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Labels say only whether a text is toxic; toxic texts get grades 1, 2, 3 by thirds of their number of telling features."""
     grade = np.zeros(len(toxic), np.int64)
     bad = toxic > 0
     if bad.any():
-        grade[bad] = 1 + np.searchsorted(np.quantile(share[bad], [1 / 3, 2 / 3]), share[bad])
+        grade[bad] = 1 + np.searchsorted(np.quantile(hits[bad], [1 / 3, 2 / 3]), hits[bad])
     return grade
 
 
-def fit(places: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, rounds: int = 300, decay: float = 1e-3, z_least: float = 5.0, most: int = 2048) -> Ordinal:
+def fit(places: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, rounds: int = 1000, decay: float = 2e-5, z_least: float = 5.0, most: int = 2048) -> Ordinal:
     """Fit by accelerated gradient steps on the features that are more frequent in toxic texts than chance allows."""
     n, bad = len(places), toxic > 0
     if not n or not bad.any() or bad.all():
@@ -88,12 +90,17 @@ def fit(places: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, t
     at[good] = np.arange(len(good))
     hit = at[col] >= 0
     n_hit = np.bincount(row[hit], np.concatenate(counts)[hit], minlength=n)
-    grade = severity(toxic, n_hit / np.maximum(words, 1))
+    grade = severity(toxic, n_hit)
     x = np.zeros((n, len(good)), np.float32)
-    x[row[hit], at[col[hit]]] = np.log1p(np.concatenate(counts)[hit])
+    x[row[hit], at[col[hit]]] = 1 + np.log(np.concatenate(counts)[hit])
     w, t = np.zeros(len(good)), np.array([1.0, 2.0, 3.0])
     w_at, t_at, speed = w.copy(), t.copy(), 1.0
-    step = 4.0 / (np.linalg.norm(x, axis=1).max() ** 2 + 1) * 8
+    v = np.ones(len(good)) / max(len(good), 1)
+    for _ in range(20):  # the largest curvature, by power iteration
+        v = x.T @ (x @ v) / n
+        curve = float(np.linalg.norm(v)) or 1.0
+        v = v / curve
+    step = 1 / (0.5 * max(curve if len(good) else 1.0, 0.05) + decay)
     for _ in range(rounds):
         score = x @ w_at
         # logits of the two borders of each row's grade; outside borders are infinite
@@ -105,7 +112,7 @@ def fit(places: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, t
         d_hi, d_lo = s_hi * (1 - s_hi) / prob, s_lo * (1 - s_lo) / prob
         g_w = x.T @ ((d_hi - d_lo) / n).astype(np.float32) + decay * w_at
         g_t = np.array([(-d_hi[grade == k].sum() + d_lo[grade == k + 1].sum()) / n for k in range(GRADES - 1)])
-        w_new, t_new = w_at - step * g_w, np.maximum.accumulate(t_at - step * g_t + np.arange(GRADES - 1) * 1e-6)
+        w_new, t_new = w_at - step * g_w, np.maximum.accumulate(t_at - min(step, 2.0) * g_t + np.arange(GRADES - 1) * 1e-6)
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         w_at, t_at = w_new + (speed - 1) / faster * (w_new - w), np.maximum.accumulate(t_new + (speed - 1) / faster * (t_new - t))
         w, t, speed = w_new, t_new, faster
@@ -121,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = flat(pc.utf8_lower(b.column("text")))
-            ps, cs, ws = [], [], []
+            ps, cs = [], []
             for lo, hi in pieces(off):
                 place, text = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 col, row, n = counted(place, text)
@@ -129,15 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
                 for i in range(hi - lo):
                     ps.append(col[edge[i] : edge[i + 1]].astype("<u4").tobytes())
                     cs.append(n[edge[i] : edge[i + 1]].astype("<u4").tobytes())
-                    ws.append(int(n[edge[i] : edge[i + 1]].sum()))
-            yield pa.record_batch([pa.array(ps, pa.binary()), pa.array(cs, pa.binary()), pa.array(ws, pa.int64()), b.column("toxic").cast(pa.int32()), b.column("doc_id").cast(pa.int64())], ["p", "c", "w", "toxic", "doc_id"])
+            yield pa.record_batch([pa.array(ps, pa.binary()), pa.array(cs, pa.binary()), b.column("toxic").cast(pa.int32()), b.column("doc_id").cast(pa.int64())], ["p", "c", "toxic", "doc_id"])
 
-    got = sorted(rows_in.mapInArrow(gather, "p binary, c binary, w long, toxic int, doc_id long").limit(2 * rows).collect(), key=lambda r: (r.doc_id, bytes(r.p)))
-    return fit([np.frombuffer(r.p, "<u4").astype(np.int64) for r in got], [np.frombuffer(r.c, "<u4") for r in got], np.array([r.w for r in got]), np.array([r.toxic for r in got]))
+    got = sorted(rows_in.mapInArrow(gather, "p binary, c binary, toxic int, doc_id long").limit(2 * rows).collect(), key=lambda r: (r.doc_id, bytes(r.p)))
+    return fit([np.frombuffer(r.p, "<u4").astype(np.int64) for r in got], [np.frombuffer(r.c, "<u4") for r in got], np.array([r.toxic for r in got]))
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """docs(doc_id, text) as doc_id, expected_severity (0 to 3), severity (the median grade) and toxic (P(grade > 0) >= 1/2).
+    """docs(doc_id, text) as doc_id, expected_severity (0 to 3), severity (the median grade) and toxic (P(grade > 0) >= TOXIC_FROM).
 
     Null and empty texts have no features and so the grade of an empty score; ids may be null or repeat; other columns
     are ignored; an empty table gives no rows. The model's table has 2**BITS places whatever the data.
@@ -153,10 +159,10 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
                 place, text = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 hit = table[place] != 0
                 col, row, n = counted(place[hit], text[hit])
-                score[lo:hi] = np.bincount(row, table[col] * np.log1p(n), minlength=hi - lo)
+                score[lo:hi] = np.bincount(row, table[col] * (1 + np.log(n)), minlength=hi - lo)
             p = own.grades(score)
             upto = np.cumsum(p, axis=1)
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(p @ np.arange(p.shape[1])), pa.array((upto < 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] <= 0.5)], ["doc_id", "expected_severity", "severity", "toxic"])
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(p @ np.arange(p.shape[1])), pa.array((upto < 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] <= 1 - TOXIC_FROM)], ["doc_id", "expected_severity", "severity", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rate, "doc_id long, expected_severity double, severity int, toxic boolean")
 
