@@ -7,8 +7,9 @@ from .mixing import OP10_SQL, op10_mixing
 from .neardup import op1_minhash_near_dedup
 from .packing import op9_packing
 from .quality import op2_quality_classifier
+from .repeats import op3_suffix_array_dedup
 from .sharding import op5_sharding
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op4_toxicity, op5_sharding, op7_chat_formatting, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_suffix_array_dedup, op4_toxicity, op5_sharding, op7_chat_formatting, op9_packing, op10_mixing)}
 SQL = {"op7_chat_formatting": OP7_SQL, "op10_mixing": OP10_SQL}
