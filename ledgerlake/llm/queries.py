@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_formatting
+from .embeddup import op6_embedding_near_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .neardup import op1_minhash_near_dedup
 from .packing import op9_packing
 from .quality import op2_quality_classifier
 from .repeats import op3_suffix_array_dedup
 from .sharding import op5_sharding
+from .topk import OP8_SQL, op8_exact_top_k
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_suffix_array_dedup, op4_toxicity, op5_sharding, op7_chat_formatting, op9_packing, op10_mixing)}
-SQL = {"op7_chat_formatting": OP7_SQL, "op10_mixing": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_suffix_array_dedup, op4_toxicity, op5_sharding, op6_embedding_near_dedup, op7_chat_formatting, op8_exact_top_k, op9_packing, op10_mixing)}
+SQL = {"op7_chat_formatting": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op10_mixing": OP10_SQL}
