@@ -9,7 +9,7 @@ import unicodedata
 import numpy as np
 
 #: Words kept; beyond it the cache starts anew, which changes the time and nothing else.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 350_000
 #: New words go to the tokenizer so many at a time, as one text with spaces between.
 AT_ONCE = 2000
 _LOW = [chr(i) for i in range(0x300)]
