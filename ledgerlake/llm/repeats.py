@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import settle
+from ._dist import discard, settle
 from ._text import flat, pieces, prefix, span_hash
 from .suffix import common_prefixes, suffix_array
 
@@ -149,9 +149,10 @@ def hashed_repeats(parts: DataFrame, length: int) -> DataFrame:
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, most: int = FRAGMENTS) -> DataFrame:
     """(raw, at, until): for each text, named by its hash, the byte places at which repeated strings start."""
-    rows = fragments(docs, length, gram)
+    rows = settle(fragments(docs, length, gram))
     often = settle(rows.groupBy("g").agg(F.count("*").alias("n_g"), (F.min("f") != F.max("f")).alias("mixed")).where("n_g > 1"))
     known = settle(rows.join(often, "g").select("raw", "at", "more", "g", "f", "mixed"))
+    discard(rows)
     same = known.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(F.struct("raw", "at", "more")).alias("one"), F.first("mixed").alias("mixed"))
     same = settle(same.select("g", "f", "n", "one.*", "mixed"))
     whole = known.join(same.where("n > 1").select("g", "f"), ["g", "f"]).select("raw", "at", (F.col("at") + F.col("more") + 1).alias("until"))
