@@ -17,7 +17,7 @@ def registry_facts(payload: Column) -> Column:
     p = F.from_json(payload, SUBMISSION)
     b = p.addresses.business
     public = (F.coalesce(F.size(p.tickers), F.lit(0)) > 0) | (F.coalesce(F.size(F.filter(p.exchanges, lambda x: x.isNotNull())), F.lit(0)) > 0)
-    return F.struct(p.name.alias("legal_name"), phone(p.phone).alias("phone"), ein(p.ein).alias("ein"), F.nullif(p.website, F.lit("")).alias("website"), p.sic.alias("sic"), public.alias("is_public"), b.street1.alias("street1"), b.city.alias("city"), b.stateOrCountry.alias("state"), F.transform(p.formerNames, lambda f: f["name"]).alias("former_names"))
+    return F.struct(p["name"].alias("legal_name"), phone(p.phone).alias("phone"), ein(p.ein).alias("ein"), F.nullif(p.website, F.lit("")).alias("website"), p.sic.alias("sic"), public.alias("is_public"), b.street1.alias("street1"), b.city.alias("city"), b.stateOrCountry.alias("state"), F.transform(p.formerNames, lambda f: f["name"]).alias("former_names"))
 
 
 def nested_address(details: Column) -> Column:

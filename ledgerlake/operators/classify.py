@@ -83,7 +83,7 @@ def sector_match(sectors: list[str]) -> Column:
     """Whether a record invests in, or speaks of, one of the sectors. (CLS-06)"""
     out = F.lit(False)
     for s in (x.lower() for x in sectors):
-        own = F.exists("investing_sectors", lambda v, s=s: F.lower(v) == s)
+        own = F.array_contains(F.transform("investing_sectors", F.lower), s)
         out = out | F.coalesce(own, F.lit(False)) | F.coalesce(F.contains(F.lower("investment_thesis"), F.lit(s)), F.lit(False)) | F.coalesce(F.contains(F.lower("description"), F.lit(s)), F.lit(False))
     return out
 

@@ -10,9 +10,6 @@ from ..schemas import DISCOVERY_ONLY, INTELLIGENCE_FIELDS, MFO, REQUIRED_FIELDS,
 from .filters import filled
 from .records import delivery, independence_warnings, is_verified, provenance_violations
 
-NO_CHECKS = "array<struct<name:string,passed:boolean,detail:string>>"
-
-
 def _check(name: str, passed: Column, good: Column | str, bad: Column | str) -> Column:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(F.lit(name).alias("name"), passed.alias("passed"), F.when(passed, lit(good)).otherwise(lit(bad)).alias("detail"))
@@ -35,7 +32,7 @@ def evaluate(records: DataFrame, audit: DataFrame | None = None) -> DataFrame:
     evidence, typed = filled(F.col("fo_type_evidence")), F.col("fo_type").isin(SFO, MFO)
     authoritative = F.size(F.filter("verification_sources", lambda s: ~s.source_class.isin(*DISCOVERY_ONLY)))
     authoritative = F.when(F.col("verification_sources").isNull(), 0).otherwise(authoritative)
-    misused = F.coalesce(F.filter("verification_sources", lambda s: s.source_class.isin(*DISCOVERY_ONLY)), F.array().cast("array<struct<source_class:string>>"))
+    misused = F.coalesce(F.filter(F.transform("verification_sources", lambda s: s.source_class), lambda c: c.isin(*DISCOVERY_ONLY)), F.array().cast("array<string>"))
     warnings, violations = independence_warnings(), provenance_violations()
     any_of = lambda *cs: F.coalesce(F.greatest(*[filled(F.col(c)).cast("int") for c in cs]) == 1, F.lit(False))
     place = any_of("hq_country", "hq_state", "hq_city")
@@ -47,13 +44,13 @@ def evaluate(records: DataFrame, audit: DataFrame | None = None) -> DataFrame:
         _check("classification_evidence", ~typed | evidence, "typed FO carries evidence", F.concat(F.lit("typed "), F.col("fo_type"), F.lit(" without classification evidence"))),
         _check("discovery_documented", F.col("discovery_source").isNotNull(), F.col("discovery_source"), "missing"),
         _check("verification_documented", authoritative >= 1, F.concat(authoritative.cast("string"), F.lit(" authoritative verification source(s)")), "0 authoritative verification source(s)"),
-        _check("verification_authoritative", F.size(misused) == 0, "ok", F.concat(F.lit("discovery-only source used to verify: "), F.array_join(F.transform(misused, lambda s: s.source_class), ", "))),
+        _check("verification_authoritative", F.size(misused) == 0, "ok", F.concat(F.lit("discovery-only source used to verify: "), F.array_join(misused, ", "))),
         _check("no_contradictions", F.size(warnings) == 0, "none", F.array_join(warnings, "; ")),
         _check("mandatory_fields_complete", F.size(missing) == 0, "complete", F.concat(F.lit("missing: "), F.array_join(missing, ", "))),
         _check("provenance_complete", F.size(violations) == 0, "complete", F.array_join(F.transform(violations, lambda v: F.concat(v.field, F.lit(":"), v.reason)), "; ")),
         _check("no_rejected_values_shipped", F.size(lost) == 0, "ok", F.concat(F.lit("rejected value in delivered field: "), F.array_join(lost, ", "))),
     )
-    return records.withColumn("checks", checks).withColumn("passed", F.forall("checks", lambda c: c.passed)).drop("leaked")
+    return records.withColumn("checks", checks).withColumn("passed", F.forall("checks", lambda c: c["passed"])).drop("leaked")
 
 
 def publish(records: DataFrame, audit: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -98,8 +98,9 @@ SHORT_LABELS = {"SEC_EDGAR": "SEC 13F/SC filing", "SEC_IAPD": "SEC Form ADV regi
 def principal_role(sources: Column) -> Column:
     """The role that a record's best source supports. (PRJ-09)"""
     out = F.lit("named person (source not recorded)")
+    classes = F.coalesce(F.transform(sources, lambda s: s.source_class), F.array().cast("array<string>"))
     for key, label in reversed(ROLES):
-        out = F.when(F.exists(F.coalesce(sources, F.array().cast("array<struct<source_class:string>>")), lambda s, k=key: s.source_class == SOURCE_CLASSES[k]), label).otherwise(out)
+        out = F.when(F.array_contains(classes, SOURCE_CLASSES[key]), label).otherwise(out)
     return out
 
 

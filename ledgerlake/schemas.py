@@ -48,25 +48,30 @@ INTELLIGENCE_FIELDS = (
     "principal_phone", "principal_email", "principal_linkedin", "corporate_linkedin", "signals", "firm_contact_email",
 )
 
-PROVENANCE = T.StructType.fromDDL(
-    "source_class string, method string, checked_at date, source_url string, confidence string, note string, fetched_at date, content_hash string, snapshot_path string"
-)
-SIGNAL = "struct<text:string,source_class:string,event_date:date,source_url:string,confidence:string>"
-SOURCE_REF = "struct<source_class:string,verifies:string,accessed_at:date,url:string>"
-RECORD = T.StructType.fromDDL(f"""
-    fo_id string, name string, fo_type string, fo_type_evidence string, fo_type_confidence string, description string,
-    investment_thesis string, investing_sectors array<string>, estimated_aum string, website string, corporate_linkedin string,
-    hq_city string, hq_state string, hq_country string, hq_phone string, principal_name string, principal_title string,
-    principal_linkedin string, principal_email string, principal_email_status string, principal_phone string,
-    firm_contact_email string, firm_contact_email_status string, signals array<{SIGNAL}>, discovery_source string,
-    verification_sources array<{SOURCE_REF}>, reviewer_notes string, record_confidence string, data_as_of date,
-    could_not_verify array<string>, provenance map<string,{PROVENANCE.simpleString()}>""")
-CANDIDATE = T.StructType.fromDDL(
-    "ordinal long, name string, source_class string, source_url string, discovered_at date, dedup_key string, "
-    "identifiers map<string,string>, discovery_sources array<string>, raw map<string,string>, hints map<string,string>"
-)
-AUDIT = T.StructType.fromDDL("fo_id string, field string, rejected_value string, reason string, source_class string, checked_at date")
-LABEL = T.StructType.fromDDL("firm_name string, is_family_office boolean, true_type string, note string")
+_S, _D, _B = T.StringType(), T.DateType(), T.BooleanType()
+
+
+def _fields(names: str, **others: T.DataType) -> T.StructType:
+    """Columns in order, text where others does not say otherwise."""
+    return T.StructType([T.StructField(n, others.get(n, _S)) for n in names.split()])
+
+
+PROVENANCE = _fields("source_class method checked_at source_url confidence note fetched_at content_hash snapshot_path", checked_at=_D, fetched_at=_D)
+SIGNAL = _fields("text source_class event_date source_url confidence", event_date=_D)
+SOURCE_REF = _fields("source_class verifies accessed_at url", accessed_at=_D)
+RECORD = _fields(
+    "fo_id name fo_type fo_type_evidence fo_type_confidence description investment_thesis investing_sectors estimated_aum website corporate_linkedin "
+    "hq_city hq_state hq_country hq_phone principal_name principal_title principal_linkedin principal_email principal_email_status principal_phone "
+    "firm_contact_email firm_contact_email_status signals discovery_source verification_sources reviewer_notes record_confidence data_as_of could_not_verify provenance",
+    investing_sectors=T.ArrayType(_S), signals=T.ArrayType(SIGNAL), verification_sources=T.ArrayType(SOURCE_REF), data_as_of=_D, could_not_verify=T.ArrayType(_S), provenance=T.MapType(_S, PROVENANCE),
+)
+_M = T.MapType(_S, _S)
+CANDIDATE = _fields(
+    "ordinal name source_class source_url discovered_at dedup_key identifiers discovery_sources raw hints",
+    ordinal=T.LongType(), discovered_at=_D, identifiers=_M, discovery_sources=T.ArrayType(_S), raw=_M, hints=_M,
+)
+AUDIT = _fields("fo_id field rejected_value reason source_class checked_at", checked_at=_D)
+LABEL = _fields("firm_name is_family_office true_type note", is_family_office=_B)
 DELIVERY = T.StructType(
     [T.StructField(c, T.StringType()) for c in (
         *BASE_COLUMNS,
