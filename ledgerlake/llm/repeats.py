@@ -14,7 +14,7 @@ from ._text import flat, pieces, prefix, span_hash
 from .suffix import common_prefixes, suffix_array
 
 #: A string of LENGTH bytes that starts in two places is a repeat. Its anchor is the GRAM bytes in it of smallest hash.
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 #: A shard's suffix array is over about so many bytes.
 SHARD = 1 << 20
 #: An anchor with more different fragments is no shard: its strings are compared by their hashes, wherever they are.
@@ -23,7 +23,7 @@ _LOW = np.uint64((1 << 24) - 1)
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text number, first start, last start, anchor hash and fragment hash of every fragment.
+    """Text number, first start, last start, anchor, anchor hash and fragment hash of every fragment.
 
     Every string of length bytes has one anchor, the leftmost of its grams of smallest hash. The strings of a text that
     share an anchor start at neighbouring places; they and all their bytes are a fragment. Equal strings have equal
@@ -33,7 +33,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     none = np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(off) - length + 1, 0))
     if n < length or not len(owner):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     sums = prefix(data)
     at = np.arange(n - gram + 1)
     hashes = span_hash(sums, at, at + gram)
@@ -50,33 +50,46 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     change = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
     last = np.concatenate([change[1:] - 1, [len(start) - 1]])
     a, b = start[change], start[last]
-    return owner[change], a, b, hashes[anchor[change]].astype(np.int64), span_hash(sums, a, b + length).astype(np.int64)
+    return owner[change], a, b, anchor[change], hashes[anchor[change]].astype(np.int64), span_hash(sums, a, b + length).astype(np.int64)
 
 
 def fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(raw, at, more, g, f) for every fragment of docs(text): it begins at byte at and has more + length bytes."""
+    """(raw, at, more, lead, g, f) for every fragment of docs(text): more + length bytes from byte at on, lead of them before the anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = flat(b.column("text"))
             raw = b.column("raw").to_numpy()
             for lo, hi in pieces(off):
-                owner, start, stop, g, f = anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length, gram)
+                owner, start, stop, anchor, g, f = anchors(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length, gram)
                 begin = (off[lo : hi + 1] - off[lo])[owner]
-                yield pa.record_batch([pa.array(raw[lo:hi][owner]), pa.array((start - begin).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(g), pa.array(f)], ["raw", "at", "more", "g", "f"])
+                yield pa.record_batch([pa.array(raw[lo:hi][owner]), pa.array((start - begin).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array((anchor - start).astype(np.int32)), pa.array(g), pa.array(f)], ["raw", "at", "more", "lead", "g", "f"])
 
-    return docs.select(F.xxhash64("text").alias("raw"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(find, "raw long, at int, more int, g long, f long")
+    return docs.select(F.xxhash64("text").alias("raw"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(find, "raw long, at int, more int, lead int, g long, f long")
 
 
 def slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted(raw, at, more, g, f, n) with bytes, the fragment's bytes; from one text where several are equal."""
-    by_text = wanted.groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("at", "more", "g", "f", "n"))).alias("wanted"))  # as many as the text has fragments
+    """wanted(raw, at, more, lead, g, f, n) with bytes, the fragment's bytes; from one text where several are equal."""
+    by_text = wanted.groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("at", "more", "lead", "g", "f", "n"))).alias("wanted"))  # as many as the text has fragments
     texts = docs.select(F.xxhash64("text").alias("raw"), "text").join(by_text, "raw")
     cut = F.explode("wanted").alias("w")
     raw_bytes = F.encode("text", "UTF-8")
     return texts.select("raw", raw_bytes.alias("_bytes"), cut).select("raw", "w.*", F.substring(F.col("_bytes"), F.col("w.at") + 1, F.col("w.more") + F.lit(length)).alias("bytes")).dropDuplicates(["g", "f"])
 
 
+def promising(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Those parts that agree with another of their anchor on half of what a string has besides its anchor, on one side.
+
+    A string that two fragments share reaches that far from the anchor before it or behind it.
+    """
+    half = (length - gram) // 2
+    before = F.when(F.col("lead") >= half, F.xxhash64(F.lit(0), "g", F.substring(F.col("bytes"), F.col("lead") - half + 1, F.lit(half))))
+    behind = F.when(F.octet_length("bytes") - F.col("lead") - gram >= half, F.xxhash64(F.lit(1), "g", F.substring(F.col("bytes"), F.col("lead") + gram + 1, F.lit(half))))
+    sides = parts.select("g", "f", F.explode(F.array_compact(F.array(before, behind))).alias("side"))
+    shared = sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side")
+    return parts.join(sides.join(shared, "side").select("g", "f").distinct(), ["g", "f"])
+
+
 def _starts(parts: list[bytes], length: int) -> np.ndarray:
     """True for every byte, of all parts in a row with a byte between, at which a string begins that begins elsewhere too."""
     s = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8).astype(np.int64) + 1
@@ -151,13 +164,14 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     """(raw, at, until): for each text, named by its hash, the byte places at which repeated strings start."""
     rows = settle(fragments(docs, length, gram))
     often = settle(rows.groupBy("g").agg(F.count("*").alias("n_g"), (F.min("f") != F.max("f")).alias("mixed")).where("n_g > 1"))
-    known = settle(rows.join(often, "g").select("raw", "at", "more", "g", "f", "mixed"))
+    known = settle(rows.join(often, "g").select("raw", "at", "more", "lead", "g", "f", "mixed"))
     discard(rows)
-    same = known.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(F.struct("raw", "at", "more")).alias("one"), F.first("mixed").alias("mixed"))
+    same = known.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(F.struct("raw", "at", "more", "lead")).alias("one"), F.first("mixed").alias("mixed"))
     same = settle(same.select("g", "f", "n", "one.*", "mixed"))
     whole = known.join(same.where("n > 1").select("g", "f"), ["g", "f"]).select("raw", "at", (F.col("at") + F.col("more") + 1).alias("until"))
     doubtful = same.where("mixed").groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1")
-    parts = settle(slices(docs, same.where("mixed").join(doubtful.select("g"), "g").select("raw", "at", "more", "g", "f", "n"), length).join(doubtful.select("g", "kinds"), "g"))
+    parts = settle(slices(docs, same.where("mixed").join(doubtful.select("g"), "g").select("raw", "at", "more", "lead", "g", "f", "n"), length).join(doubtful.select("g", "kinds"), "g"))
+    parts = settle(promising(parts, length, gram))
     out = whole.union(shard_repeats(parts.where(F.col("kinds") <= most), length, shard))
     if doubtful.where(F.col("kinds") > most).limit(1).count():
         out = out.union(hashed_repeats(parts.where(F.col("kinds") > most), length))
