@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify, compute, gates, relations, resolve
+from ..operators.lineage import cut
 from ..sources import sinks
 
 LIMIT_ROWS, LIMIT_CHARS = 2000, 8 << 20
@@ -77,7 +78,7 @@ def refresh_trust(current: DataFrame, folder: str, version: str) -> DataFrame |
     spark = current.sparkSession
     now = classify.trust_snapshot(current)
     prior = sinks.read_current(spark, folder)
-    changes = classify.trust_changes(prior, now).checkpoint() if prior is not None else None
+    changes = cut(classify.trust_changes(prior, now)) if prior is not None else None
     sinks.write_version(now, folder, version)
     return changes
 

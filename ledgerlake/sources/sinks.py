@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from ..operators.maintain import upserted
 from ..operators.records import delivery, provenance_rows, source_rows
 from ..schemas import AUDIT, BASE_COLUMNS
@@ -61,7 +62,7 @@ def insert_new(rows: DataFrame, folder: str, key: str, order: str) -> int:
     fs, where = _fs(spark, folder)
     if fs.exists(where):
         first = first.join(spark.read.parquet(folder).select(key), key, "left_anti").select(*rows.columns)
-    first = first.checkpoint()
+    first = cut(first)
     first.write.mode("append").parquet(folder)
     return first.count()
 
