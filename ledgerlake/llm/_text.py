@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in pieces of about so many bytes, which bounds the memory of a Python worker.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: dict[str, np.ndarray] = {}
 

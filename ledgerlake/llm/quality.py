@@ -83,9 +83,9 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
                     found, times = np.unique(part, return_counts=True)
                     if len(found):
                         held.append((found, times.astype(np.int64) * weight))
-            if sum(len(k) for k, _ in held) > 2_000_000:
+            if sum(len(k) for k, _ in held) > 1_000_000:
                 held[:] = [merged()]
-                if len(held[0][0]) > 1_000_000:
+                if len(held[0][0]) > 500_000:
                     yield pa.record_batch([pa.array(x) for x in held.pop()], ["key", "c"])
         if held:
             yield pa.record_batch([pa.array(x) for x in merged()], ["key", "c"])
