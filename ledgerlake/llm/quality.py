@@ -217,8 +217,8 @@ def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
 
     Trusted texts are those that labels(doc_id, quality) gives quality 1. All of them but a held-out fifth are counted;
     a language's threshold is a quantile of the held-out perplexities times a slack, and a text is kept if its
-    perplexity is not above. A language without held-out texts gets the threshold of all languages; without trusted
-    texts everything is kept. Null and empty texts have no symbols, the mean perplexity of their language, and are kept;
+    perplexity is not above. A language without held-out texts gets the threshold of all languages; a language
+    without trusted texts has no model, and its texts are kept. Null and empty texts have no symbols, the mean perplexity of their language, and are kept;
     a null lang is a language; ids may be null or repeat; an empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("code", "trusted", "taught", "surprise", "symbols", "perplexity", "threshold", "keep")]
@@ -241,14 +241,14 @@ def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     if overall is None or math.isnan(overall):
         return scored.select(*(own if carry else ("doc_id", "lang")), "symbols", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     m = F.coalesce("mean", F.lit(overall))
-    with_means = lambda d: d.join(means.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("perplexity", surprise(m)).drop("_lang", "mean")
+    with_means = lambda d: d.join(means.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("perplexity", surprise(m)).withColumn("_known", F.col("mean").isNotNull()).drop("_lang", "mean")
     ppl = with_means(base).where(held_out)
     cut = (F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("threshold")
     overall_cut = ppl.agg(cut).first()["threshold"]
     cuts = ppl.groupBy(F.col("lang").alias("_lang")).agg(cut)
     out = with_means(scored).join(cuts, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.coalesce("threshold", F.lit(overall_cut).cast("double"))
-    keep = F.coalesce((F.col("symbols") == 0) | (F.col("perplexity") <= threshold), F.lit(True))
+    keep = F.coalesce((F.col("symbols") == 0) | ~F.col("_known") | (F.col("perplexity") <= threshold), F.lit(True))
     return out.select(*(own if carry else ("doc_id", "lang")), "symbols", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
 
 
