@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def first_wins(rows: DataFrame, keys: list[str] | list[Column], order: list) -> DataFrame:
     """One row for each key, the first in order. (WIN-06, AGG-21, AGG-22)"""
@@ -65,10 +67,25 @@ def contains_either_way(rows: DataFrame, names: DataFrame, a: str, b: str) -> Da
     return rows.join(F.broadcast(names), (x == y) | F.contains(x, y) | F.contains(y, x), "left")
 
 
+#: Up to so many rows one window ranks a whole table; larger ones are sorted by range and numbered from the partitions' sizes.
+ONE_WINDOW = 200_000
+
+
+def numbered(rows: DataFrame, order: list, name: str, most: int | None = None) -> DataFrame:
+    """rows with their place from 0 in the order. No task sorts more than its range of a large table. (WIN-01)"""
+    if rows.limit((ONE_WINDOW if most is None else most) + 1).count() <= (ONE_WINDOW if most is None else most):
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    placed = cut(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
+    begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))
+    met = placed.withColumn("_part", part).join(F.broadcast(begins), "_part")
+    return met.withColumn(name, (F.col("_begin") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_id", "_part", "_begin")
+
+
 def ranked(rows: DataFrame, score: str, ordinal: str, where: Column | None = None, name: str = "rank") -> DataFrame:
     """Rank from 0 by falling score, ties in order, among the rows with signal. (WIN-01, SRT-02)"""
-    rows = rows if where is None else rows.where(where)
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), ordinal)) - 1)
+    return numbered(rows if where is None else rows.where(where), [F.desc(score), ordinal], name)
 
 
 def top(rows: DataFrame, k: int, *order) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import cosine, dot, norm, rrf
 from ..functions.text import name_core, norm_name, overrides_instructions, tokens
+from .relations import numbered
 
 # Tokens that many firm names share, which never ground a name.
 GENERIC = set(
@@ -50,12 +51,13 @@ def hybrid(meta: DataFrame, scores: DataFrame, allowed: Column | None = None, ke
     """The k best rows by fused rank: scores(key, vector, focus, bm25) over the allowed rows of meta. (RAG-01, RAG-02, WIN-01)
 
     BM25 and focus rank only rows with a positive score; the vector channel ranks all. vector_score is the better of
-    vector and focus. The windows rank whole channels, so they run over the filtered rows only.
+    vector and focus. Each channel is ranked over its own rows by numbered().
     """
     rows = (meta if allowed is None else meta.where(allowed)).join(scores, key)
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), ordinal)) - 1
-    hit = lambda c: F.when(F.col(c) > 0, F.row_number().over(Window.partitionBy(F.col(c) > 0).orderBy(F.desc(c), ordinal)) - 1)
-    fused = rows.withColumn("v_rank", place("vector")).withColumn("b_rank", hit("bm25")).withColumn("f_rank", hit("focus"))
+    fused = numbered(rows, [F.desc("vector"), ordinal], "v_rank")
+    for channel, name in (("bm25", "b_rank"), ("focus", "f_rank")):
+        hits = numbered(rows.where(F.col(channel) > 0).select(key, ordinal, channel) if key != ordinal else rows.where(F.col(channel) > 0).select(key, channel), [F.desc(channel), ordinal], name)
+        fused = fused.join(hits.select(key, name), key, "left")
     fused = fused.withColumn("rrf", rrf([F.col("v_rank"), F.col("b_rank"), F.col("f_rank")], rrf_k)).withColumn("vector_score", F.greatest("vector", "focus"))
     return fused.orderBy(F.desc("rrf"), ordinal).limit(k)
 

@@ -57,3 +57,10 @@ def test_hits_first_and_ranks(spark):
     shapes = spark.createDataFrame([("United States of America",), ("France",)], "shape string")
     got = R.contains_either_way(spark.createDataFrame([("United States",), ("Peru",)], "c string"), shapes, "c", "shape").collect()
     assert {r["c"]: r["shape"] for r in got} == {"United States": "United States of America", "Peru": None}
+
+
+def test_numbered_alike_at_every_size(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, rnd.randrange(20)) for i in range(500)], "k long, v int").repartition(7)
+    small, large = (sorted(map(tuple, R.numbered(df, [F.desc("v"), "k"], "n", most).collect())) for most in (1000, 10))
+    assert small == large
