@@ -434,6 +434,49 @@ def top_per_group(spark, d):
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))).where("_n <= 10").drop("_n")
 
 
+@query("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1)::BIGINT AS place FROM orders WHERE o_orderstatus = 'F'""")
+def ranked_channel(spark, d):
+    """WIN-01 SRT-02: places from 0 among the rows with signal"""
+    rows = R.ranked(table(spark, d, "orders"), "o_totalprice", "o_orderkey", F.col("o_orderstatus") == "F", "place")
+    return rows.select("o_orderkey", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS id, c_name AS name FROM customer), t AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS id, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT c_custkey FROM c WHERE id IN (SELECT id FROM t WHERE id IS NOT NULL) OR (id IS NULL AND name IN (SELECT name FROM t WHERE id IS NULL))""")
+def either_key_semi(spark, d):
+    """JOIN-05: by id, by name only where the id is null"""
+    key = F.col("c_custkey")
+    customers = table(spark, d, "customer").select("c_custkey", F.when(key % 3 != 0, key).alias("id"), F.col("c_name").alias("name"))
+    there = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == key).select(F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("id"), F.col("c_name").alias("name"))
+    return R.either_key_semi(customers, there, "id", "name").select("c_custkey")
+
+
+@query("""SELECT doc_id, min(pass)::INTEGER AS pass FROM (SELECT doc_id, 0 AS pass FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, 1 FROM documents WHERE n_chars >= 1000) GROUP BY doc_id""")
+def hits_first(spark, d):
+    """SET-08: hits, then everything, each once"""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    hits = docs.where("lang = 'fr'").select("doc_id", F.lit(0).alias("pass"))
+    return R.hits_first(hits, docs.where("n_chars >= 1000").select("doc_id", F.lit(1).alias("pass")), "doc_id", "doc_id")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '+1 (' || substr((5550000000 + c_custkey)::VARCHAR, 1, 3) || ') ' || substr((5550000000 + c_custkey)::VARCHAR, 4, 3) || '-' || substr((5550000000 + c_custkey)::VARCHAR, 7, 4)
+WHEN 1 THEN '+1 (' || substr((5550000000 + c_custkey)::VARCHAR, 1, 3) || ') ' || substr((5550000000 + c_custkey)::VARCHAR, 4, 3) || '-' || substr((5550000000 + c_custkey)::VARCHAR, 7, 4) ELSE c_custkey::VARCHAR END AS phone FROM customer""")
+def phone_format(spark, d):
+    """TXT-09"""
+    n = (F.col("c_custkey") + 5_550_000_000).cast("string")
+    raw = F.when(F.col("c_custkey") % 3 == 0, n).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("1-"), F.substring(n, 1, 3), F.lit("."), F.substring(n, 4, 7))).otherwise(F.concat(F.lit(" "), F.col("c_custkey").cast("string")))
+    return table(spark, d, "customer").select("c_custkey", X.phone(raw).alias("phone"))
+
+
+@query("""SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND lower(n_name) = lower((SELECT min(n_name) FROM nation)) AND c_acctbal >= 100""")
+def metadata_filter(spark, d):
+    """FLT-02 FLT-03 FLT-04: hard filters on metadata"""
+    first = table(spark, d, "nation").agg(F.min("n_name")).first()[0]
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("c_custkey", F.col("c_mktsegment").alias("fo_type"), F.col("n_name").alias("hq_country"), F.col("c_acctbal").cast("long").alias("aum_usd"), F.array(F.lower("c_mktsegment")).alias("sectors"))
+    return rows.where(P.meta_matches({"fo_type": "BUILDING", "hq_country": first.upper(), "aum_min": 100, "sectors": "build"})).select("c_custkey")
+
+
 @query()
 def html_text(spark, d):
     """HTM-01 HTM-02 HTM-03: the text, description and mail links of pages"""
