@@ -119,10 +119,10 @@ def norm_names(spark, d):
     return row("supplier", "supplier", "s_suppkey", "s_name").unionAll(row("part", "part", "p_partkey", "p_name"))
 
 
-@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(*)::BIGINT AS n FROM t GROUP BY term HAVING count(*) >= 50""")
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(*)::BIGINT AS n FROM t GROUP BY term""")
 def tokens_tf(spark, d):
     """TXT-05"""
-    return table(spark, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 50")
+    return table(spark, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT s_suppkey, 'fo_' || substr(sha256({NORM_SQL.format('s_name')}), 1, 10) AS entity_id, sha256(s_name) AS content_hash FROM supplier""")
@@ -147,12 +147,11 @@ def extract_contacts(spark, d):
 
 
 @query(r"""SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))::INTEGER AS sentences,
-list_max(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s))))::INTEGER AS longest FROM documents WHERE NOT contains(text, chr(13)) AND NOT contains(text, chr(9)) AND NOT regexp_matches(text, '\n\s*$|^\s*\n')""")
+list_max(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s))))::INTEGER AS longest FROM documents""")
 def sentence_counts(spark, d):
     """TXT-17"""
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("\r")) & ~F.contains("text", F.lit("\t")) & ~F.col("text").rlike(r"\n\s*$|^\s*\n"))
     pieces = X.sentences(F.col("text"))
-    return rows.select("doc_id", F.size(pieces).alias("sentences"), F.array_max(F.transform(pieces, F.length)).alias("longest"))
+    return table(spark, d, "documents").select("doc_id", F.size(pieces).alias("sentences"), F.array_max(F.transform(pieces, F.length)).alias("longest"))
 
 
 @query("""SELECT event_type, count(*)::BIGINT AS n, count(json_extract_string(props, '$.k'))::BIGINT AS with_k, round(sum(value::DECIMAL(38,6))::DOUBLE, 4) AS total FROM events GROUP BY event_type""")
@@ -232,11 +231,11 @@ def semi_anti(spark, d):
     return customers.join(keys, "c_custkey", "left_semi").withColumn("kind", F.lit("with")).unionAll(R.net_new(customers, keys, "c_custkey").withColumn("kind", F.lit("without")))
 
 
-@query("""WITH old AS (SELECT * FROM part WHERE p_partkey <= 5) SELECT p_partkey FROM part WHERE p_partkey > 5 AND p_name NOT IN (SELECT p_name FROM old) AND p_type NOT IN (SELECT p_type FROM old)""")
+@query("""WITH old AS (SELECT * FROM part WHERE p_size >= 50) SELECT p_partkey FROM part WHERE p_size < 50 AND p_name NOT IN (SELECT p_name FROM old) AND p_retailprice NOT IN (SELECT p_retailprice FROM old)""")
 def disjunctive_anti(spark, d):
-    """JOIN-07 SRC-25 MNT-07: new by neither of two keys"""
-    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    return R.net_new(parts.where("p_partkey > 5"), parts.where("p_partkey <= 5"), "p_name", "p_type").select("p_partkey")
+    """JOIN-07 SRC-25 MNT-07: smaller parts that share neither name nor price with the largest ones"""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice", "p_size")
+    return R.net_new(parts.where("p_size < 50"), parts.where("p_size >= 50"), "p_name", "p_retailprice").select("p_partkey")
 
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey, max(o_orderdate) AS latest FROM orders GROUP BY o_custkey""")
@@ -253,13 +252,13 @@ def new_vs_previous(spark, d):
     return R.added_since_last(table(spark, d, "events").withColumn("day", F.to_date("ts")), "user_id", "day", "event_type")
 
 
-@query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0)
+@query("""WITH c AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice < 100000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'P')
 SELECT c.o_orderkey, list_filter([CASE WHEN p.o_orderstatus IS DISTINCT FROM c.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN p.o_totalprice IS DISTINCT FROM c.o_totalprice THEN 'o_totalprice' END], lambda x: x IS NOT NULL) AS fields
 FROM c JOIN orders p USING (o_orderkey) WHERE p.o_orderstatus IS DISTINCT FROM c.o_orderstatus OR p.o_totalprice IS DISTINCT FROM c.o_totalprice""")
 def snapshot_diff(spark, d):
-    """CYC-01 CYC-02 JOIN-10"""
+    """CYC-01 CYC-02 JOIN-10: a later state of the orders, in which pending ones are gone and some changed"""
     old = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    new = old.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    new = old.where("o_orderstatus <> 'P'").withColumn("o_orderstatus", F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(F.col("o_totalprice") < 100000, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     return C.trust_changes(old, new, ("o_orderstatus", "o_totalprice", "o_orderpriority"), "o_orderkey").select("o_orderkey", F.transform("changed", lambda c: c.field).alias("fields"))
 
 
