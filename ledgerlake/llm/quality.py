@@ -178,8 +178,9 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
     shards = max(1, -(-model.count() // shard_rows))
     out = docs.withColumn("surprise", F.lit(0.0)).withColumn("symbols", F.lit(0).cast("long"))
     for s in range(shards):
-        part = model.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).toPandas()  # a shard of bounded size
-        held = docs.sparkSession.sparkContext.broadcast(Lookup(part["key"].to_numpy(np.int64), part["logp"].to_numpy(np.float32)))
+        part = model.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).toArrow()  # a shard of bounded size
+        held = docs.sparkSession.sparkContext.broadcast(Lookup(part.column("key").to_numpy(), part.column("logp").to_numpy()))
+        del part
 
         def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
