@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._dist import settle
+from ._dist import settle, small_batches, tidy
 from ._tokens import tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,7 +46,7 @@ def cut(docs: DataFrame, capacity: int, path: str) -> DataFrame:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out.drop(columns="k")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Solver:
@@ -169,6 +169,7 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None, rows_pe
     third of all pieces have is spread over many tasks. Null and empty texts are one end id; a null doc_id is kept; equal
     rows are packed each; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     path = path or word_bpe_path()
     pieces = settle(cut(docs, capacity, path))
     total = pieces.count()
@@ -198,7 +199,7 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None, rows_pe
             yield b
 
     columns = ("doc_id", "piece", "start", "length", "ids_crc32")
-    return ranked.select(*columns, "_rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*columns, "_rank").mapInPandas(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

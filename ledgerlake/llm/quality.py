@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import settle
+from ._dist import settle, small_batches, tidy
 from ._text import flat, mix, pieces
 
 #: Character n-grams of ORDER symbols; a symbol is a code point folded to SYMBOL bits, 0 the place before the text.
@@ -90,7 +90,7 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
         if held:
             yield pa.record_batch([pa.array(x) for x in merged()], ["key", "c"])
 
-    return docs.mapInArrow(gather, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(tidy(gather), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def kneser_ney(grams: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
                 b = b.set_column(names.index("surprise"), "surprise", pa.array(total))
                 yield b.set_column(names.index("symbols"), "symbols", pa.array(symbols))
 
-        out = out.mapInArrow(add, out.schema)
+        out = out.mapInArrow(tidy(add), out.schema)
     return out
 
 
@@ -223,6 +223,7 @@ def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     a null lang is a language; ids may be null or repeat; an empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("code", "trusted", "taught", "surprise", "symbols", "perplexity", "threshold", "keep")]
+    small_batches(docs.sparkSession)
     rows = flagged(docs.select(*own), labels)
     grams = settle(corpus_grams(rows.select("text", "code", "taught")))
     model = settle(kneser_ney(grams))

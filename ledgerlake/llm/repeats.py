@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import discard, settle
+from ._dist import discard, settle, small_batches, tidy
 from ._text import flat, pieces, prefix, span_hash
 from .suffix import common_prefixes, suffix_array
 
 #: A string of LENGTH bytes that starts in two places is a repeat. Its anchor is the GRAM bytes in it of smallest hash.
 LENGTH, GRAM = 200, 64
 #: A shard's suffix array is over about so many bytes.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: An anchor with more different fragments is no shard: its strings are compared by their hashes, wherever they are.
 FRAGMENTS = 2000
 _LOW = np.uint64((1 << 24) - 1)
@@ -65,7 +65,7 @@ def fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 begin = (off[lo : hi + 1] - off[lo])[owner]
                 yield pa.record_batch([pa.array(raw[lo:hi][owner]), pa.array((start - begin).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array((anchor - start).astype(np.int32)), pa.array(g), pa.array(f)], ["raw", "at", "more", "lead", "g", "f"])
 
-    return docs.select(F.xxhash64("text").alias("raw"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(find, "raw long, at int, more int, lead int, g long, f long")
+    return docs.select(F.xxhash64("text").alias("raw"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).mapInArrow(tidy(find), "raw long, at int, more int, lead int, g long, f long")
 
 
 def slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -136,7 +136,7 @@ def shard_repeats(parts: DataFrame, length: int, size: int = SHARD) -> DataFrame
         if held:
             yield done()
 
-    return parts.select("g", "n", "raw", "at", "more", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(work, "raw long, at int, until int")
+    return parts.select("g", "n", "raw", "at", "more", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(tidy(work), "raw long, at int, until int")
 
 
 def hashed_repeats(parts: DataFrame, length: int) -> DataFrame:
@@ -155,7 +155,7 @@ def hashed_repeats(parts: DataFrame, length: int) -> DataFrame:
                 h = span_hash(prefix(data[off[lo] : off[hi]]), start, start + length).astype(np.int64)
                 yield pa.record_batch([pa.array(h), pa.array(n[lo:hi][owner]), pa.array(raw[lo:hi][owner]), pa.array((at[lo:hi][owner] + within).astype(np.int32))], ["h", "n", "raw", "at"])
 
-    rows = parts.select("n", "raw", "at", "bytes").mapInArrow(strings, "h long, n long, raw long, at int")
+    rows = parts.select("n", "raw", "at", "bytes").mapInArrow(tidy(strings), "h long, n long, raw long, at int")
     often = rows.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
     return rows.where("n = 1").join(often, "h").select("raw", "at", (F.col("at") + 1).alias("until"))
 
@@ -186,6 +186,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     other. Ids may be null or repeat; columns named like an added one are replaced, others stay; an empty table gives no
     rows. Texts are named by a 64-bit hash while their places are counted.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("kept", "removed", "n_bytes")
     starts = repeated_starts(docs, length, gram, shard, most)
     by_text = starts.groupBy(F.col("raw").alias("_raw")).agg(F.collect_set(F.struct("at", "until")).alias("_starts"))  # as many as the text has fragments
@@ -216,7 +217,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
             yield pa.record_batch([*(b.column(c) for c in columns), pa.array(kept, pa.binary()), pa.array(removed, at), pa.array(size, pa.int64())], [*columns, "kept", "removed", "n_bytes"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(remove, f"{schema}, kept binary, removed array<struct<start:bigint,end:bigint>>, n_bytes bigint")
+    return rows.mapInArrow(tidy(remove), f"{schema}, kept binary, removed array<struct<start:bigint,end:bigint>>, n_bytes bigint")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._dist import small_batches, tidy
 from ._text import WORD_BYTES, flat, pieces, prefix, span_hash
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash.
@@ -121,6 +122,7 @@ def fit(places: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, r
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
     """Fit on the labelled rows of smallest hash, rows of them at most; that bound is all that reaches the driver."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows)  # at most rows rows, so it can be broadcast
     rows_in = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -138,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
                     cs.append(n[edge[i] : edge[i + 1]].astype("<u4").tobytes())
             yield pa.record_batch([pa.array(ps, pa.binary()), pa.array(cs, pa.binary()), b.column("toxic").cast(pa.int32()), b.column("doc_id").cast(pa.int64())], ["p", "c", "toxic", "doc_id"])
 
-    got = sorted(rows_in.mapInArrow(gather, "p binary, c binary, toxic int, doc_id long").limit(2 * rows).collect(), key=lambda r: (r.doc_id, bytes(r.p)))
-    return fit([np.frombuffer(r.p, "<u4").astype(np.int64) for r in got], [np.frombuffer(r.c, "<u4") for r in got], np.array([r.toxic for r in got]))
+    got = rows_in.mapInArrow(tidy(gather), "p binary, c binary, toxic int, doc_id long").limit(2 * rows).toArrow()
+    got = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "p", "c", "toxic")), strict=True))
+    return fit([np.frombuffer(p, "<u4").astype(np.int64) for _, p, _, _ in got], [np.frombuffer(c, "<u4") for _, _, c, _ in got], np.array([t for *_, t in got]))
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
@@ -148,6 +151,7 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
     Null and empty texts have no features and so the grade of an empty score; ids may be null or repeat; other columns
     are ignored; an empty table gives no rows. The model's table has 2**BITS places whatever the data.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.table(), model))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +168,7 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
             upto = np.cumsum(p, axis=1)
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(p @ np.arange(p.shape[1])), pa.array((upto < 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] <= 1 - TOXIC_FROM)], ["doc_id", "expected_severity", "severity", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rate, "doc_id long, expected_severity double, severity int, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(rate), "doc_id long, expected_severity double, severity int, toxic boolean")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
