@@ -22,6 +22,8 @@ ROUNDS, AUDITED, RECALL, EXTRA = 2, 1024, 0.97, 2
 MARGIN = 0.015
 #: Vectors of a component that one task compares with one another.
 BLOCK = 2048
+#: Nodes of a component within so many radians of one another's centre are a cluster; SLOP is what arccos may be wrong by.
+TIGHT, SLOP = 0.2, 1e-6
 
 
 def _bytes8(x: np.ndarray) -> np.ndarray:
@@ -152,29 +154,119 @@ def descend(lists: DataFrame, nodes: DataFrame, sizes: DataFrame | None) -> Data
     return settle(shortened(lists.withColumn("old", F.lit(True)).union(offers.withColumn("old", F.lit(False))), sizes))
 
 
-def audit(lists: DataFrame, nodes: DataFrame, least: float) -> float:
-    """Share of the links of AUDITED nodes, found by comparing them with all, that the lists have or that follow by one step."""
-    sample = nodes.orderBy(F.xxhash64(F.lit(9), "node")).limit(AUDITED).select("node", "q").toPandas()  # AUDITED rows at most
-    ids, held = sample["node"].to_numpy(), nodes.sparkSession.sparkContext.broadcast(_unit8(sample["q"]))
+def _unit(rows) -> np.ndarray:
+    """Unit vectors on doubles."""
+    a = matrix(rows)
+    a = a / np.abs(a).max(axis=1, keepdims=True)
+    return a / np.linalg.norm(a, axis=1, keepdims=True)
+
+
+def audit(loose: DataFrame, nodes: DataFrame, cosine: float) -> float:
+    """Share of the links of AUDITED nodes, found by comparing them with all, whose two ends are in one component of loose(id, root)."""
+    sample = nodes.orderBy(F.xxhash64(F.lit(9), "node")).limit(AUDITED).select("node", "x").toPandas()  # AUDITED rows at most
+    ids, held = sample["node"].to_numpy(), nodes.sparkSession.sparkContext.broadcast(_unit(sample["x"]) if len(sample) else np.zeros((0, 0)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            a = _unit8(b["q"])
+            a = _unit(b["x"])
             width = max(a.shape[1], held.value.shape[1])
-            i, j = np.nonzero(widened(held.value, width) @ widened(a, width).T >= least)
+            i, j = np.nonzero(widened(held.value, width) @ widened(a, width).T >= cosine)
             out = pd.DataFrame({"a": ids[i], "b": b["node"].to_numpy()[j]})
             yield out[out["a"] != out["b"]]
 
-    true = nodes.select("node", "q").mapInPandas(compare, "a long, b long")
-    has = lists.where(F.col("sim") >= least).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    has = has.union(has.select("b", "a")).distinct()
-    full = lists.groupBy(F.col("node").alias("a")).agg(F.min("sim").alias("low"))  # a full list leaves its links to the exact step
-    row = true.join(has.withColumn("found", F.lit(1)), ["a", "b"], "left").join(full, "a", "left").agg(F.count("*").alias("n"), F.sum(F.when(F.col("found").isNotNull() | (F.col("low") >= least), 1).otherwise(0)).alias("found")).first()
+    true = nodes.select("node", "x").mapInPandas(compare, "a long, b long")
+    root = lambda end: loose.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+    met = true.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    row = met.agg(F.count("*").alias("n"), F.sum((F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False))).cast("int")).alias("found")).first()
     return row["found"] / row["n"] if row["n"] else 1.0
 
 
+def clusters(members: DataFrame) -> DataFrame:
+    """(cluster, root, node, x, radius) over members(root, node, x): nodes of one component within TIGHT of the cluster's node, radius their largest angle to it."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    part = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+    rows = members.join(sizes, "root").select(part.alias("key"), "root", "node", "x")
+
+    def lead(group: pd.DataFrame) -> pd.DataFrame:
+        a, ids = _unit(group["x"]), group["node"].to_numpy()
+        cluster, radius = np.zeros(len(a), np.int64), np.zeros(len(a))
+        todo = np.arange(len(a))
+        while len(todo):
+            angle = np.arccos(np.clip(a[todo] @ a[todo[0]], -1, 1))
+            angle[0] = 0
+            mine = angle <= TIGHT
+            cluster[todo[mine]], radius[todo[mine]] = ids[todo[0]], angle[mine].max()
+            todo = todo[~mine]
+        return pd.DataFrame({"cluster": cluster, "root": group["root"].to_numpy(), "node": ids, "x": list(a), "radius": radius})
+
+    return _groups(rows, "key", lead, "cluster long, root long, node long, x array<double>, radius double")
+
+
+def cross_links(members: DataFrame, cosine: float) -> DataFrame:
+    """(a, b): links between the components of members(root, node, x), one at least for every two components that have any. Nothing is lost.
+
+    Components are covered by tight clusters. Centres are compared in blocks; by the triangle inequality two clusters
+    can share a link only if their centres are no further apart than the link's angle and both radii. Where the centres
+    are linked that is enough; the members of other such clusters are compared one by one.
+    """
+    held = settle(clusters(members))
+    centres = settle(held.where("cluster = node").select("root", "node", "x", "radius"))
+    blocks = max(1, -(-centres.count() // BLOCK))
+    block = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(blocks)).cast("int")
+    # the cells of block b: (least, greatest) of b and every block
+    dealt = centres.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select((F.least("b", "o").cast("long") * blocks + F.greatest("b", "o")).alias("cell"), "b", "root", "node", "x", "radius")
+    reach = float(np.arccos(np.clip(cosine, -1, 1))) + SLOP
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        cell = int(group["cell"].iloc[0])
+        left, right = (np.flatnonzero(group["b"].to_numpy() == v) for v in divmod(cell, blocks))
+        a, ids, roots, radius = matrix(group["x"]), group["node"].to_numpy(), group["root"].to_numpy(), group["radius"].to_numpy()
+        out = []
+        for lo in range(0, len(left), 256):
+            rows = left[lo : lo + 256]
+            sims = a[rows] @ a[right].T
+            near = np.arccos(np.clip(sims, -1, 1)) <= reach + radius[rows][:, None] + radius[right][None, :]
+            i, j = np.nonzero(near & (roots[rows][:, None] != roots[right][None, :]))
+            x, y = rows[i], right[j]
+            out.append(pd.DataFrame({"a": ids[x], "b": ids[y], "p": np.minimum(roots[x], roots[y]), "q": np.maximum(roots[x], roots[y]), "sure": sims[i, j] >= cosine}))
+        out = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "p": [], "q": [], "sure": []})
+        linked = out["sure"] & ~out[out["sure"]].duplicated(["p", "q"]).reindex(out.index, fill_value=False)
+        known = out[["p", "q"]].merge(out.loc[linked, ["p", "q"]], on=["p", "q"], how="left", indicator=True)["_merge"].eq("both").to_numpy()
+        return out[linked.to_numpy() | ~known]
+
+    met = settle(_groups(dealt, "cell", meet, "a long, b long, p long, q long, sure boolean"))
+    sure = met.where("sure").select("a", "b")
+    roots = components(met.where("sure").select(F.col("p").alias("a"), F.col("q").alias("b")))
+    same = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+    apart = F.coalesce("p_root", "p") != F.coalesce("q_root", "q")
+    open_ = met.where("NOT sure").join(same("p"), "p", "left").join(same("q"), "q", "left").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = [open_.join(held.select(F.col("cluster").alias(end), "node", "x"), end).select(F.xxhash64("a", "b").alias("key"), "node", "x", F.lit(end == "a").alias("left")) for end in ("a", "b")]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        a, left, ids = matrix(group["x"]), group["left"].to_numpy(bool), group["node"].to_numpy()
+        sims = a[left] @ a[~left].T
+        i, j = np.unravel_index(int(sims.argmax()), sims.shape)
+        linked = sims[i, j] >= cosine - 1e-9
+        return pd.DataFrame({"a": ids[left][[i]], "b": ids[~left][[j]]}) if linked else pd.DataFrame({"a": [], "b": []})
+
+    return sure.union(_groups(sides[0].union(sides[1]), "key", compare, "a long, b long"))
+
+
+def joined(lists: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
+    """(id, root): the components that the lists' links and those between nodes with lists full of links make."""
+    least = cosine - MARGIN
+    close = lists.where(F.col("sim") >= least).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    loose = settle(components(close))
+    # a list that is full of links may have no place for those to another component; other lists hold all links of their nodes
+    full = lists.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("low") >= least) & (F.col("n") >= NEIGHBOURS)).select("node")
+    members = full.join(loose.withColumnRenamed("id", "node"), "node").join(nodes.select("node", "x"), "node").select("root", "node", "x")
+    more = settle(cross_links(members, cosine))
+    return settle(components(close.union(more))) if more.limit(1).count() else loose
+
+
 def links_within(members: DataFrame, cosine: float) -> DataFrame:
     """(node, n, near) over members(root, node, copies, x): links of each node to a block of its component, and a node it is connected with there."""
     sizes = members.groupBy("root").agg(F.count("*").alias("size"))
@@ -184,9 +276,7 @@ def links_within(members: DataFrame, cosine: float) -> DataFrame:
     dealt = rows.select("root", "node", "copies", "x", "block", cells.alias("cell")).select(F.xxhash64("root", "cell.i", "cell.j").alias("key"), "node", "copies", "x", (F.col("block") == F.col("cell.i")).alias("left"), (F.col("block") == F.col("cell.j")).alias("right"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a = matrix(group["x"])
-        a = a / np.abs(a).max(axis=1, keepdims=True)
-        a = a / np.linalg.norm(a, axis=1, keepdims=True)
+        a = _unit(group["x"])
         left, right = group["left"].to_numpy(bool), group["right"].to_numpy(bool)
         ids, copies = group["node"].to_numpy(), group["copies"].to_numpy()
         rows, columns = np.flatnonzero(left), np.flatnonzero(right)
@@ -217,9 +307,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, embedding).
 
     Equal vectors are one node. The neighbour graph starts from random-projection trees and is refined by joins of
-    neighbours' neighbours; where a list is full of links it is enlarged; an audit against brute force on a sample adds
-    trees and rounds while recall is short. Links then connect components, and in these all pairs are compared on
-    doubles, block by block, which gives the links that full lists could not hold. None below cosine is a link.
+    neighbours' neighbours; where a list is full of links it is enlarged. Links connect components; nodes whose lists are
+    full are compared across components by clusters, so no link that leaves a full list is lost. An audit against brute
+    force on a sample adds trees and rounds while recall is short. In components all pairs are compared on doubles, block
+    by block, which gives the links that full lists could not hold. None below cosine is a link.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing. Shorter vectors count as
     filled with zeros. A null vec_id takes no part in the search. Rows of one id and vector are copies of each other;
@@ -236,16 +327,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     for r in range(EXTRA):
         full = lists.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("low") >= least) & (F.col("n") >= NEIGHBOURS) & (F.col("n") < LONGEST))
         full = settle(full.select("node", F.least(F.col("n") * 2, F.lit(LONGEST)).alias("k")))
-        short = audit(lists, nodes, least) < RECALL
-        if not short and not full.limit(1).count():
+        if not full.limit(1).count():
             break
         sizes = full
-        if short:
-            more = first_lists(nodes, n, TREES, 2 + r).withColumn("old", F.lit(False))
-            lists = settle(shortened(lists.union(more), sizes))
         lists = descend(lists, nodes, sizes)
-    close = lists.where(F.col("sim") >= least).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    loose = settle(components(close))
+    loose = joined(lists, nodes, cosine)
+    for r in range(EXTRA):
+        if audit(loose, nodes, cosine) >= RECALL:
+            break
+        more = first_lists(nodes, n, TREES, 2 + r).withColumn("old", F.lit(False))
+        lists = descend(settle(shortened(lists.union(more), sizes)), nodes, sizes)
+        loose = joined(lists, nodes, cosine)
     members = nodes.join(loose.withColumnRenamed("id", "node"), "node").select("root", "node", "copies", "x")
     found = settle(links_within(members, cosine))
     tight = components(found.select(F.col("node").alias("a"), F.col("near").alias("b"))).withColumnRenamed("id", "node")

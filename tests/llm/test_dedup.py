@@ -200,3 +200,16 @@ def test_near_vectors(spark, monkeypatch):
     assert sum(r["n_links"] for r in got) >= 0.9 * sum(w[0] for w in brute_links(rows))
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
     assert embeddup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_links_that_leave_full_lists(spark):
+    rnd = np.random.default_rng(8)
+    u, v = np.linalg.qr(rnd.standard_normal((48, 2)))[0].T
+    far = rnd.standard_normal((20, 48))
+    centres = [u, 0.935 * u + np.sqrt(1 - 0.935**2) * v]
+    rows = [(100 * g + k, (c + 0.1 * rnd.standard_normal(48) / np.sqrt(48)).tolist()) for g, c in enumerate(centres) for k in range(100)]
+    rows += [(200 + k, x.tolist()) for k, x in enumerate(far)]
+    want = brute_links(rows)
+    assert min(w[0] for w in want[:200]) > 150  # most links lead to the other group
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {d: w for (d, _), w in zip(rows, want, strict=True)}
