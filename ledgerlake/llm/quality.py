@@ -1,4 +1,4 @@
-"""Operator 2: interpolated modified Kneser-Ney n-gram model of trusted text; perplexity against quantiles by language."""
+"""Operator 2: interpolated modified Kneser-Ney models of words and their spelling in trusted text; perplexity against quantiles by language."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._dist import settle, small_batches, tidy
-from ._text import flat, mix, pieces
+from ._text import WORD_BYTES, flat, mix, pieces, prefix, span_hash
 
 #: Character n-grams of ORDER symbols; a symbol is a code point folded to SYMBOL bits, 0 the place before the text.
 ORDER, SYMBOL = 4, 13
 BODY = ORDER * SYMBOL
+#: Word n-grams of WORDS tokens: runs of letters and digits, or of other signs. Words never taught are spelled by the character model.
+WORDS = 3
 #: A share of the trusted texts is held out of the counts and sets the thresholds.
 HELD_OUT_OF_10 = 2
 #: A threshold is this quantile of the held-out perplexities of a language, times the slack.
@@ -93,11 +95,8 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(gather), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def kneser_ney(grams: DataFrame) -> DataFrame:
-    """(key, logp) for every key of grams(key, c): counts of each order are sharded by their keys and joined order by order."""
-    counts = {ORDER: grams.where("c > 0")}
-    for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before each shorter n-gram
-        counts[k] = counts[k + 1].groupBy(suffix(F.col("key"), k).alias("key")).agg(F.count("*").alias("c"))
+def discounts_of(counts: dict[int, DataFrame]) -> dict[int, list[float]]:
+    """The three discounts of each order, from how many n-grams have each small count."""
     of = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(1, 5)]
     rows = None
     for k, t in counts.items():
@@ -108,6 +107,15 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         n = [float(r[f"n{i}"] or 0) for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
         discounts[r["k"]] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i - 0.05) if n[i - 1] else 0.5 for i in (1, 2, 3)]
+    return discounts
+
+
+def kneser_ney(grams: DataFrame) -> DataFrame:
+    """(key, logp) for every key of grams(key, c): counts of each order are sharded by their keys and joined order by order."""
+    counts = {ORDER: grams.where("c > 0")}
+    for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before each shorter n-gram
+        counts[k] = counts[k + 1].groupBy(suffix(F.col("key"), k).alias("key")).agg(F.count("*").alias("c"))
+    discounts = discounts_of(counts)
     lower = None
     for k in range(1, ORDER + 1):
         d = [F.lit(x) for x in discounts[k]]
@@ -131,6 +139,135 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     return lower.select(F.col("short").alias("key"), F.log("below").cast("float").alias("logp"))
 
 
+def tokens(data: np.ndarray, off: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word, begin, end and text number of every token; the low 8 bits of a word are its language."""
+    kind = np.where(WORD_BYTES[data], 1, np.where(data <= 32, 0, 2)).astype(np.int8)
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[off] = True
+    at = np.flatnonzero(edge)
+    start, end = at[:-1], at[1:]
+    real = kind[start] > 0
+    start, end = start[real], end[real]
+    text = np.searchsorted(off, start, "right") - 1
+    word = (span_hash(prefix(data), start, end) << np.uint64(8)) | code[text].astype(np.uint64)
+    return word.astype(np.int64), start, end, text
+
+
+def word_grams(word: np.ndarray, text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Key of the n-gram that ends at each token, and its words; before the text stand words of the language alone."""
+    columns = [word]
+    for k in range(1, WORDS):
+        back = code[text].astype(np.int64)
+        back[k:] = np.where(text[k:] == text[:-k], word[:-k], back[k:]) if k < len(word) else back[k:]
+        columns.insert(0, back)
+    key = np.zeros(len(word), np.uint64)
+    for c in columns:
+        key = mix(key + c.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return key.astype(np.int64), columns
+
+
+WORD_COLUMNS = [f"w{k}" for k in range(WORDS)]
+
+
+def corpus_word_grams(docs: DataFrame) -> DataFrame:
+    """(key, w0, w1, w2, c): every word n-gram of docs(text, code, taught) and how often the texts with taught have it. Sums within tasks first."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def merged() -> list[np.ndarray]:
+            both = [np.concatenate(x) for x in zip(*held, strict=True)]
+            _, first, place = np.unique(both[0], return_index=True, return_inverse=True)
+            return [x[first] for x in both[:-1]] + [np.bincount(place, both[-1], len(first)).astype(np.int64)]
+
+        for b in batches:
+            data, off = flat(b.column("text"))
+            code, taught = b.column("code").to_numpy(), b.column("taught").to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in pieces(off):
+                word, _, _, text = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], code[lo:hi])
+                if len(word):
+                    key, columns = word_grams(word, text, code[lo:hi])
+                    held.append([key, *columns, taught[lo:hi][text]])
+            if sum(len(h[0]) for h in held) > 1_000_000:
+                yield pa.record_batch([pa.array(x) for x in merged()], ["key", *WORD_COLUMNS, "c"])
+                held.clear()
+        if held:
+            yield pa.record_batch([pa.array(x) for x in merged()], ["key", *WORD_COLUMNS, "c"])
+
+    schema = ", ".join(f"{c} long" for c in ("key", *WORD_COLUMNS, "c"))
+    return docs.mapInArrow(tidy(gather), schema).groupBy("key", *WORD_COLUMNS).agg(F.sum("c").alias("c"))
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(word, code, text): every word of docs(text, code) between two spaces, and a space alone for each language."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = flat(b.column("text"))
+            code = b.column("code").to_numpy()
+            out: dict[int, tuple[int, str]] = {int(c): (int(c), " ") for c in np.unique(code)}
+            for lo, hi in pieces(off):
+                piece = data[off[lo] : off[hi]]
+                word, start, end, text = tokens(piece, off[lo : hi + 1] - off[lo], code[lo:hi])
+                raw = piece.tobytes()
+                for i in np.unique(word, return_index=True)[1]:
+                    out.setdefault(int(word[i]), (int(code[lo + text[i]]), f" {raw[start[i] : end[i]].decode('utf-8', 'replace')} "))
+            if out:
+                yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array([c for c, _ in out.values()], pa.int32()), pa.array([t for _, t in out.values()], pa.string())], ["word", "code", "text"])
+
+    return docs.mapInArrow(tidy(gather), "word long, code int, text string").groupBy("word", "code").agg(F.min("text").alias("text"))
+
+
+def word_model(grams: DataFrame, base: DataFrame) -> DataFrame:
+    """(key, logp) for every n-gram of grams(key, w0.., c): modified Kneser-Ney over words; base(word, below) is what a word's spelling says."""
+    counts = {WORDS: grams.where("c > 0").select(*WORD_COLUMNS, "c")}
+    for k in range(WORDS - 1, 0, -1):
+        counts[k] = settle(counts[k + 1].groupBy(*WORD_COLUMNS[WORDS - k :]).agg(F.count("*").alias("c")))
+    discounts = discounts_of(counts)
+    lower = base.withColumnRenamed("word", WORD_COLUMNS[-1])
+    for k in range(1, WORDS + 1):
+        own, d = WORD_COLUMNS[WORDS - k :], [F.lit(x) for x in discounts[k]]
+        before = own[:-1] or ["lang"]
+        with_lang = lambda t: t.withColumn("lang", F.col(WORD_COLUMNS[-1]).bitwiseAND(F.lit(255)))
+        contexts = with_lang(counts[k]).groupBy(*before).agg(
+            F.sum("c").alias("total"),
+            (d[0] * F.sum((F.col("c") == 1).cast("int")) + d[1] * F.sum((F.col("c") == 2).cast("int")) + d[2] * F.sum((F.col("c") > 2).cast("int"))).alias("left"))
+        if k == WORDS:
+            asked = grams
+        elif k == 1:
+            asked = base.select(F.col("word").alias(own[0])).join(counts[k], own, "left")
+        else:
+            asked = grams.select(*own).distinct().join(counts[k], own, "left")
+        asked = with_lang(asked).join(contexts, before, "left").join(lower, own[1:] or own)
+        c = F.coalesce("c", F.lit(0))
+        discount = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+        p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.greatest(c - discount, F.lit(0.0)) + F.col("left") * F.col("below")) / F.col("total"))
+        lower = asked.select(*(["key"] if k == WORDS else own), p.alias("below"))
+        if k < WORDS:
+            lower = settle(lower)
+    return lower.select("key", F.log("below").cast("float").alias("logp"))
+
+
+def word_surprise(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(node, surprise) for the texts of docs(node, text, code) that have words; rows of one node have one text. Joined by n-gram, whatever the sizes."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = flat(b.column("text"))
+            code, node = b.column("code").to_numpy(), b.column("node").to_numpy()
+            for lo, hi in pieces(off):
+                word, _, _, text = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], code[lo:hi])
+                if len(word):
+                    key, _ = word_grams(word, text, code[lo:hi])
+                    first = np.concatenate([[True], text[1:] != text[:-1]])
+                    yield pa.record_batch([pa.array(node[lo:hi][text]), pa.array(key), pa.array(first)], ["node", "key", "first"])
+
+    rows = docs.select("node", "text", "code").mapInArrow(tidy(gather), "node long, key long, first boolean")
+    sums = rows.join(model, "key").groupBy("node").agg(F.sum("logp").alias("logp"), F.sum(F.col("first").cast("int")).alias("copies"))
+    return sums.select("node", (-F.col("logp") / F.col("copies")).alias("surprise"))
+
+
 class Lookup:
     """A hash table of 64-bit keys in two arrays, filled and asked a whole array at a time."""
 
@@ -216,20 +353,28 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, lang, symbols, perplexity, threshold, keep for each row of docs(doc_id, text, lang), and with carry all of docs' columns.
 
+    Texts are scored by word n-grams whose unknown words are spelled by character n-grams; symbols are characters.
     Trusted texts are those that labels(doc_id, quality) gives quality 1. All of them but a held-out fifth are counted;
     a language's threshold is a quantile of the held-out perplexities times a slack, and a text is kept if its
     perplexity is not above. A language without held-out texts gets the threshold of all languages; a language
     without trusted texts has no model, and its texts are kept. Null and empty texts have no symbols, the mean perplexity of their language, and are kept;
     a null lang is a language; ids may be null or repeat; an empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("code", "trusted", "taught", "surprise", "symbols", "perplexity", "threshold", "keep")]
+    own = [c for c in docs.columns if c not in ("code", "trusted", "taught", "node", "surprise", "symbols", "perplexity", "threshold", "keep")]
     small_batches(docs.sparkSession)
     rows = flagged(docs.select(*own), labels)
-    grams = settle(corpus_grams(rows.select("text", "code", "taught")))
-    model = settle(kneser_ney(grams))
+    rows = rows.withColumn("node", F.xxhash64("text", "code"))
+    words = settle(vocabulary(rows.select("text", "code")))
+    spelled = rows.select("text", "code", "taught").union(words.select("text", "code", F.lit(False)))
+    spelling = settle(kneser_ney(settle(corpus_grams(spelled))))
+    base = settle(score(words, spelling).select("word", "code", "surprise"))
+    space = base.where("word = code").select("code", F.col("surprise").alias("_space"))  # a row for each language
+    base = settle(base.join(F.broadcast(space), "code").select("word", F.exp(F.col("_space") - F.col("surprise")).alias("below")))
+    model = settle(word_model(settle(corpus_word_grams(rows.select("text", "code", "taught"))), base))
+    found = settle(word_surprise(rows, model))
     extra = ["code", "trusted", "taught", "surprise", "symbols"]
-    needed = list(dict.fromkeys([*(own if carry else ("doc_id", "lang")), "text", *extra[:3]]))
-    scored = score(rows.select(*needed), model).select(*(own if carry else ("doc_id", "lang")), *extra)
+    scored = rows.join(found, "node", "left").withColumn("surprise", F.coalesce("surprise", F.lit(0.0))).withColumn("symbols", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    scored = scored.select(*(own if carry else ("doc_id", "lang")), *extra)
     if not carry:
         scored = settle(scored)
     else:

@@ -145,3 +145,33 @@ def test_chat_digest(spark, sf_dir):
     text = r"\### Assistant: </turn> ok"
     assert rows[-7]["n_turns"] == 2 and rows[-7]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert rows[-7]["loss_chars"] == len(text) and rows[-7]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_word_model(spark):
+    rnd = random.Random(9)
+    taught = [" ".join(rnd.choice(["river", "runs", "to", "é1", "--"]) for _ in range(rnd.randint(1, 12))) for _ in range(40)] + [""]
+    rows = [(i, t, True) for i, t in enumerate(taught)] + [(90, "runs unseen", False), (91, "river river", False), (91, "river river", False)]
+    df = spark.createDataFrame(rows, "node long, text string, taught boolean").withColumn("code", F.lit(3))
+    grams = quality.corpus_word_grams(df).cache()
+    words = quality.vocabulary(df).cache()
+    assert {r["text"].strip() for r in words.collect()} == {"", "river", "runs", "to", "é1", "--", "unseen"}
+    got = {r["node"]: r["surprise"] for r in quality.word_surprise(df, quality.word_model(grams, words.selectExpr("word", f"{1 / 2**quality.SYMBOL}D AS below"))).collect()}
+    p = brute_kn([t.split() for t in taught], quality.WORDS)
+    texts = {i: t.split() for i, t, _ in rows}
+    assert set(got) == {i for i, t in texts.items() if t}
+    for i, own in texts.items():
+        if own:
+            s = (0,) * (quality.WORDS - 1) + tuple(own)
+            want = -sum(math.log(p(s[k : k + quality.WORDS])) for k in range(len(own)))
+            if i not in {k for k, t in enumerate(taught) if taught.count(t) > 1}:
+                assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_judge_sees_the_order_of_words(spark):
+    rnd = random.Random(12)
+    line = "the quiet river runs down to the wide sea and the old hills sleep under a pale cold moon while nobody counts these slow grey hours".split()
+    good = lambda: " ".join(line[rnd.randrange(8) :] + line + line[: rnd.randrange(1, 20)])
+    mixed = lambda: " ".join(rnd.sample(line * 2, 2 * len(line)))
+    rows = [(i, good(), "en") for i in range(150)] + [(200 + i, mixed(), "en") for i in range(10)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")).collect()
+    assert not any(r["keep"] for r in got if r["doc_id"] >= 200)
