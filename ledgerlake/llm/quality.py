@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._dist import settle, small_batches, tidy
@@ -20,8 +20,10 @@ BODY = ORDER * SYMBOL
 WORDS = 3
 #: A share of the trusted texts is held out of the counts and sets the thresholds.
 HELD_OUT_OF_10 = 2
-#: A threshold is this quantile of the held-out perplexities of a language, times the slack.
-QUANTILE, SLACK = 0.99, 1.3
+#: A language without bad labels has this quantile of its held-out perplexities for threshold.
+QUANTILE = 0.99
+#: Elsewhere labels choose the quantile, on the logarithms of perplexities in bins of one in so many.
+BINS = 1000
 #: A text counts as if it had so many more symbols of its language's mean surprise, so short texts are not judged on little.
 PRIOR = 40
 #: Above so many trusted ids a shuffle join takes the place of the broadcast.
@@ -339,15 +341,32 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with code (of the language), trusted and taught (trusted and not held out)."""
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct()
+    """docs with code (of the language), trusted, taught (trusted and not held out) and poor (labelled bad and not good)."""
+    ids = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
     ids = settle(ids)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = docs.join(ids, F.col("doc_id") == F.col("_trusted"), "left")
+    rows = docs.join(ids, F.col("doc_id") == F.col("_labelled"), "left")
     fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(10))
-    trusted = F.col("_trusted").isNotNull()
-    return rows.select(*docs.columns, lang_code(F.col("lang")).alias("code"), trusted.alias("trusted"), (trusted & F.coalesce(fold >= HELD_OUT_OF_10, F.lit(False))).alias("taught"))
+    trusted, poor = (F.coalesce(F.col("_quality") == q, F.lit(False)) for q in (1, 0))
+    return rows.select(*docs.columns, lang_code(F.col("lang")).alias("code"), trusted.alias("trusted"), (trusted & F.coalesce(fold >= HELD_OUT_OF_10, F.lit(False))).alias("taught"), poor.alias("poor"))
+
+
+def cuts_of(rows: DataFrame) -> DataFrame:
+    """(lang, threshold) from rows(lang, perplexity, poor): held-out trusted texts and texts labelled bad.
+
+    The cut at which the share of held-out texts above and of bad texts not above are least together, in the middle of
+    the gap where it is; without bad texts the QUANTILE of the held-out ones. A language without held-out texts has none.
+    """
+    binned = rows.groupBy("lang", F.floor(F.log("perplexity") * BINS).alias("bin")).agg(F.sum((~F.col("poor")).cast("int")).alias("good"), F.sum(F.col("poor").cast("int")).alias("bad"))
+    whole, order = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy("bin")  # bins, a bounded number for each language
+    lost = 1 - F.sum("good").over(order) / F.sum("good").over(whole)
+    passed = F.sum("bad").over(order) / F.sum("bad").over(whole)
+    at = (F.col("bin") + 1 + F.coalesce(F.lead("bin").over(order), F.col("bin") + 1)) / (2 * BINS)
+    placed = binned.select("lang", "bin", at.alias("at"), F.sum("good").over(whole).alias("_good"), F.sum("bad").over(whole).alias("_bad"), F.sum("good").over(order).alias("_upto"), F.when(F.sum("bad").over(whole) > 0, lost + passed).alias("wrong"))
+    best = placed.where("_good > 0 AND _bad > 0").groupBy("lang").agg(F.exp(F.min_by("at", F.struct("wrong", -F.col("_upto"), "bin"))).alias("threshold"))
+    plain = rows.groupBy("lang").agg(F.max("poor").alias("_any"), F.percentile_approx("perplexity", QUANTILE, 10_000).alias("threshold")).where("NOT _any").select("lang", "threshold")
+    return best.union(plain)
 
 
 def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
@@ -355,12 +374,12 @@ def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
 
     Texts are scored by word n-grams whose unknown words are spelled by character n-grams; symbols are characters.
     Trusted texts are those that labels(doc_id, quality) gives quality 1. All of them but a held-out fifth are counted;
-    a language's threshold is a quantile of the held-out perplexities times a slack, and a text is kept if its
+    a language's threshold is the quantile of the held-out perplexities that labels choose (cuts_of), and a text is kept if its
     perplexity is not above. A language without held-out texts gets the threshold of all languages; a language
     without trusted texts has no model, and its texts are kept. Null and empty texts have no symbols, the mean perplexity of their language, and are kept;
     a null lang is a language; ids may be null or repeat; an empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("code", "trusted", "taught", "node", "surprise", "symbols", "perplexity", "threshold", "keep")]
+    own = [c for c in docs.columns if c not in ("code", "trusted", "taught", "poor", "node", "surprise", "symbols", "perplexity", "threshold", "keep")]
     small_batches(docs.sparkSession)
     rows = flagged(docs.select(*own), labels)
     rows = rows.withColumn("node", F.xxhash64("text", "code"))
@@ -372,7 +391,7 @@ def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     base = settle(base.join(F.broadcast(space), "code").select("word", F.exp(F.col("_space") - F.col("surprise")).alias("below")))
     model = settle(word_model(settle(corpus_word_grams(rows.select("text", "code", "taught"))), base))
     found = settle(word_surprise(rows, model))
-    extra = ["code", "trusted", "taught", "surprise", "symbols"]
+    extra = ["code", "trusted", "taught", "poor", "surprise", "symbols"]
     scored = rows.join(found, "node", "left").withColumn("surprise", F.coalesce("surprise", F.lit(0.0))).withColumn("symbols", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
     scored = scored.select(*(own if carry else ("doc_id", "lang")), *extra)
     if not carry:
@@ -389,10 +408,10 @@ def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
         return scored.select(*(own if carry else ("doc_id", "lang")), "symbols", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     m = F.coalesce("mean", F.lit(overall))
     with_means = lambda d: d.join(means.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("perplexity", surprise(m)).withColumn("_known", F.col("mean").isNotNull()).drop("_lang", "mean")
-    ppl = with_means(base).where(held_out)
-    cut = (F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("threshold")
-    overall_cut = ppl.agg(cut).first()["threshold"]
-    cuts = ppl.groupBy(F.col("lang").alias("_lang")).agg(cut)
+    ppl = settle(with_means(base).where(held_out | (F.col("poor") & (F.col("symbols") > 0))).select("lang", "perplexity", "poor"))
+    overall_cut = cuts_of(ppl.withColumn("lang", F.lit(""))).first()
+    overall_cut = overall_cut["threshold"] if overall_cut else None
+    cuts = cuts_of(ppl).withColumnRenamed("lang", "_lang")
     out = with_means(scored).join(cuts, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.coalesce("threshold", F.lit(overall_cut).cast("double"))
     keep = F.coalesce((F.col("symbols") == 0) | ~F.col("_known") | (F.col("perplexity") <= threshold), F.lit(True))

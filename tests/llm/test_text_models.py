@@ -175,3 +175,15 @@ def test_judge_sees_the_order_of_words(spark):
     rows = [(i, good(), "en") for i in range(150)] + [(200 + i, mixed(), "en") for i in range(10)]
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")).collect()
     assert not any(r["keep"] for r in got if r["doc_id"] >= 200)
+
+
+def test_thresholds_have_no_slack(spark):
+    rnd = random.Random(14)
+    text = lambda: " ".join(rnd.choice(["the", "river", "runs", "to", "sea"]) for _ in range(rnd.randint(20, 60)))
+    rows = [(i, text(), "en") for i in range(120)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")).collect()
+    assert got[0]["threshold"] <= max(r["perplexity"] for r in got)
+    good, bad = [(p / 100, False) for p in range(200, 300)], [(p / 100, True) for p in range(310, 330)]
+    rows = [("a", *x) for x in good + bad] + [("b", *x) for x in good] + [("c", *x) for x in bad]
+    cuts = {r["lang"]: r["threshold"] for r in quality.cuts_of(spark.createDataFrame(rows, "lang string, perplexity double, poor boolean")).collect()}
+    assert set(cuts) == {"a", "b"} and 2.99 < cuts["a"] < 3.1 and cuts["b"] == pytest.approx(2.98, abs=0.011)
