@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -126,6 +127,22 @@ def test_near_names_lose_nothing(spark):
     assert got == resolve.brute_near_names(rows)
 
 
+def test_near_names_with_typos_anywhere(spark):
+    rnd = random.Random(3)
+    names = ["smith family office", "smyth family office", "family office", "familie office", "ab", "ab", "abc", "éa capital", "aé capital"]
+    for _ in range(60):
+        words = [rnd.choice(["smith", "jones", "oak", "birch", "rosewater", "kline"]), *rnd.sample(["family", "office", "capital", "partners", "group"], rnd.randint(1, 3))]
+        names.append(" ".join(words))
+        typo = list(names[-1])
+        for _ in range(rnd.randint(1, 2)):
+            typo[rnd.randrange(len(typo))] = rnd.choice(["", "x", "y", "zz"])
+        names.append("".join(typo))
+    rows = list(enumerate(names))
+    df = spark.createDataFrame([(i, n, n) for i, n in rows], "ordinal long, key string, name string")
+    for least in (92, 70):
+        assert {r["ordinal"]: r["score"] for r in resolve.near_names(df, least).collect()} == resolve.brute_near_names(rows, least)
+
+
 def test_dedupe_records(spark, records):
     df = records({}, {"fo_id": "b", "name": "Alder II", "hq_phone": "1", "record_confidence": "Low", "description": "d"}, {"fo_id": "c", "name": "Alder Family Office", "website": "https://c.example.org"}, {"fo_id": "d", "name": "Other", "website": None, "hq_state": "NY"})
     df = df.withColumn("ordinal", F.monotonically_increasing_id())
