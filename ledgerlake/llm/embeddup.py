@@ -255,14 +255,18 @@ def cross_links(members: DataFrame, cosine: float) -> DataFrame:
     return sure.union(_groups(sides[0].union(sides[1]), "key", compare, "a long, b long"))
 
 
-def joined(lists: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
-    """(id, root): the components that the lists' links and those between nodes with lists full of links make."""
+def joined(lists: DataFrame, nodes: DataFrame, cosine: float, whole: bool = False) -> DataFrame:
+    """(id, root): the components that the lists' links and those between nodes with lists full of links make; with whole, those between all nodes."""
     least = cosine - MARGIN
     close = lists.where(F.col("sim") >= least).select(F.col("node").alias("a"), F.col("other").alias("b"))
     loose = settle(components(close))
     # a list that is full of links may have no place for those to another component; other lists hold all links of their nodes
     full = lists.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("low") >= least) & (F.col("n") >= NEIGHBOURS)).select("node")
-    members = full.join(loose.withColumnRenamed("id", "node"), "node").join(nodes.select("node", "x"), "node").select("root", "node", "x")
+    if whole:
+        alone = nodes.select("node", "x").join(loose.withColumnRenamed("id", "node"), "node", "left")
+        members = alone.select(F.coalesce("root", "node").alias("root"), "node", "x")
+    else:
+        members = full.join(loose.withColumnRenamed("id", "node"), "node").join(nodes.select("node", "x"), "node").select("root", "node", "x")
     more = settle(cross_links(members, cosine))
     return settle(components(close.union(more))) if more.limit(1).count() else loose
 
@@ -309,7 +313,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Equal vectors are one node. The neighbour graph starts from random-projection trees and is refined by joins of
     neighbours' neighbours; where a list is full of links it is enlarged. Links connect components; nodes whose lists are
     full are compared across components by clusters, so no link that leaves a full list is lost. An audit against brute
-    force on a sample adds trees and rounds while recall is short. In components all pairs are compared on doubles, block
+    force on a sample adds trees and rounds, EXTRA times at most; if recall is still short, all nodes are compared across
+    components, which loses nothing but grows with the square of the clusters. In components all pairs are compared on doubles, block
     by block, which gives the links that full lists could not hold. None below cosine is a link.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing. Shorter vectors count as
@@ -332,9 +337,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         sizes = full
         lists = descend(lists, nodes, sizes)
     loose = joined(lists, nodes, cosine)
-    for r in range(EXTRA):
+    for r in range(EXTRA + 1):
         if audit(loose, nodes, cosine) >= RECALL:
             break
+        if r == EXTRA:  # the search is still short: compare everything
+            loose = joined(lists, nodes, cosine, whole=True)
+            break
         more = first_lists(nodes, n, TREES, 2 + r).withColumn("old", F.lit(False))
         lists = descend(settle(shortened(lists.union(more), sizes)), nodes, sizes)
         loose = joined(lists, nodes, cosine)

@@ -213,3 +213,11 @@ def test_links_that_leave_full_lists(spark):
     assert min(w[0] for w in want[:200]) > 150  # most links lead to the other group
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {d: w for (d, _), w in zip(rows, want, strict=True)}
+
+
+def test_short_search_is_made_up_for(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    rows = [(5 * c + k, (centre + 0.2 * rnd.standard_normal(16)).tolist()) for c, centre in enumerate(rnd.standard_normal((12, 16))) for k in range(5)]
+    monkeypatch.setattr(embeddup, "first_lists", lambda nodes, *_: nodes.limit(0).selectExpr("node", "node AS other", "CAST(0 AS FLOAT) AS sim"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {d: w for (d, _), w in zip(rows, brute_links(rows), strict=True)} and any(n for n, _ in got.values())
