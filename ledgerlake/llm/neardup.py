@@ -323,8 +323,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bucket: int
     forests' pairs, then the nodes outside the largest class that these leave, against all nodes of the group in blocks.
 
     Null, empty and wordless texts are a class each, except that equal wordless texts share one. A null doc_id is a
-    member; a class of null ids has class_id null. kept: one row of each class, that of the smallest doc_id; equal
-    rows are kept alike. Other columns are ignored; an empty table gives no rows.
+    member; a class of null ids has class_id null. kept: one row of each class, that of the smallest doc_id, of null ids
+    that of the smallest raw; equal rows are kept alike. Other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     sig = settle(signatures(docs))
@@ -368,16 +368,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bucket: int
             roots = components(links.union(more)).withColumnRenamed("id", "node")
         exact = exact.union(roots.select("node", "root"))
     exact = settle(exact)
-    class_of_node = sig.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(exact, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = class_of_node.groupBy("root").agg(F.min("least").alias("class_id"))
-    ids = class_of_node.join(least, "root").select("node", "class_id")
-    with_words = sig.where("node <> 0").join(ids, "node").select("doc_id", "raw", "class_id")
+    class_of_node = sig.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("raw").alias("first")).join(exact, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = class_of_node.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("first"))
+    ids = class_of_node.drop("first").join(least, "root").select("node", "class_id", "first")
+    with_words = sig.where("node <> 0").join(ids, "node").select("doc_id", "raw", "class_id", "first")
     empty = F.xxhash64(F.lit(""))
     blank = sig.where("node = 0")
     same = blank.groupBy("raw").agg(F.min("doc_id").alias("_least"))
     nothing = (F.col("raw") == empty) | (F.col("raw") == F.xxhash64(F.lit(None).cast("string")))
-    rest = blank.join(same, "raw").select("doc_id", "raw", F.when(nothing, F.col("doc_id")).otherwise(F.col("_least")).alias("class_id"))
-    return with_words.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    rest = blank.join(same, "raw").select("doc_id", "raw", F.when(nothing, F.col("doc_id")).otherwise(F.col("_least")).alias("class_id"), F.col("raw").alias("first"))
+    kept = F.when(F.col("class_id").isNull(), F.col("raw") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return with_words.union(rest).withColumn("kept", kept).drop("first")
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:

@@ -221,3 +221,11 @@ def test_short_search_is_made_up_for(spark, monkeypatch):
     monkeypatch.setattr(embeddup, "first_lists", lambda nodes, *_: nodes.limit(0).selectExpr("node", "node AS other", "CAST(0 AS FLOAT) AS sim"))
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {d: w for (d, _), w in zip(rows, brute_links(rows), strict=True)} and any(n for n, _ in got.values())
+
+
+def test_near_duplicates_without_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join([*base, f"end{k}"])) for k in range(3)] + [(None, "another text of some more words here"), (7, " ".join(f"v{i}" for i in range(50)))]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(r["text"][:7] for r in neardup.deduplicate(df).collect()) == sorted(["w0 w1 w", "another", "v0 v1 v"])
+    assert neardup.near_duplicates(df).where("kept").count() == 3
