@@ -7,6 +7,7 @@ import ctypes
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 _local: str | None = None
 
 
+#: When a query that writes a table has ended, its shuffle files go: nothing reads them any more.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session with name set to value; afterwards it is as it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again; this cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(df.sparkSession, _CLEAN, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
@@ -77,11 +97,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 ROWS_PER_BATCH = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ROWS_PER_BATCH rows, unless the session asks for a number of its own."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hold Arrow batches to ROWS_PER_BATCH rows for a while, unless the session asks for a number of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(ROWS_PER_BATCH))
+    before = spark.conf.get(name, "10000")
+    with setting(spark, name, str(ROWS_PER_BATCH) if before == "10000" else before):
+        yield
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """batches, cut into ones of at most rows rows."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
 
 
 def tidy(work):

@@ -21,6 +21,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The different numbers of an array, in order; sorting is faster here than np.unique()."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, and where each key's begin in it."""
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
     if len(_powers.get("up", ())) < n:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._dist import components, settle, small_batches, tidy
-from ._text import flat, mix, pieces, shingles, words
+from ._text import distinct, flat, mix, pieces, shingles, words
 
 WIDTH, SIMILARITY = 5, 0.8
 #: 25 bands of 5 coordinates: texts of similarity 0.8 share a band with probability 0.99995.
@@ -246,7 +246,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataF
             for lo, hi, h, owner, counts in _hashed(b):
                 s, own = shingles(h, owner, counts, width)
                 edge = np.searchsorted(own, np.arange(hi - lo + 1))
-                out += [np.unique(s[edge[i] : edge[i + 1]]).astype("<i8").tobytes() for i in range(hi - lo)]
+                out += [distinct(s[edge[i] : edge[i + 1]]).astype("<i8").tobytes() for i in range(hi - lo)]
             yield pa.record_batch([b.column("node"), b.column("group"), pa.array(out, pa.binary())], ["node", "group", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("raw", F.xxhash64("text"))
@@ -326,8 +326,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bucket: int
     member; a class of null ids has class_id null. kept: one row of each class, that of the smallest doc_id, of null ids
     that of the smallest raw; equal rows are kept alike. Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    sig = settle(signatures(docs))
+    with small_batches(docs.sparkSession):
+        sig = settle(signatures(docs))
 
     per_node = sig.where("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.min_by("sketch", "raw").alias("sketch"), F.min_by("bands", "raw").alias("bands"))
     nodes = settle(per_node.select("node", "first.doc_id", "first.raw", "sketch", "bands"))
@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bucket: int
     loose = settle(components(pairs))
     sizes = loose.groupBy("root").agg(F.count("*").alias("n"))
     grouped = loose.join(sizes, "root").withColumnRenamed("root", "group").join(nodes.select(F.col("node").alias("id"), "doc_id", "raw"), "id").withColumnRenamed("id", "node")
-    sets = settle(shingle_sets(docs, grouped.select("doc_id", "raw", "node", "group", "n").drop("n")).dropDuplicates(["node"]).join(sizes.withColumnRenamed("root", "group"), "group"))
+    with small_batches(docs.sparkSession):
+        sets = settle(shingle_sets(docs, grouped.select("doc_id", "raw", "node", "group", "n").drop("n")).dropDuplicates(["node"]).join(sizes.withColumnRenamed("root", "group"), "group"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)

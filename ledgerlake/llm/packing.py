@@ -169,9 +169,9 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None, rows_pe
     third of all pieces have is spread over many tasks. Null and empty texts are one end id; a null doc_id is kept; equal
     rows are packed each; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     path = path or word_bpe_path()
-    pieces = settle(cut(docs, capacity, path))
+    with small_batches(docs.sparkSession):
+        pieces = settle(cut(docs, capacity, path))
     total = pieces.count()
     groups = max(1, -(-total // rows_per_group))
     pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))

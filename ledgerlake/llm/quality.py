@@ -1,4 +1,4 @@
-"""Operator 2: interpolated modified Kneser-Ney models of words and their spelling in trusted text; perplexity against quantiles by language."""
+"""Operator 2: interpolated modified Kneser-Ney models of character n-grams of trusted text; perplexity against quantiles by language."""
 
 from __future__ import annotations
 
@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._dist import settle, small_batches, tidy
-from ._text import WORD_BYTES, flat, mix, pieces, prefix, span_hash
+from ._dist import discard, settle, small_batches, tidy
+from ._text import distinct, flat, grouped, mix, pieces
 
-#: Character n-grams of ORDER symbols; a symbol is a code point folded to SYMBOL bits, 0 the place before the text.
-ORDER, SYMBOL = 4, 13
-BODY = ORDER * SYMBOL
-#: Word n-grams of WORDS tokens: runs of letters and digits, or of other signs. Words never taught are spelled by the character model.
-WORDS = 3
+#: N-grams of ORDER symbols. A symbol is a code point; white space and controls are one symbol, and 0 stands before the text.
+ORDER = 6
+#: Below the unigrams every code point of Unicode is as probable as any other.
+CODE_POINTS = 0x110000
 #: A share of the trusted texts is held out of the counts and sets the thresholds.
 HELD_OUT_OF_10 = 2
 #: A language without bad labels has this quantile of its held-out perplexities for threshold.
@@ -28,73 +27,101 @@ BINS = 1000
 PRIOR = 40
 #: Above so many trusted ids a shuffle join takes the place of the broadcast.
 BROADCAST_IDS = 2_000_000
-#: A shard of the table of log-probabilities has about so many rows: 12 bytes each on the driver, 24 in a task.
-SHARD_ROWS = 1_500_000
+#: Texts of about so many bytes are a block: its different n-grams are asked for once. A task holds a block compressed and its n-grams.
+BLOCK = 64 << 20
+#: The model is cut by hash into shards of about so many n-grams, and a shard answers so many blocks in one task.
+SHARD_ROWS, BLOCKS_PER_TASK = 500_000, 256
+#: A task counts so many different n-grams before it passes them on.
+HELD_GRAMS = 1_500_000
+_STEPS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
 def lang_code(c: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(256)).cast("int")
+    """64 bits that name a language; null is one."""
+    return F.xxhash64(c.isNull(), c)
 
 
-def keys(data: np.ndarray, off: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the n-gram that ends at each symbol, and the number of symbols of each text."""
+def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts in a row and the number of each text's."""
     chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
-    sym = np.where(chars <= 32, 32, np.where(chars < 8192, chars, 4096 + (chars & 4095))).astype(np.int64)
-    n = np.diff(begins)
-    key = sym | np.repeat(lang.astype(np.int64) << BODY, n)
-    for k in range(1, ORDER):
+    return np.where(chars <= 32, np.uint32(32), chars), np.diff(begins)
+
+
+def windows(sym: np.ndarray, n: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
+    """Column by column, the last first, the n-grams that end at each symbol; 0 before a text's first."""
+    place = np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)
+    yield sym
+    for k in range(1, order):
         back = np.zeros_like(sym)
         back[k:] = sym[: max(len(sym) - k, 0)]
-        edge = (begins[:-1, None] + np.arange(k)[None, :])[np.arange(k)[None, :] < n[:, None]]
-        back[edge] = 0
-        key |= back << (SYMBOL * k)
-    return key, n
+        back[place < k] = 0
+        yield back
+
 
+def gram_hash(columns: Iterator[np.ndarray], code: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each n-gram and its language; columns as windows() gives them."""
+    h = code.astype(np.uint64)
+    for step, c in zip(_STEPS, columns, strict=False):
+        h = h + (c.astype(np.uint64) + np.uint64(1)) * step
+    return mix(h)
 
-def suffix(key: Column, k: int) -> Column:
-    """The last k symbols of a key, with its language."""
-    mask = (-1 << BODY) | ((1 << (SYMBOL * k)) - 1)
-    return key.bitwiseAND(F.lit(mask).cast("long"))
 
+def as_strings(grams: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    size = np.select([grams < 0x80, grams < 0x800, grams < 0x10000], [1, 2, 3], 4).sum(1)
+    data = grams.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.string(), len(grams), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data)])
 
-def context(key: Column) -> Column:
-    """A key without its last symbol."""
-    body = F.lit((1 << BODY) - 1).cast("long")
-    return key.bitwiseAND(F.lit(-1 << BODY).cast("long")).bitwiseOR(F.shiftright(key.bitwiseAND(body), SYMBOL))
+
+def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Parts (hash, rest..., count) as one in which every hash stands once, with the sum of its counts."""
+    both = [np.concatenate(x) for x in zip(*held, strict=True)]
+    order, begin = grouped(both[0])
+    first = order[begin]
+    return [*(x[first] for x in both[:-1]), np.add.reduceat(both[-1][order], begin)]
 
 
 def corpus_grams(docs: DataFrame) -> DataFrame:
-    """(key, c): every n-gram of docs(text, code, taught) and how often the texts with taught have it. Sums within tasks first."""
+    """(code, gram, c): every n-gram of docs(text, code, taught) and how often the texts with taught have it. Sums within tasks first."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            return key[first], np.add.reduceat(n, first) if len(first) else n
+        def out(part: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(part[1]), as_strings(part[2]), pa.array(part[3])], ["code", "gram", "c"])
 
         for b in batches:
             data, off = flat(b.column("text"))
             code, taught = b.column("code").to_numpy(), b.column("taught").to_numpy(zero_copy_only=False)
             for lo, hi in pieces(off):
-                key, n = keys(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], code[lo:hi])
-                mine = np.repeat(taught[lo:hi], n)
-                for part, weight in ((key[mine], 1), (key[~mine], 0)):
-                    found, times = np.unique(part, return_counts=True)
-                    if len(found):
-                        held.append((found, times.astype(np.int64) * weight))
-            if sum(len(k) for k, _ in held) > 1_000_000:
-                held[:] = [merged()]
-                if len(held[0][0]) > 500_000:
-                    yield pa.record_batch([pa.array(x) for x in held.pop()], ["key", "c"])
+                sym, n = symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                if not len(sym):
+                    continue
+                columns, own = list(windows(sym, n)), np.repeat(code[lo:hi], n)
+                key = gram_hash(columns, own)
+                order, begin = grouped(key)
+                first = order[begin]
+                times = np.add.reduceat(np.repeat(taught[lo:hi], n)[order], begin, dtype=np.int64)
+                held.append([key[first], own[first], np.column_stack([c[first] for c in reversed(columns)]), times])
+            if sum(len(h[0]) for h in held) > 2 * HELD_GRAMS:
+                held[:] = [_merged(held)]
+                if len(held[0][0]) > HELD_GRAMS:
+                    yield out(held.pop())
         if held:
-            yield pa.record_batch([pa.array(x) for x in merged()], ["key", "c"])
+            yield out(_merged(held))
+
+    return docs.select("text", "code", "taught").mapInArrow(tidy(gather), "code long, gram string, c long").groupBy("code", "gram").agg(F.sum("c").alias("c"))
+
+
+def suffix(k: int) -> Column:
+    """The last k symbols of gram."""
+    return F.expr(f"right(gram, {k})")
+
 
-    return docs.mapInArrow(tidy(gather), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def context(k: int) -> Column:
+    """The first k - 1 symbols of gram, which has k."""
+    return F.expr(f"left(gram, {k - 1})")
 
 
 def discounts_of(counts: dict[int, DataFrame]) -> dict[int, list[float]]:
@@ -105,169 +132,181 @@ def discounts_of(counts: dict[int, DataFrame]) -> dict[int, list[float]]:
         one = t.agg(*of).withColumn("k", F.lit(k))
         rows = one if rows is None else rows.union(one)
     discounts = {}
-    for r in rows.collect():
+    for r in rows.collect():  # a row for each order
         n = [float(r[f"n{i}"] or 0) for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
         discounts[r["k"]] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i - 0.05) if n[i - 1] else 0.5 for i in (1, 2, 3)]
     return discounts
 
 
-def kneser_ney(grams: DataFrame) -> DataFrame:
-    """(key, logp) for every key of grams(key, c): counts of each order are sharded by their keys and joined order by order."""
-    counts = {ORDER: grams.where("c > 0")}
-    for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before each shorter n-gram
-        counts[k] = counts[k + 1].groupBy(suffix(F.col("key"), k).alias("key")).agg(F.count("*").alias("c"))
-    discounts = discounts_of(counts)
+def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, gram, logp) for every row of grams(code, gram, c), settled: counts of each order are sharded by n-gram and joined order by order."""
+    rows = {order: grams}
+    for k in range(order - 1, 0, -1):  # how many different symbols the taught texts have before each shorter n-gram
+        rows[k] = settle(rows[k + 1].groupBy("code", suffix(k).alias("gram")).agg(F.sum((F.col("c") > 0).cast("int")).alias("c")))
+    discounts = discounts_of(rows)
     lower = None
-    for k in range(1, ORDER + 1):
-        d = [F.lit(x) for x in discounts[k]]
-        c = F.coalesce("c", F.lit(0))
+    for k in range(1, order + 1):
+        d, c = [F.lit(x) for x in discounts[k]], F.col("c")
         discount = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        contexts = counts[k].groupBy(context(F.col("key")).alias("context")).agg(
+        contexts = rows[k].where("c > 0").groupBy("code", context(k).alias("context")).agg(
             F.sum("c").alias("total"),
-            (d[0] * F.sum((F.col("c") == 1).cast("int")) + d[1] * F.sum((F.col("c") == 2).cast("int")) + d[2] * F.sum((F.col("c") > 2).cast("int"))).alias("left"))
-        asked = grams.select("key") if k == ORDER else grams.select(suffix(F.col("key"), k).alias("key")).distinct()
-        if k < ORDER:
-            asked = asked.join(counts[k], "key", "left")
-        else:
-            asked = grams
-        asked = asked.withColumn("context", context(F.col("key"))).join(contexts, "context", "left")
+            (d[0] * F.sum((c == 1).cast("int")) + d[1] * F.sum((c == 2).cast("int")) + d[2] * F.sum((c > 2).cast("int"))).alias("left"))
+        asked = rows[k].withColumn("context", context(k)).join(contexts, ["code", "context"], "left")
         if lower is None:
-            asked = asked.withColumn("below", F.lit(1.0 / (1 << SYMBOL)))
+            asked = asked.withColumn("below", F.lit(1.0 / CODE_POINTS))
         else:
-            asked = asked.withColumn("short", suffix(F.col("key"), k - 1)).join(lower, "short")
+            asked = asked.withColumn("short", suffix(k - 1)).join(lower, ["code", "short"])
         p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.greatest(c - discount, F.lit(0.0)) + F.col("left") * F.col("below")) / F.col("total"))
-        lower = asked.select(F.col("key").alias("short"), p.alias("below"))
-    return lower.select(F.col("short").alias("key"), F.log("below").cast("float").alias("logp"))
+        lower = asked.select("code", F.col("gram").alias("short"), p.alias("below"))
+    model = settle(lower.select("code", F.col("short").alias("gram"), F.log("below").cast("float").alias("logp")))
+    for k in range(1, order):
+        discard(rows[k])
+    return model
 
 
-def tokens(data: np.ndarray, off: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, begin, end and text number of every token; the low 8 bits of a word are its language."""
-    kind = np.where(WORD_BYTES[data], 1, np.where(data <= 32, 0, 2)).astype(np.int8)
-    edge = np.ones(len(data) + 1, bool)
-    edge[1:-1] = kind[1:] != kind[:-1]
-    edge[off] = True
-    at = np.flatnonzero(edge)
-    start, end = at[:-1], at[1:]
-    real = kind[start] > 0
-    start, end = start[real], end[real]
-    text = np.searchsorted(off, start, "right") - 1
-    word = (span_hash(prefix(data), start, end) << np.uint64(8)) | code[text].astype(np.uint64)
-    return word.astype(np.int64), start, end, text
+def hashed_model(model: DataFrame) -> DataFrame:
+    """model(code, gram, logp) as (key, logp): key is the hash that tasks make of the n-grams of texts."""
 
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, _ = flat(b.column("gram"))
+            points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, ORDER), np.uint32)
+            yield pa.record_batch([pa.array(gram_hash(points.T[::-1], b.column("code").to_numpy()).astype(np.int64)), b.column("logp")], ["key", "logp"])
 
-def word_grams(word: np.ndarray, text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Key of the n-gram that ends at each token, and its words; before the text stand words of the language alone."""
-    columns = [word]
-    for k in range(1, WORDS):
-        back = code[text].astype(np.int64)
-        back[k:] = np.where(text[k:] == text[:-k], word[:-k], back[k:]) if k < len(word) else back[k:]
-        columns.insert(0, back)
-    key = np.zeros(len(word), np.uint64)
-    for c in columns:
-        key = mix(key + c.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return key.astype(np.int64), columns
+    return model.mapInArrow(tidy(name), "key long, logp float")
 
 
-WORD_COLUMNS = [f"w{k}" for k in range(WORDS)]
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", 3)
 
 
-def corpus_word_grams(docs: DataFrame) -> DataFrame:
-    """(key, w0, w1, w2, c): every word n-gram of docs(text, code, taught) and how often the texts with taught have it. Sums within tasks first."""
+def packed(a: np.ndarray) -> bytes:
+    """An array of numbers, byte by byte of all of them, compressed."""
+    flat_ = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return len(flat_).to_bytes(8, "little") + _zstd().compress(flat_, asbytes=True)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
 
-        def merged() -> list[np.ndarray]:
-            both = [np.concatenate(x) for x in zip(*held, strict=True)]
-            _, first, place = np.unique(both[0], return_index=True, return_inverse=True)
-            return [x[first] for x in both[:-1]] + [np.bincount(place, both[-1], len(first)).astype(np.int64)]
+def unpacked(b: bytes, kind: type) -> np.ndarray:
+    size, wide = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    raw = _zstd().decompress(b[8:], size, asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).reshape(-1)
+
 
+def blocked(docs: DataFrame, blocks: int) -> DataFrame:
+    """(block, rows): the rows of docs, of one block each, as compressed Arrow streams. A row's block is a hash of its text and doc_id."""
+    ids = [F.col(c) for c in ("doc_id",) if c in docs.columns]
+    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("text", *ids), F.lit(blocks)).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            place, rows = rows.column("_block").to_numpy(), rows.drop_columns("_block")
+            held.clear()
+            at = np.argsort(place, kind="stable")
+            found, streams = np.unique(place), []
+            for part in np.split(at, np.flatnonzero(np.diff(place[at])) + 1):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=_zstd())) as w:
+                    w.write_table(rows.take(pa.array(part)))
+                streams.append(sink.getvalue().to_pybytes())
+            return pa.record_batch([pa.array(found, pa.int32()), pa.array(streams, pa.binary())], ["block", "rows"])
+
+        size = 0
         for b in batches:
-            data, off = flat(b.column("text"))
-            code, taught = b.column("code").to_numpy(), b.column("taught").to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in pieces(off):
-                word, _, _, text = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], code[lo:hi])
-                if len(word):
-                    key, columns = word_grams(word, text, code[lo:hi])
-                    held.append([key, *columns, taught[lo:hi][text]])
-            if sum(len(h[0]) for h in held) > 1_000_000:
-                yield pa.record_batch([pa.array(x) for x in merged()], ["key", *WORD_COLUMNS, "c"])
-                held.clear()
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size > BLOCK // 2:
+                yield out()
+                size = 0
         if held:
-            yield pa.record_batch([pa.array(x) for x in merged()], ["key", *WORD_COLUMNS, "c"])
+            yield out()
 
-    schema = ", ".join(f"{c} long" for c in ("key", *WORD_COLUMNS, "c"))
-    return docs.mapInArrow(tidy(gather), schema).groupBy("key", *WORD_COLUMNS).agg(F.sum("c").alias("c"))
+    return dealt.mapInArrow(tidy(pack), "block int, rows binary")
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, code, text): every word of docs(text, code) between two spaces, and a space alone for each language."""
+def _texts(streams: pa.ChunkedArray) -> Iterator[tuple[pa.Table, list[tuple[int, int, np.ndarray, np.ndarray]]]]:
+    """Table by table of a block, with (first row, last row, n-gram hashes, symbols of each text) piece by piece."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = flat(b.column("text"))
-            code = b.column("code").to_numpy()
-            out: dict[int, tuple[int, str]] = {int(c): (int(c), " ") for c in np.unique(code)}
-            for lo, hi in pieces(off):
-                piece = data[off[lo] : off[hi]]
-                word, start, end, text = tokens(piece, off[lo : hi + 1] - off[lo], code[lo:hi])
-                raw = piece.tobytes()
-                for i in np.unique(word, return_index=True)[1]:
-                    out.setdefault(int(word[i]), (int(code[lo + text[i]]), f" {raw[start[i] : end[i]].decode('utf-8', 'replace')} "))
-            if out:
-                yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array([c for c, _ in out.values()], pa.int32()), pa.array([t for _, t in out.values()], pa.string())], ["word", "code", "text"])
-
-    return docs.mapInArrow(tidy(gather), "word long, code int, text string").groupBy("word", "code").agg(F.min("text").alias("text"))
-
-
-def word_model(grams: DataFrame, base: DataFrame) -> DataFrame:
-    """(key, logp) for every n-gram of grams(key, w0.., c): modified Kneser-Ney over words; base(word, below) is what a word's spelling says."""
-    counts = {WORDS: grams.where("c > 0").select(*WORD_COLUMNS, "c")}
-    for k in range(WORDS - 1, 0, -1):
-        counts[k] = settle(counts[k + 1].groupBy(*WORD_COLUMNS[WORDS - k :]).agg(F.count("*").alias("c")))
-    discounts = discounts_of(counts)
-    lower = base.withColumnRenamed("word", WORD_COLUMNS[-1])
-    for k in range(1, WORDS + 1):
-        own, d = WORD_COLUMNS[WORDS - k :], [F.lit(x) for x in discounts[k]]
-        before = own[:-1] or ["lang"]
-        with_lang = lambda t: t.withColumn("lang", F.col(WORD_COLUMNS[-1]).bitwiseAND(F.lit(255)))
-        contexts = with_lang(counts[k]).groupBy(*before).agg(
-            F.sum("c").alias("total"),
-            (d[0] * F.sum((F.col("c") == 1).cast("int")) + d[1] * F.sum((F.col("c") == 2).cast("int")) + d[2] * F.sum((F.col("c") > 2).cast("int"))).alias("left"))
-        if k == WORDS:
-            asked = grams
-        elif k == 1:
-            asked = base.select(F.col("word").alias(own[0])).join(counts[k], own, "left")
-        else:
-            asked = grams.select(*own).distinct().join(counts[k], own, "left")
-        asked = with_lang(asked).join(contexts, before, "left").join(lower, own[1:] or own)
-        c = F.coalesce("c", F.lit(0))
-        discount = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.greatest(c - discount, F.lit(0.0)) + F.col("left") * F.col("below")) / F.col("total"))
-        lower = asked.select(*(["key"] if k == WORDS else own), p.alias("below"))
-        if k < WORDS:
-            lower = settle(lower)
-    return lower.select("key", F.log("below").cast("float").alias("logp"))
+    def parts(t: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        data, off = flat(t.column("text").combine_chunks())
+        code = t.column("code").to_numpy()
+        for lo, hi in pieces(off):
+            sym, n = symbols(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            yield lo, hi, gram_hash(windows(sym, n), np.repeat(code[lo:hi], n)), n
 
+    for s in streams:
+        t = pa.ipc.open_stream(s.as_buffer()).read_all().combine_chunks()
+        yield t, parts(t)
 
-def word_surprise(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(node, surprise) for the texts of docs(node, text, code) that have words; rows of one node have one text. Joined by n-gram, whatever the sizes."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = flat(b.column("text"))
-            code, node = b.column("code").to_numpy(), b.column("node").to_numpy()
-            for lo, hi in pieces(off):
-                word, _, _, text = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], code[lo:hi])
-                if len(word):
-                    key, _ = word_grams(word, text, code[lo:hi])
-                    first = np.concatenate([[True], text[1:] != text[:-1]])
-                    yield pa.record_batch([pa.array(node[lo:hi][text]), pa.array(key), pa.array(first)], ["node", "key", "first"])
+def score(docs: DataFrame, model: DataFrame, block: int = BLOCK, shard_rows: int = SHARD_ROWS, blocks_per_task: int = BLOCKS_PER_TASK) -> DataFrame:
+    """docs(text, code, ...) with surprise (the sum of -log p over the text's symbols) and symbols; model is hashed_model(), settled, of at least these texts.
 
-    rows = docs.select("node", "text", "code").mapInArrow(tidy(gather), "node long, key long, first boolean")
-    sums = rows.join(model, "key").groupBy("node").agg(F.sum("logp").alias("logp"), F.sum(F.col("first").cast("int")).alias("copies"))
-    return sums.select("node", (-F.col("logp") / F.col("copies")).alias("surprise"))
+    Texts are dealt to blocks. The different n-grams of a block are asked for once, shard by shard of the model; the
+    answers meet the block's texts and are summed text by text. What moves is the texts, compressed, once, and the
+    different n-grams of every block there and back. No task holds more than a shard, a block's n-grams and its
+    compressed texts; rows that agree in text and doc_id are of one block.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(spark.sparkContext.defaultParallelism, -(-size // block))
+    shards, salts = max(1, -(-model.count() // shard_rows)), -(-blocks // blocks_per_task)
+    shard_of = lambda key: ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    rows = blocked(docs, blocks)
+
+    def ask(key: tuple, block: pa.Table) -> pa.Table:
+        held: list[np.ndarray] = []
+        for _, parts in _texts(block.column("rows")):
+            for _, _, h, _ in parts:
+                held.append(distinct(h))
+                if sum(map(len, held[1:])) > max(len(held[0]), HELD_GRAMS):
+                    held = [distinct(np.concatenate(held))]
+        all_ = distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        edge = np.searchsorted(shard_of(all_), np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(edge))
+        deltas = [packed(np.diff(all_[edge[s] : edge[s + 1]], prepend=np.uint64(0))) for s in some]
+        mine = key[0].as_py()
+        return pa.table([pa.array(some, pa.int32()), pa.array([mine % salts] * len(some), pa.int32()), pa.array([mine] * len(some), pa.int32()), pa.array(deltas, pa.binary())], ["shard", "salt", "asker", "keys"])
+
+    def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        names, logp = known.column("key").to_numpy().view(np.uint64), known.column("logp").to_numpy()
+        order = np.argsort(names, kind="stable")
+        names, logp = names[order], logp[order]
+        out = []
+        for k in asked.column("keys"):
+            want = np.cumsum(unpacked(k.as_buffer().to_pybytes(), np.uint64), dtype=np.uint64)
+            at = np.searchsorted(names, want)
+            if len(names) == 0 or (names[np.minimum(at, len(names) - 1)] != want).any():
+                raise ValueError("the model lacks n-grams of the texts")
+            out.append(packed(logp[at]))
+        return pa.table([asked.column("asker"), asked.column("keys"), pa.array(out, pa.binary())], ["asker", "keys", "logp"])
+
+    asked = rows.groupBy("block").applyInArrow(ask, "shard int, salt int, asker int, keys binary")
+    top = F.shiftrightunsigned("key", 32)
+    known = model.select("key", "logp", F.shiftright(top * F.lit(shards), 32).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("t"))
+    answers = asked.groupBy("shard", "salt").cogroup(known.groupBy("s", "t")).applyInArrow(answer, "asker int, keys binary, logp binary")
+    names = docs.columns
+
+    def add(texts: pa.Table, said: pa.Table) -> pa.Table:
+        key = [np.cumsum(unpacked(k.as_buffer().to_pybytes(), np.uint64), dtype=np.uint64) for k in said.column("keys")]
+        logp = [unpacked(v.as_buffer().to_pybytes(), np.float32) for v in said.column("logp")]
+        table = Lookup(np.concatenate(key).view(np.int64), np.concatenate(logp)) if key else Lookup(np.zeros(0, np.int64), np.zeros(0, np.float32))
+        out = []
+        for t, parts in _texts(texts.column("rows")):
+            total, count = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
+            for lo, hi, h, n in parts:
+                sums = np.concatenate([[0.0], np.cumsum(table.get(h.view(np.int64)), dtype=np.float64)])
+                at = np.concatenate([[0], np.cumsum(n)])
+                total[lo:hi], count[lo:hi] = sums[at[:-1]] - sums[at[1:]], n
+            out.append(t.select(names).append_column("surprise", pa.array(total)).append_column("symbols", pa.array(count)))
+        return pa.concat_tables(out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return rows.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(add, f"{schema}, surprise double, symbols long")
 
 
 class Lookup:
@@ -308,38 +347,6 @@ class Lookup:
         return out
 
 
-def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """docs with surprise (the sum of -log p over the text's symbols) and symbols; model is kneser_ney() of at least these texts.
-
-    The model's table is cut by hash into shards of bounded size; each is joined to the texts in turn, on the map side,
-    and adds the surprise of the n-grams that it has.
-    """
-    shards = max(1, -(-model.count() // shard_rows))
-    out = docs.withColumn("surprise", F.lit(0.0)).withColumn("symbols", F.lit(0).cast("long"))
-    for s in range(shards):
-        part = model.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).toArrow()  # a shard of bounded size
-        held = docs.sparkSession.sparkContext.broadcast(Lookup(part.column("key").to_numpy(), part.column("logp").to_numpy()))
-        del part
-
-        def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                data, off = flat(b.column("text"))
-                code = b.column("code").to_numpy()
-                total, symbols = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-                for lo, hi in pieces(off):
-                    key, n = keys(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], code[lo:hi])
-                    sums = np.concatenate([[0.0], np.cumsum(held.value.get(key), dtype=np.float64)])
-                    at = np.concatenate([[0], np.cumsum(n)])
-                    total[lo:hi], symbols[lo:hi] = sums[at[:-1]] - sums[at[1:]], n
-                total += b.column("surprise").to_numpy()
-                names = b.schema.names
-                b = b.set_column(names.index("surprise"), "surprise", pa.array(total))
-                yield b.set_column(names.index("symbols"), "symbols", pa.array(symbols))
-
-        out = out.mapInArrow(tidy(add), out.schema)
-    return out
-
-
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with code (of the language), trusted, taught (trusted and not held out) and poor (labelled bad and not good)."""
     ids = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
@@ -372,33 +379,27 @@ def cuts_of(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, lang, symbols, perplexity, threshold, keep for each row of docs(doc_id, text, lang), and with carry all of docs' columns.
 
-    Texts are scored by word n-grams whose unknown words are spelled by character n-grams; symbols are characters.
-    Trusted texts are those that labels(doc_id, quality) gives quality 1. All of them but a held-out fifth are counted;
-    a language's threshold is the quantile of the held-out perplexities that labels choose (cuts_of), and a text is kept if its
-    perplexity is not above. A language without held-out texts gets the threshold of all languages; a language
-    without trusted texts has no model, and its texts are kept. Null and empty texts have no symbols, the mean perplexity of their language, and are kept;
-    a null lang is a language; ids may be null or repeat; an empty table gives no rows.
+    Texts are scored by the n-grams of ORDER characters that end at each of their characters (symbols), each language by a
+    model of its own. Trusted texts are those that labels(doc_id, quality) gives quality 1; if the labels of an id differ,
+    1 holds. All of them but a held-out fifth are counted. A language's threshold is the quantile of the held-out
+    perplexities that labels choose (cuts_of), and a text is kept if its perplexity is not above. A language without
+    held-out texts gets the threshold of all languages; a language without trusted texts has no model, and its texts are
+    kept. Null and empty texts have no symbols, the mean perplexity of their language, and are kept; a null lang is a
+    language; ids may be null or repeat; other columns stay with carry, those named like an added one are replaced; an
+    empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("code", "trusted", "taught", "poor", "node", "surprise", "symbols", "perplexity", "threshold", "keep")]
-    small_batches(docs.sparkSession)
-    rows = flagged(docs.select(*own), labels)
-    rows = rows.withColumn("node", F.xxhash64("text", "code"))
-    words = settle(vocabulary(rows.select("text", "code")))
-    spelled = rows.select("text", "code", "taught").union(words.select("text", "code", F.lit(False)))
-    spelling = settle(kneser_ney(settle(corpus_grams(spelled))))
-    base = settle(score(words, spelling).select("word", "code", "surprise"))
-    space = base.where("word = code").select("code", F.col("surprise").alias("_space"))  # a row for each language
-    base = settle(base.join(F.broadcast(space), "code").select("word", F.exp(F.col("_space") - F.col("surprise")).alias("below")))
-    model = settle(word_model(settle(corpus_word_grams(rows.select("text", "code", "taught"))), base))
-    found = settle(word_surprise(rows, model))
-    extra = ["code", "trusted", "taught", "poor", "surprise", "symbols"]
-    scored = rows.join(found, "node", "left").withColumn("surprise", F.coalesce("surprise", F.lit(0.0))).withColumn("symbols", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
-    scored = scored.select(*(own if carry else ("doc_id", "lang")), *extra)
-    if not carry:
-        scored = settle(scored)
-    else:
-        numbers = settle(scored.select("lang", *extra))
-    base = numbers if carry else scored
+    own = [c for c in docs.columns if c not in ("code", "trusted", "taught", "poor", "surprise", "symbols", "perplexity", "threshold", "keep", "_block")]
+    with small_batches(docs.sparkSession):
+        rows = flagged(docs.select(*own), labels)
+        grams = settle(corpus_grams(rows))
+        spelled = kneser_ney(grams)
+        discard(grams)
+        model = settle(hashed_model(spelled))
+        discard(spelled)
+        shown = [*(own if carry else ("doc_id", "lang")), "trusted", "taught", "poor", "surprise", "symbols"]
+        scored = settle(score(rows if carry else rows.select("doc_id", "lang", "text", "code", "trusted", "taught", "poor"), model).select(*shown))
+        discard(model)
+    base = scored
     held_out = F.col("trusted") & ~F.col("taught") & (F.col("symbols") > 0)
     mean = (F.sum(F.when(F.col("trusted"), F.col("surprise"))) / F.sum(F.when(F.col("trusted"), F.col("symbols")))).alias("mean")
     means = base.groupBy("lang").agg(mean).where("mean IS NOT NULL")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import discard, settle, small_batches, tidy
+from ._dist import discard, settle, slices, small_batches, tidy
 from ._text import flat, pieces, prefix, span_hash
 from .suffix import common_prefixes, suffix_array
 
@@ -162,7 +162,8 @@ def hashed_repeats(parts: DataFrame, length: int) -> DataFrame:
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, most: int = FRAGMENTS) -> DataFrame:
     """(raw, at, until): for each text, named by its hash, the byte places at which repeated strings start."""
-    rows = settle(fragments(docs, length, gram))
+    with small_batches(docs.sparkSession):
+        rows = settle(fragments(docs, length, gram))
     often = settle(rows.groupBy("g").agg(F.count("*").alias("n_g"), (F.min("f") != F.max("f")).alias("mixed")).where("n_g > 1"))
     known = settle(rows.join(often, "g").select("raw", "at", "more", "lead", "g", "f", "mixed"))
     discard(rows)
@@ -186,7 +187,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     other. Ids may be null or repeat; columns named like an added one are replaced, others stay; an empty table gives no
     rows. Texts are named by a 64-bit hash while their places are counted.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop("kept", "removed", "n_bytes")
     starts = repeated_starts(docs, length, gram, shard, most)
     by_text = starts.groupBy(F.col("raw").alias("_raw")).agg(F.collect_set(F.struct("at", "until")).alias("_starts"))  # as many as the text has fragments
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     columns = list(docs.columns)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, starts = b.column("text").cast(pa.binary()), b.column("_starts").to_pylist()
             kept, removed, size = [], [], []
             for i, runs in enumerate(starts):

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import small_batches, tidy
+from ._dist import slices, tidy
 from ._text import WORD_BYTES, flat, pieces, prefix, span_hash
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash.
@@ -122,13 +122,12 @@ def fit(places: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, r
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
     """Fit on the labelled rows of smallest hash, rows of them at most; that bound is all that reaches the driver."""
-    small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows)  # at most rows rows, so it can be broadcast
     rows_in = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data, off = flat(pc.utf8_lower(b.column("text")))
             ps, cs = [], []
             for lo, hi in pieces(off):
@@ -151,11 +150,10 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
     Null and empty texts have no features and so the grade of an empty score; ids may be null or repeat; other columns
     are ignored; an empty table gives no rows. The model's table has 2**BITS places whatever the data.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.table(), model))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             table, own = shared.value
             data, off = flat(pc.utf8_lower(b.column("text")))
             score = np.zeros(b.num_rows)

@@ -33,7 +33,7 @@ def brute_kn(texts, order):
 
     def p(g):
         if not g:
-            return 1 / 2**quality.SYMBOL
+            return 1 / quality.CODE_POINTS
         k = len(g)
         if not totals[k][g[:-1]]:
             return p(g[1:])
@@ -45,25 +45,33 @@ def brute_kn(texts, order):
 
 def test_kneser_ney(spark):
     rnd = random.Random(5)
-    taught = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randint(0, 80))) for _ in range(30)]
-    other = ["xyz abc", "", "dé dé dé", "日本語 abc", "A\tb\n"]
+    taught = ["".join(rnd.choice("abcdé 語") for _ in range(rnd.randint(0, 80))) for _ in range(30)]
+    other = ["xyz abc", "", "dé dé dé", "日本語 abc", "A\tb\n", "🙂" * 9, None]
     rows = [(t, True) for t in taught] + [(t, False) for t in other]
-    df = spark.createDataFrame(rows, "text string, taught boolean").withColumn("code", F.lit(3))
-    model = quality.kneser_ney(quality.corpus_grams(df)).cache()
-    p = brute_kn([[quality_symbol(c) for c in t] for t in taught], quality.ORDER)
-    for shard in (10**9, 40):
-        got = {r["text"]: r for r in quality.score(df.select("text", "code"), model, shard).collect()}
+    df = spark.createDataFrame(rows, "text string, taught boolean").withColumn("code", F.lit(3).cast("long")).cache()
+    model = quality.hashed_model(quality.kneser_ney(quality.settle(quality.corpus_grams(df)))).cache()
+    p = brute_kn([[symbol(c) for c in t] for t in taught], quality.ORDER)
+    for how in ({}, {"block": 200, "shard_rows": 100, "blocks_per_task": 3}):
+        got = {r["text"]: r for r in quality.score(df.select("text", "code"), model, **how).collect()}
+        assert len(got) == len(set(t for t, _ in rows))
         for t, _ in rows:
-            s = (0,) * (quality.ORDER - 1) + tuple(quality_symbol(c) for c in t)
-            want = -sum(math.log(p(s[i : i + quality.ORDER])) for i in range(len(t)))
-            assert got[t]["symbols"] == len(t) and got[t]["surprise"] == pytest.approx(want, rel=1e-4, abs=1e-4)
-    total = sum(p((0, 0, 0, c)) for c in range(2**quality.SYMBOL))
-    assert total == pytest.approx(1, abs=1e-6)
+            s = (0,) * (quality.ORDER - 1) + tuple(symbol(c) for c in t or "")
+            want = -sum(math.log(p(s[i : i + quality.ORDER])) for i in range(len(t or "")))
+            assert got[t]["symbols"] == len(t or "") and got[t]["surprise"] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    with pytest.raises(Exception, match="lacks n-grams"):
+        quality.score(spark.createDataFrame([("never seen", 3)], "text string, code long"), model).collect()
 
 
-def quality_symbol(c):
-    x = ord(c)
-    return 32 if x <= 32 else x if x < 8192 else 4096 + (x & 4095)
+def symbol(c):
+    return max(32, ord(c))
+
+
+def test_kneser_ney_sums_to_one():
+    taught = [[symbol(c) for c in t] for t in ("abc abd", "日本", "ab")]
+    p = brute_kn(taught, 3)
+    own = {c for t in taught for c in t}
+    for before in ((0, 0), (97, 98), (98, 97)):
+        assert sum(p((*before, c)) for c in own) + (quality.CODE_POINTS - len(own)) * p((*before, 7)) == pytest.approx(1, abs=1e-6)
 
 
 def test_lookup():
@@ -147,24 +155,29 @@ def test_chat_digest(spark, sf_dir):
     assert rows[-7]["loss_chars"] == len(text) and rows[-7]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_word_model(spark):
-    rnd = random.Random(9)
-    taught = [" ".join(rnd.choice(["river", "runs", "to", "é1", "--"]) for _ in range(rnd.randint(1, 12))) for _ in range(40)] + [""]
-    rows = [(i, t, True) for i, t in enumerate(taught)] + [(90, "runs unseen", False), (91, "river river", False), (91, "river river", False)]
-    df = spark.createDataFrame(rows, "node long, text string, taught boolean").withColumn("code", F.lit(3))
-    grams = quality.corpus_word_grams(df).cache()
-    words = quality.vocabulary(df).cache()
-    assert {r["text"].strip() for r in words.collect()} == {"", "river", "runs", "to", "é1", "--", "unseen"}
-    got = {r["node"]: r["surprise"] for r in quality.word_surprise(df, quality.word_model(grams, words.selectExpr("word", f"{1 / 2**quality.SYMBOL}D AS below"))).collect()}
-    p = brute_kn([t.split() for t in taught], quality.WORDS)
-    texts = {i: t.split() for i, t, _ in rows}
-    assert set(got) == {i for i, t in texts.items() if t}
-    for i, own in texts.items():
-        if own:
-            s = (0,) * (quality.WORDS - 1) + tuple(own)
-            want = -sum(math.log(p(s[k : k + quality.WORDS])) for k in range(len(own)))
-            if i not in {k for k, t in enumerate(taught) if taught.count(t) > 1}:
-                assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4)
+def test_languages_and_scripts_stay_apart(spark):
+    """Models that pool languages, or symbols, would keep what these reject: each language's text under the other's name, and other characters of the same script."""
+    rnd = random.Random(21)
+    text = lambda letters, n: " ".join("".join(rnd.choice(letters) + rnd.choice("aeiou") for _ in range(2)) for _ in range(n))
+    han = lambda low: "".join(chr(low + rnd.randrange(40)) for _ in range(150))
+    rows, labels = [], []
+    for lang, make in (("de", lambda: text("bdg", 60)), ("pl", lambda: text("szk", 60)), ("zh", lambda: han(0x4E00))):
+        for _ in range(150):
+            labels.append((len(rows), 1))
+            rows.append((len(rows), make(), lang))
+    strange = [(1000, text("szk", 60), "de"), (1001, text("bdg", 60), "pl"), (1002, han(0x5E00), "zh"), (1003, han(0x6E00), "zh")]
+    got = {r["doc_id"]: r["keep"] for r in quality.judge(spark.createDataFrame(rows + strange, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert not any(got[i] for i, *_ in strange) and sum(got[i] for i in range(450)) >= 440
+
+
+def test_op2_repeats_and_rejects_junk(spark, sf_dir):
+    """The registered query: same rows twice, held to the labels."""
+    got, again = ({r["doc_id"]: (r["perplexity"], r["keep"]) for r in quality.op2_quality_classifier(spark, sf_dir).collect()} for _ in range(2))
+    assert set(got) == set(again) and all(got[i][0] == pytest.approx(again[i][0]) and got[i][1] == again[i][1] for i in got)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    bad, good = [i for i, q in labels.items() if q == 0], [i for i, q in labels.items() if q == 1]
+    assert np.mean([got[i][1] for i in bad]) <= 0.1 and np.mean([got[i][1] for i in good]) >= 0.95
 
 
 def test_judge_sees_the_order_of_words(spark):
