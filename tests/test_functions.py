@@ -141,6 +141,25 @@ def test_html(spark):
     assert len(rows.select(F.explode(H.people("h", "o"))).collect()) == 2
 
 
+TEAM = """<html><head><title>Team</title></head><body><header><h2>Mary Header</h2><p>Founder</p></header><div class="grid">
+<div><h3>Ida Berg</h3><p>Founder and Chief Investment Officer.</p><a href="mailto:ida@oak.example.com?subject=x">Write</a></div>
+<div><h3><strong>Omar Lund</strong></h3><p>Managing Partner for direct deals.</p><a href="mailto:info@oak.example.com">inbox</a></div>
+<div><h3>Ana Costa</h3><p>Head of Operations.</p></div>
+<div><b>Li Wen</b><span>Trustee</span><a href="https://www.linkedin.com/in/li-wen_9/?a">in</a></div>
+<div><h4>Ida Berg</h4><p>President</p></div></div>
+<p>Compliance Officer Mr. Tim Kahn answers.</p><footer><h3>Foot Er</h3><p>Partner</p></footer></body></html>"""
+
+
+def test_page_people():
+    got = {p["name"]: p for p in H.page_people(TEAM)}
+    assert set(got) == {"Ida Berg", "Omar Lund", "Li Wen"}
+    assert (got["Ida Berg"]["title"], got["Ida Berg"]["email"], got["Ida Berg"]["verdict"]) == ("Founder", "ida@oak.example.com", "verified_decision_maker")
+    assert (got["Omar Lund"]["title"], got["Omar Lund"]["email"], got["Omar Lund"]["verdict"]) == ("Managing Partner", None, "possible_decision_maker")
+    assert got["Li Wen"]["linkedin"] == "https://www.linkedin.com/in/li-wen_9"
+    assert H.page_people("") == H.page_people(None) == H.page_people("<p>Welcome.") == []
+    assert H.page_people("<div><h3>Ann Lee</h3>Partner<h3>Bo Ray</h3></div>")[0]["block_text"] == "Ann Lee Partner Bo Ray"
+
+
 XML = "<ns:informationTable><ns:infoTable><ns:nameOfIssuer>A &amp; B</ns:nameOfIssuer><ns:value>10</ns:value></ns:infoTable><ns:infoTable><ns:nameOfIssuer>C</ns:nameOfIssuer><ns:value>1,000</ns:value></ns:infoTable></ns:informationTable>"
 
 

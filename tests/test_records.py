@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.text import norm_name
 from ledgerlake.operators import classify as C
 from ledgerlake.operators import compute as A
 from ledgerlake.operators import filters as P
@@ -80,6 +81,8 @@ def test_parse_filters():
     assert P.parse_filters("multi-family offices with AUM over $500M") == {"fo_type": "Multi-Family Office", "aum_min": 500_000_000}
     assert P.parse_filters("offices in in Belgium under $1 billion") == {"hq_country": "Belgium", "aum_max": 1_000_000_000}
     assert P.parse_filters("TELL ME ABOUT THEM") == {} and P.parse_filters("offices in OR") == {"hq_state": "OR"} and P.parse_filters("hello") == {}
+    assert P.parse_filters("west virginia or Texas firms, USA, max $2.5b, min 1k") == {"hq_state": "TX", "aum_max": 2_500_000_000}
+    assert P.parse_filters("sfos and mfos in tx or ny") == {"fo_type": "Single-Family Office", "hq_state": "TX"} and P.parse_size("over 1.2.3 million") == {} == P.parse_size("over 5")
 
 
 def test_totals(spark, records):
@@ -120,6 +123,32 @@ def test_resolver(spark):
     assert len(set(keys)) == len(keys) == 7
 
 
+def test_resolver_against_one_by_one(spark):
+    """Joins, and the register of tangled blocks, against a plain reading of the rule: earlier firms are looked through in order."""
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(120):
+        ids = {k: rnd.choice("abcdefgh") + k for k in ("cik", "ein", "domain") if rnd.random() < 0.2}
+        hints = {"state": rnd.choice(["TX", "ny"])} if rnd.random() < 0.4 else {}
+        rows.append((rnd.choice(["Oak Office LLC", "oak office", "Elm", "Birch Group", "", "Ash Capital", "Fir", "Yew"]) + rnd.choice(["", "", f" {rnd.randrange(8)}"]), ids, hints))
+    kept, decisions = resolve.resolve(candidates(spark, *rows), fuzzy=None)
+    keys = {r["ordinal"]: r["key"] for r in candidates(spark, *rows).select("ordinal", norm_name(F.col("name")).alias("key")).collect()}
+    firms, want = [], {}
+    for i, (_, ids, hints) in enumerate(rows):
+        key = keys[i]
+        place = lambda h: (h.get("state") or "").lower()
+        shared = [(f, sorted(set(f["ids"].items()) & set(ids.items()))) for f in firms]
+        same = [f for f in firms if key and f["key"] == key and (not place(hints) or not place(f["hints"]) or place(hints) == place(f["hints"])) and all(f["ids"].get(k, v) == v for k, v in ids.items())]
+        hit = next(((f, f"identifier:{s[0][0]}") for f, s in shared if s), None) or next(((f, "name+geo") for f in same), None)
+        if hit is None:
+            hit = ({"first": i, "key": key, "ids": {}, "hints": {}}, "")
+            firms.append(hit[0])
+        hit[0]["ids"], hit[0]["hints"] = {**ids, **hit[0]["ids"]}, {**hints, **hit[0]["hints"]}
+        want[i] = ("new" if hit[0]["first"] == i else "merge", hit[1])
+    assert {r["ordinal"]: (r["action"], r["basis"]) for r in decisions.collect()} == want
+    assert {r["ordinal"]: (r["identifiers"], r["hints"]) for r in kept.collect()} == {f["first"]: (f["ids"], f["hints"]) for f in firms}
+
+
 def test_near_names_lose_nothing(spark):
     names = ["alder family office", "alder famly office", "office family alder", "oak hill capital", "oak hil capital", "elm", "beech tree wealth", "beech trees wealth", "unrelated thing"]
     rows = list(enumerate(names))
