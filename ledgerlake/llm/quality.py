@@ -76,10 +76,13 @@ def as_strings(grams: np.ndarray) -> pa.Array:
 
 def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Parts (hash, rest..., count) as one in which every hash stands once, with the sum of its counts."""
-    both = [np.concatenate(x) for x in zip(*held, strict=True)]
-    order, begin = grouped(both[0])
-    first = order[begin]
-    return [*(x[first] for x in both[:-1]), np.add.reduceat(both[-1][order], begin)]
+    columns = list(zip(*held, strict=True))
+    held.clear()
+    order, begin = grouped(np.concatenate(columns[0]))
+    first, out = order[begin], []
+    while len(columns) > 1:  # one column at a time: memory stays bounded
+        out.append(np.concatenate(columns.pop(0))[first])
+    return [*out, np.add.reduceat(np.concatenate(columns[0])[order], begin)]
 
 
 def corpus_grams(docs: DataFrame) -> DataFrame:
@@ -89,7 +92,12 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
         held: list[list[np.ndarray]] = []
 
         def out(part: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(part[1]), as_strings(part[2]), pa.array(part[3])], ["code", "gram", "c"])
+            code, gram, c = part[1:]
+            near = np.zeros(len(gram), np.uint64)  # n-grams that begin alike stand together, which shuffle files store in less
+            for k in range(min(4, gram.shape[1])):
+                near = near << np.uint64(16) | gram[:, k].astype(np.uint64) & np.uint64(0xFFFF)
+            order = np.argsort(near)
+            return pa.record_batch([pa.array(code[order]), as_strings(gram[order]), pa.array(c[order])], ["code", "gram", "c"])
 
         for b in batches:
             data, off = flat(b.column("text"))
@@ -105,7 +113,7 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
                 times = np.add.reduceat(np.repeat(taught[lo:hi], n)[order], begin, dtype=np.int64)
                 held.append([key[first], own[first], np.column_stack([c[first] for c in reversed(columns)]), times])
             if sum(len(h[0]) for h in held) > 2 * HELD_GRAMS:
-                held[:] = [_merged(held)]
+                held.append(_merged(held))
                 if len(held[0][0]) > HELD_GRAMS:
                     yield out(held.pop())
         if held:
@@ -243,12 +251,12 @@ def _texts(streams: pa.ChunkedArray) -> Iterator[tuple[pa.Table, list[tuple[int,
         yield t, parts(t)
 
 
-def score(docs: DataFrame, model: DataFrame, block: int = BLOCK, shard_rows: int = SHARD_ROWS, blocks_per_task: int = BLOCKS_PER_TASK) -> DataFrame:
-    """docs(text, code, ...) with surprise (the sum of -log p over the text's symbols) and symbols; model is hashed_model(), settled, of at least these texts.
+def score(docs: DataFrame, model: DataFrame, keep: list[str] | None = None, block: int = BLOCK, shard_rows: int = SHARD_ROWS, blocks_per_task: int = BLOCKS_PER_TASK) -> DataFrame:
+    """docs(text, code, ...), of these the columns to keep, with surprise (the sum of -log p over the text's symbols) and symbols; model is hashed_model(), settled, of at least these texts.
 
     Texts are dealt to blocks. The different n-grams of a block are asked for once, shard by shard of the model; the
-    answers meet the block's texts and are summed text by text. What moves is the texts, compressed, once, and the
-    different n-grams of every block there and back. No task holds more than a shard, a block's n-grams and its
+    answers, in the order of the n-grams' hashes, meet the block's texts and are summed text by text. What moves is the
+    texts, compressed, once, the different n-grams of every block, and a number for each of them back. No task holds more than a shard, a block's n-grams and its
     compressed texts; rows that agree in text and doc_id are of one block.
     """
     spark = docs.sparkSession
@@ -258,14 +266,17 @@ def score(docs: DataFrame, model: DataFrame, block: int = BLOCK, shard_rows: int
     shard_of = lambda key: ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
     rows = blocked(docs, blocks)
 
-    def ask(key: tuple, block: pa.Table) -> pa.Table:
-        held: list[np.ndarray] = []
-        for _, parts in _texts(block.column("rows")):
+    def different(streams: pa.ChunkedArray) -> np.ndarray:
+        held: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        for _, parts in _texts(streams):
             for _, _, h, _ in parts:
                 held.append(distinct(h))
-                if sum(map(len, held[1:])) > max(len(held[0]), HELD_GRAMS):
+                if sum(map(len, held[1:])) > max(len(held[0]), HELD_GRAMS // 2):
                     held = [distinct(np.concatenate(held))]
-        all_ = distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        return distinct(np.concatenate(held))
+
+    def ask(key: tuple, block: pa.Table) -> pa.Table:
+        all_ = different(block.column("rows"))
         edge = np.searchsorted(shard_of(all_), np.arange(shards + 1))
         some = np.flatnonzero(np.diff(edge))
         deltas = [packed(np.diff(all_[edge[s] : edge[s + 1]], prepend=np.uint64(0))) for s in some]
@@ -274,7 +285,7 @@ def score(docs: DataFrame, model: DataFrame, block: int = BLOCK, shard_rows: int
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         names, logp = known.column("key").to_numpy().view(np.uint64), known.column("logp").to_numpy()
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         names, logp = names[order], logp[order]
         out = []
         for k in asked.column("keys"):
@@ -283,18 +294,18 @@ def score(docs: DataFrame, model: DataFrame, block: int = BLOCK, shard_rows: int
             if len(names) == 0 or (names[np.minimum(at, len(names) - 1)] != want).any():
                 raise ValueError("the model lacks n-grams of the texts")
             out.append(packed(logp[at]))
-        return pa.table([asked.column("asker"), asked.column("keys"), pa.array(out, pa.binary())], ["asker", "keys", "logp"])
+        return pa.table([asked.column("asker"), asked.column("shard"), pa.array(out, pa.binary())], ["asker", "part", "logp"])
 
     asked = rows.groupBy("block").applyInArrow(ask, "shard int, salt int, asker int, keys binary")
     top = F.shiftrightunsigned("key", 32)
     known = model.select("key", "logp", F.shiftright(top * F.lit(shards), 32).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("t"))
-    answers = asked.groupBy("shard", "salt").cogroup(known.groupBy("s", "t")).applyInArrow(answer, "asker int, keys binary, logp binary")
-    names = docs.columns
+    answers = asked.groupBy("shard", "salt").cogroup(known.groupBy("s", "t")).applyInArrow(answer, "asker int, part int, logp binary")
+    names = docs.columns if keep is None else keep
 
     def add(texts: pa.Table, said: pa.Table) -> pa.Table:
-        key = [np.cumsum(unpacked(k.as_buffer().to_pybytes(), np.uint64), dtype=np.uint64) for k in said.column("keys")]
-        logp = [unpacked(v.as_buffer().to_pybytes(), np.float32) for v in said.column("logp")]
-        table = Lookup(np.concatenate(key).view(np.int64), np.concatenate(logp)) if key else Lookup(np.zeros(0, np.int64), np.zeros(0, np.float32))
+        said = said.sort_by("part")
+        logp = np.concatenate([np.zeros(0, np.float32), *(unpacked(v.as_buffer().to_pybytes(), np.float32) for v in said.column("logp"))])
+        table = Lookup(different(texts.column("rows")).view(np.int64), logp)
         out = []
         for t, parts in _texts(texts.column("rows")):
             total, count = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
@@ -305,7 +316,7 @@ def score(docs: DataFrame, model: DataFrame, block: int = BLOCK, shard_rows: int
             out.append(t.select(names).append_column("surprise", pa.array(total)).append_column("symbols", pa.array(count)))
         return pa.concat_tables(out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return rows.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(add, f"{schema}, surprise double, symbols long")
 
 
@@ -396,8 +407,9 @@ def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
         discard(grams)
         model = settle(hashed_model(spelled))
         discard(spelled)
-        shown = [*(own if carry else ("doc_id", "lang")), "trusted", "taught", "poor", "surprise", "symbols"]
-        scored = settle(score(rows if carry else rows.select("doc_id", "lang", "text", "code", "trusted", "taught", "poor"), model).select(*shown))
+        flags = ["trusted", "taught", "poor"]
+        shown = [*own, *flags] if carry else ["doc_id", "lang", *flags]
+        scored = settle(score(rows.select(*dict.fromkeys([*shown, "text", "code"])), model, shown))
         discard(model)
     base = scored
     held_out = F.col("trusted") & ~F.col("taught") & (F.col("symbols") > 0)
