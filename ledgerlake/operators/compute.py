@@ -183,6 +183,12 @@ def accuracy_by(rows: DataFrame, group: str, correct: Column) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(correct.cast("double")), 4).alias("accuracy"))
 
 
+def uncertainty_counts(fitted: DataFrame) -> DataFrame:
+    """Rows of fit() by group: sufficient, thin or stale as thin, insufficient. (AGG-24)"""
+    group = F.when(F.col("uncertainty").isin("thin", "stale"), "thin").otherwise(F.col("uncertainty"))
+    return fitted.groupBy(group.alias("uncertainty_group")).agg(F.count("*").alias("n"))
+
+
 def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
     """Rows by status. (AGG-25)"""
     return rows.groupBy(status).agg(F.count("*").alias("n"))

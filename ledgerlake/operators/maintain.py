@@ -49,11 +49,18 @@ def restored(current: DataFrame, archived: DataFrame, key: str = "fo_id") -> Dat
     return current.unionByName(net_new(archived, current, key))
 
 
-def patched_signals(records: DataFrame, urls: DataFrame, key: str = "fo_id") -> DataFrame:
-    """Signals without an address get that of urls(key, url); a source is added where its class is missing. (MNT-08)"""
-    met = records.join(urls.select(key, F.col("url").alias("_url")), key, "left")
+def patched_signals(records: DataFrame, urls: DataFrame, source: str | None = None, verifies: str = "", key: str = "fo_id") -> DataFrame:
+    """Signals without an address get that of urls(key, url); records of urls get a source of the class where they have none. (MNT-08)"""
+    met = records.join(urls.groupBy(key).agg(F.min("url").alias("_url")), key, "left")
     fixed = F.transform("signals", lambda s: s.withField("source_url", F.coalesce(F.nullif(s.source_url, F.lit("")), F.col("_url"))))
-    return met.withColumn("signals", fixed).drop("_url")
+    out = met.withColumn("signals", fixed)
+    if source is not None:
+        kind = records.schema["verification_sources"].dataType
+        more = F.array(F.struct(F.lit(source).alias("source_class"), F.lit(verifies).alias("verifies"), F.lit(None).cast("date").alias("accessed_at"), F.col("_url").alias("url"))).cast(kind)
+        now = F.coalesce("verification_sources", F.array().cast(kind))
+        lacks = F.col("_url").isNotNull() & ~F.exists(now, lambda s: s.source_class == source)
+        out = out.withColumn("verification_sources", F.when(lacks, F.concat(now, more)).otherwise(F.col("verification_sources")))
+    return out.drop("_url")
 
 
 def unverified(records: DataFrame) -> DataFrame:

@@ -93,6 +93,11 @@ def top(rows: DataFrame, k: int, *order) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 
 
+def top_by_group(rows: DataFrame, group: str, k: int, *order) -> DataFrame:
+    """The first k rows of each group in order; each task keeps k of a group before rows move. (WIN-06)"""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
 def added_since_last(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """For each key and time the values that the time before had not, sorted. (WIN-02, SET-01)"""
     sets = rows.groupBy(key, at).agg(F.collect_set(value).alias("now"))

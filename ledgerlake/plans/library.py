@@ -268,24 +268,6 @@ def balanced_select(spark, d):
     return R.balanced(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars")], "doc_id", 50).select("doc_id", "source")
 
 
-@query(LABELLED + """, g AS (SELECT ['has_text', 'labelled', 'good', 'not_toxic', 'long_enough'] AS names, [coalesce(length(text) > 0, false), quality IS NOT NULL, coalesce(quality = 1, false), coalesce(toxic = 0, false), coalesce(n_chars >= 200, false)] AS ok FROM dl),
-e AS (SELECT unnest(names) AS reason, unnest(ok) AS ok FROM g) SELECT reason, count(*)::BIGINT AS n FROM e WHERE NOT ok GROUP BY reason""")
-def gates_eval(spark, d):
-    """GAT-01 to GAT-11 AGG-18 in shape: boolean gates as an array, failing reasons exploded"""
-    gates = {"has_text": F.length("text") > 0, "labelled": F.col("quality").isNotNull(), "good": F.col("quality") == 1, "not_toxic": F.col("toxic") == 0, "long_enough": F.col("n_chars") >= 200}
-    checks = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("passed"), F.lit(None).cast("string").alias("detail")) for n, c in gates.items()])
-    return A.failures(documents_with_labels(spark, d).select(checks.alias("checks")))
-
-
-@query(LABELLED + """SELECT doc_id, list_filter([CASE WHEN coalesce(lang <> '', false) THEN 'lang' END, CASE WHEN quality IS NOT NULL THEN 'quality' END, CASE WHEN coalesce(source <> '', false) THEN 'source' END, CASE WHEN toxic IS NOT NULL THEN 'toxic' END], lambda x: x IS NOT NULL) AS populated,
-round(((coalesce(lang <> '', false))::INT + (quality IS NOT NULL)::INT + (coalesce(source <> '', false))::INT + (toxic IS NOT NULL)::INT) / 4.0::DOUBLE, 3) AS coverage FROM dl""")
-def completeness(spark, d):
-    """AGG-10"""
-    names = ("lang", "quality", "source", "toxic")
-    populated = F.array_compact(F.array(*[F.when(P.filled(F.col(n).cast("string")), F.lit(n)) for n in names]))
-    return documents_with_labels(spark, d).select("doc_id", populated.alias("populated"), M.ratio(F.size(populated), F.lit(len(names)), 3).alias("coverage"))
-
-
 RULES = ((r"(?i)brass|copper", "red metal"), (r"(?i)steel|tin|nickel", "white metal"), (r"(?i)economy", "plain"))
 
 
@@ -424,13 +406,10 @@ def qualified_scan(spark, d):
     return table(spark, d, "documents").join(good, "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
-@query("""SELECT * FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 200 ORDER BY n_chars, doc_id LIMIT 10) UNION ALL SELECT * FROM (SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'fr' AND n_chars >= 200 ORDER BY n_chars, doc_id LIMIT 10)""")
+@query("""SELECT doc_id, lang, n_chars FROM (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS n FROM documents) WHERE n <= 10""")
 def top_per_group(spark, d):
-    """WIN-06 SRT-04: the ten shortest documents of a length of two languages"""
-    rows = table(spark, d, "documents").where(P.matches(lang=["en", "fr"]) & (F.col("n_chars") >= 200)).select("doc_id", "lang", "n_chars")
-    from pyspark.sql import Window
-
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))).where("_n <= 10").drop("_n")
+    """WIN-06: the ten shortest documents of each language"""
+    return R.top_by_group(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "lang", 10, "n_chars", "doc_id")
 
 
 @query("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1)::BIGINT AS place FROM orders WHERE o_orderstatus = 'F'""")
@@ -484,9 +463,12 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", page_facts(F.col("html")).alias("p")).select("page_id", F.length("p.text").alias("chars"), F.col("p.description").alias("description"), F.size("p.mailto").alias("links"))
 
 
-@query()
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS end, event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users, round(sum(value::DECIMAL(38,6))::DOUBLE, 4) AS value FROM events GROUP BY ALL""")
 def event_windows(spark, d):
     """Extension: tumbling windows with a watermark, by the function that a stream uses too"""
     from ..streaming.events import tumbling
 
     return tumbling(table(spark, d, "events"))
+
+
+from . import record_library  # noqa: E402, F401
