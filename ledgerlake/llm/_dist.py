@@ -106,7 +106,7 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         yield
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+def shorter(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
     """batches, cut into ones of at most rows rows."""
     for b in batches:
         for a in range(0, b.num_rows, rows):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import discard, settle, slices, small_batches, tidy
+from ._dist import discard, settle, shorter, small_batches, tidy
 from ._text import flat, pieces, prefix, span_hash
 from .suffix import common_prefixes, suffix_array
 
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     columns = list(docs.columns)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in shorter(batches):
             texts, starts = b.column("text").cast(pa.binary()), b.column("_starts").to_pylist()
             kept, removed, size = [], [], []
             for i, runs in enumerate(starts):
