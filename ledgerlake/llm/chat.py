@@ -33,13 +33,14 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    role = lambda i: F.get("turns", i).role
+    n = F.size("turns")
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    rows = rows.withColumn("_from", begins)
 
-    def merge(done: Column, t: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(F.coalesce(last.role, F.lit("")).alias("role"), F.concat(F.coalesce(last.texts, F.array().cast("array<string>")), F.array(t.text)).alias("texts"))
-        fresh = F.struct(t.role.alias("role"), F.array(t.text).alias("texts"))
-        return F.when(F.coalesce(last.role == t.role, F.lit(False)), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(fresh)))
+    def message(i: Column, at: Column) -> Column:
+        end = F.coalesce(F.get("_from", at + 1), n)
+        return F.struct(role(i).alias("role"), F.transform(F.slice("turns", i + 1, end - i), lambda t: t.text).alias("texts"))
 
     # A piece is what stands before a text, the text, and what stands after it.
     def pieces(m: Column) -> Column:
@@ -50,7 +51,7 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
             F.when(i == n - 1, F.lit(CLOSE)).otherwise(F.lit("")).alias("tail"),
             (m.role == trained_role).alias("trained")))
 
-    rows = rows.withColumn("messages", F.aggregate("turns", empty, merge))
+    rows = rows.withColumn("messages", F.transform("_from", message))
     rows = rows.withColumn("pieces", F.flatten(F.transform("messages", pieces)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))
 

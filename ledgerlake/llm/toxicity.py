@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._dist import slices, tidy
+from ._dist import shorter, tidy
 from ._text import WORD_BYTES, flat, pieces, prefix, span_hash
 
 #: The classifier is fitted on at most so many labelled rows, those of smallest hash.
@@ -66,8 +66,23 @@ def counted(place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key & ((1 << BITS) - 1), key >> BITS, n
 
 
+def telling(row: np.ndarray, col: np.ndarray, bad: np.ndarray, z_least: float, most: int) -> np.ndarray:
+    """Places of the features that are more frequent in bad texts than chance allows, the most telling ones, in order."""
+    a = np.bincount(col[bad[row]], minlength=1 << BITS).astype(float)
+    b = np.bincount(col[~bad[row]], minlength=1 << BITS).astype(float)
+    n_bad, n_good = max(bad.sum(), 1), max((~bad).sum(), 1)
+    p, q, all_ = a / n_bad, b / n_good, (a + b) / (n_bad + n_good)
+    z = (p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-9) * (1 / n_bad + 1 / n_good))
+    good = np.flatnonzero((z >= z_least) & (a >= 3) & (p > 4 * q))
+    return np.sort(good[np.argsort(-z[good], kind="stable")[:most]])
+
+
 def severity(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """Labels say only whether a text is toxic; toxic texts get grades 1, 2, 3 by thirds of their number of telling features."""
+    """Labels say only whether a text is toxic; toxic texts get grades 1, 2, 3 by thirds of their number of telling features.
+
+    hits counts features that other texts told: each half of the rows is graded by what the other half's labels single
+    out, so no text takes part in the choice of the features that grade it.
+    """
     grade = np.zeros(len(toxic), np.int64)
     bad = toxic > 0
     if bad.any():
@@ -81,16 +96,17 @@ def fit(places: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, r
     if not n or not bad.any() or bad.all():
         return Ordinal(np.zeros(0, np.int64), np.zeros(0, np.float32), np.array([30.0, 31.0, 32.0]) if not bad.all() or not n else np.array([-30.0, -29.0, -28.0]))
     row, col = np.repeat(np.arange(n), [len(p) for p in places]), np.concatenate(places)
-    a = np.bincount(col[bad[row]], minlength=1 << BITS).astype(float)
-    b = np.bincount(col[~bad[row]], minlength=1 << BITS).astype(float)
-    p, q, all_ = a / bad.sum(), b / (~bad).sum(), (a + b) / n
-    z = (p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-9) * (1 / bad.sum() + 1 / (~bad).sum()))
-    good = np.flatnonzero((z >= z_least) & (a >= 3) & (p > 4 * q))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:most]])
+    good = telling(row, col, bad, z_least, most)
+    half, n_hit = np.arange(n) % 2, np.zeros(n)
+    for own in (0, 1):
+        others = half[row] != own
+        told = np.zeros(1 << BITS, bool)
+        told[telling(row[others] // 2, col[others], bad[half != own], z_least, most)] = True
+        mine = ~others & told[col]
+        n_hit += np.bincount(row[mine], np.concatenate(counts)[mine], minlength=n)
     at = np.full(1 << BITS, -1)
     at[good] = np.arange(len(good))
     hit = at[col] >= 0
-    n_hit = np.bincount(row[hit], np.concatenate(counts)[hit], minlength=n)
     grade = severity(toxic, n_hit)
     x = np.zeros((n, len(good)), np.float32)
     x[row[hit], at[col[hit]]] = 1 + np.log(np.concatenate(counts)[hit])
@@ -121,13 +137,18 @@ def fit(places: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, r
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
-    """Fit on the labelled rows of smallest hash, rows of them at most; that bound is all that reaches the driver."""
+    """Fit on the labelled rows of smallest hash, rows of them at most; that bound is all that reaches the driver.
+
+    If the labels of an id differ, toxic holds; null ids and null labels teach nothing; a null text has no features.
+    Without toxic or without clean rows the model calls nothing, or everything, toxic.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows)  # at most rows rows, so it can be broadcast
-    rows_in = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # a row for each id: where ids repeat, the text that hashes lowest
+    rows_in = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in shorter(batches):
             data, off = flat(pc.utf8_lower(b.column("text")))
             ps, cs = [], []
             for lo, hi in pieces(off):
@@ -139,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal:
                     cs.append(n[edge[i] : edge[i + 1]].astype("<u4").tobytes())
             yield pa.record_batch([pa.array(ps, pa.binary()), pa.array(cs, pa.binary()), b.column("toxic").cast(pa.int32()), b.column("doc_id").cast(pa.int64())], ["p", "c", "toxic", "doc_id"])
 
-    got = rows_in.mapInArrow(tidy(gather), "p binary, c binary, toxic int, doc_id long").limit(2 * rows).toArrow()
+    got = rows_in.mapInArrow(tidy(gather), "p binary, c binary, toxic int, doc_id long").toArrow()
     got = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "p", "c", "toxic")), strict=True))
     return fit([np.frombuffer(p, "<u4").astype(np.int64) for _, p, _, _ in got], [np.frombuffer(c, "<u4") for _, _, c, _ in got], np.array([t for *_, t in got]))
 
@@ -153,7 +174,7 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.table(), model))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in shorter(batches):
             table, own = shared.value
             data, off = flat(pc.utf8_lower(b.column("text")))
             score = np.zeros(b.num_rows)

@@ -118,6 +118,9 @@ def test_toxicity(spark):
     many, one = (toxicity.score_toxicity(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).first()["expected_severity"] for t in (" ".join(bad * 4), bad[0]))
     assert 0 < one < many <= 3
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+    twice = docs.drop("toxic").union(docs.drop("toxic").where("doc_id % 3 = 0").withColumn("text", F.lit("w1 w2")))
+    again = [toxicity.train(twice.repartition(n), known) for n in (1, 5)]
+    assert (again[0].places == again[1].places).all() and again[0].weights == pytest.approx(again[1].weights)
     none = toxicity.train(docs.drop("toxic"), known.where("toxic = 0"))
     assert toxicity.score_toxicity(docs, none).where("toxic").count() == 0
 
@@ -148,6 +151,14 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    """Many turns: linear work, and runs of one role of any length."""
+    rows = [(1, t, "user" if (t // 700) % 2 else "assistant", f"t{t}") for t in range(6000)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = out.select(F.size(chat.read_back(F.col("formatted"))).alias("n"), F.size("loss").alias("l"), (F.size(F.split("formatted", "</turn>\n")) - 1).alias("m")).first()
+    assert (got["n"], got["l"], got["m"]) == (6000, sum(r[2] == "assistant" for r in rows), 9)
+
+
 def test_chat_digest(spark, sf_dir):
     rows = {r["conv_id"]: r for r in chat.op7_chat_formatting(spark, sf_dir).collect()}
     text = r"\### Assistant: </turn> ok"
