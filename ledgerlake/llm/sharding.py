@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from ._dist import settle
+
 LAW = "key"
 
 
@@ -18,13 +20,8 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
 
 
 def fisher_yates(n: int, seed: int | list[int]) -> np.ndarray:
-    """A permutation of range(n)."""
-    order = np.arange(n)
-    draws = np.random.default_rng(seed).random(n)
-    for i in range(n - 1, 0, -1):
-        j = int(draws[i] * (i + 1))
-        order[i], order[j] = order[j], order[i]
-    return order
+    """A permutation of range(n); numpy's own is Fisher and Yates's shuffle."""
+    return np.random.default_rng(seed).permutation(n)
 
 
 def external_shuffle(docs: DataFrame, shards: int = 40, bucket_bytes: int = 32 << 20, seed: int = 11, overhead: int = 16) -> DataFrame:
@@ -40,7 +37,8 @@ def external_shuffle(docs: DataFrame, shards: int = 40, bucket_bytes: int = 32 <
     spark = docs.sparkSession
     docs = docs.drop("size", "shard", "grown_shard", "bucket", "slot", "_order")
     placed = docs.select("*", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + overhead).alias("size"), shard_of(F.col("doc_id"), shards, seed).alias("shard"))
-    cut = placed.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / bucket_bytes)).cast("long").alias("_buckets"))  # as many rows as shards
+    cut = settle(placed.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / bucket_bytes)).cast("long").alias("_buckets")))  # as many rows as shards
+    parts = 2 * (cut.agg(F.sum("_buckets")).first()[0] or 1)  # so that few tasks have two buckets, however many there are
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
     scattered = placed.join(F.broadcast(cut), "shard").withColumn("_order", order).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 2), "_order"), F.col("_buckets"))).drop("_buckets")
     counts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
@@ -55,11 +53,16 @@ def external_shuffle(docs: DataFrame, shards: int = 40, bucket_bytes: int = 32 <
         rows["slot"] = np.arange(len(rows), dtype=np.int64) + int(begin["begin"].iloc[0])
         return rows[names]
 
-    return grown.groupBy("shard", "bucket").cogroup(begins.groupBy("_shard", "_bucket")).applyInPandas(shuffle, schema).drop("_order")
+    dealt = grown.repartition(parts, "shard", "bucket").groupBy("shard", "bucket")
+    return dealt.cogroup(begins.repartition(parts, "_shard", "_bucket").groupBy("_shard", "_bucket")).applyInPandas(shuffle, schema).drop("_order")
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """One folder for each shard, its rows in the order of their slots within each file."""
+    """One folder for each shard, its rows in the order of their slots within each file.
+
+    shuffled is external_shuffle()'s result, whatever its other columns; ids and texts may be null or repeat. An empty
+    table writes no shard.
+    """
     shuffled.repartition("shard", "bucket").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
