@@ -15,8 +15,9 @@ from ._vectors import matrix, usable, widened
 COSINE = 0.9
 #: Length of the neighbour lists; lists full of links are doubled up to LONGEST.
 NEIGHBOURS, LONGEST = 12, 48
-#: The first lists come from so many random-projection trees with leaves of about LEAF vectors.
-TREES, LEAF = 12, 128
+#: The first lists come from random-projection trees with leaves of about LEAF vectors, so many that a pair at the
+#: threshold is in one leaf of one of them with probability MEET at least, however deep they are.
+LEAF, MEET = 128, 0.98
 ROUNDS, AUDITED, RECALL, EXTRA = 2, 1024, 0.97, 2
 #: Neighbour search runs on components rounded to 8 bits; links are checked on doubles, so this much below may still be one.
 MARGIN = 0.015
@@ -52,6 +53,16 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return same.select("node", "copies", "x").mapInPandas(pack, "node long, copies long, x array<double>, q binary")
 
 
+def depth_of(n: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
+
+
+def trees_for(depth: int, cosine: float = COSINE, meet: float = MEET) -> int:
+    """Random planes part two vectors with probability angle / pi; trees of so many planes that they meet in one leaf of one tree."""
+    together = (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** depth
+    return 1 if together >= meet else int(np.ceil(np.log(1 - meet) / np.log(1 - together)))
+
+
 def leaves(nodes: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
     """(leaf, node, q): the leaf of every vector in every tree; a leaf is the side of depth random planes."""
 
@@ -61,7 +72,7 @@ def leaves(nodes: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
             for t in range(trees):
                 planes = np.random.default_rng([seed, t, a.shape[1]]).standard_normal((a.shape[1], max(depth, 1))).astype(np.float32)
                 side = ((a @ planes) > 0) @ (1 << np.arange(max(depth, 1), dtype=np.int64)) if depth else np.zeros(len(a), np.int64)
-                yield pd.DataFrame({"leaf": side * 4096 + t, "node": b["node"], "q": b["q"]})
+                yield pd.DataFrame({"leaf": side * 65536 + t, "node": b["node"], "q": b["q"]})
 
     return nodes.select("node", "q").mapInPandas(walk, "leaf long, node long, q binary")
 
@@ -98,8 +109,7 @@ def _groups(rows: DataFrame, key: str, work, schema: str) -> DataFrame:
 
 def first_lists(nodes: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
     """Candidate neighbours (node, other, sim): in each leaf the most similar ones of every vector."""
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
-    rows = leaves(nodes, trees, depth, seed)
+    rows = leaves(nodes, trees, depth_of(n), seed)
     # leaves that hold much more than their share are dealt by hash
     sizes = rows.groupBy("leaf").agg(F.count("*").alias("size"))
     part = F.xxhash64("leaf", F.pmod(F.xxhash64("node", F.lit(seed), "leaf"), F.ceil(F.col("size") / (2 * LEAF))))
@@ -325,7 +335,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     nodes = settle(nodes_of(own.where("vec_id IS NOT NULL")))
     n = nodes.count()
     least = cosine - MARGIN
-    lists = settle(shortened(first_lists(nodes, n, TREES, 1).withColumn("old", F.lit(False)), None))
+    trees = trees_for(depth_of(n), cosine)
+    lists = settle(shortened(first_lists(nodes, n, trees, 1).withColumn("old", F.lit(False)), None))
     sizes = None
     for r in range(ROUNDS):
         lists = descend(lists, nodes, sizes)
@@ -343,7 +354,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         if r == EXTRA:  # the search is still short: compare everything
             loose = joined(lists, nodes, cosine, whole=True)
             break
-        more = first_lists(nodes, n, TREES, 2 + r).withColumn("old", F.lit(False))
+        more = first_lists(nodes, n, trees, 2 + r).withColumn("old", F.lit(False))
         lists = descend(settle(shortened(lists.union(more), sizes)), nodes, sizes)
         loose = joined(lists, nodes, cosine)
     members = nodes.join(loose.withColumnRenamed("id", "node"), "node").select("root", "node", "copies", "x")
