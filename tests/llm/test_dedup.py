@@ -229,3 +229,44 @@ def test_near_duplicates_without_ids(spark):
     df = spark.createDataFrame(rows, DOCS)
     assert sorted(r["text"][:7] for r in neardup.deduplicate(df).collect()) == sorted(["w0 w1 w", "another", "v0 v1 v"])
     assert neardup.near_duplicates(df).where("kept").count() == 3
+
+
+def test_trees_follow_the_depth():
+    angle = np.arccos(0.9) / np.pi
+    for n in (10, 10**4, 10**6, 10**8, 10**10):
+        depth = embeddup.depth_of(n)
+        missed = (1 - (1 - angle) ** depth) ** embeddup.trees_for(depth, 0.9)
+        assert missed <= 1 - embeddup.MEET + 1e-9
+    assert embeddup.trees_for(0) == 1
+
+
+def test_lone_pairs_in_deep_trees(spark, monkeypatch):
+    """Pairs at 0.90 to 0.92 with no other neighbour, leaves so small that trees are deep: recall of the final links."""
+    rnd = np.random.default_rng(17)
+    rows = []
+    for k in range(300):
+        u, v = np.linalg.qr(rnd.standard_normal((32, 2)))[0].T
+        c = rnd.uniform(0.9005, 0.92)
+        rows += [(2 * k, u.tolist()), (2 * k + 1, (c * u + np.sqrt(1 - c * c) * v).tolist())]
+    monkeypatch.setattr(embeddup, "LEAF", 4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {d: w for (d, _), w in zip(rows, brute_links(rows), strict=True)}
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want) and sum(n for n, _ in want.values()) == 600
+
+
+def test_op1_and_op6_against_brute_force(spark, sf_dir):
+    """The registered queries over the small tables."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in neardup.op1_minhash_near_dedup(spark, sf_dir).collect()}
+    assert got == {d: (c, d == c) for d, c in brute_classes(docs)}
+    vectors = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddup.op6_embedding_near_dedup(spark, sf_dir).collect()}
+    assert found == {d: w for (d, _), w in zip(vectors, brute_links(vectors), strict=True)}
+
+
+def test_op3_against_brute_force(spark, sf_dir):
+    """The registered query over the small table."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.op3_suffix_array_dedup(spark, sf_dir).collect()}
+    want = brute_repeats([(r["text"] or "").encode() for r in rows], 200)
+    assert got == {r["doc_id"]: w for r, w in zip(rows, want, strict=True)}

@@ -58,23 +58,49 @@ def test_sharding(spark, tmp_path):
     assert sorted(sharding.fisher_yates(50, 1)) == list(range(50)) and (sharding.fisher_yates(50, 1) != sharding.fisher_yates(50, 2)).any()
 
 
-@pytest.mark.parametrize("cell", [10**6, 7])
+def test_op5_against_brute_force(spark, sf_dir):
+    """The registered query: shards recomputed row by row, slots gapless, one more shard takes rows only into itself."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = sharding.op5_sharding(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    pairs = spark.createDataFrame([(d, s) for d in docs for s in range(41)], "d long, s int").select("d", "s", F.xxhash64(F.lit(11), "d", "s").alias("h")).collect()
+    best = lambda n: {d: s for d, (_, s) in sorted({d: max((r["h"], r["s"]) for r in rows if r["s"] < n) for d, rows in by.items()}.items())}
+    by = collections.defaultdict(list)
+    for r in pairs:
+        by[r["d"]].append(r)
+    now, grown = best(40), best(41)
+    slots = collections.defaultdict(list)
+    for r in got:
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert (r["shard"], r["grown_shard"], r["law"]) == (now[r["doc_id"]], grown[r["doc_id"]], "key") and r["grown_shard"] in (r["shard"], 40)
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+@pytest.mark.parametrize("cell", [10**6, 40, 7])
 def test_top_k(spark, cell):
     rnd = random.Random(10)
-    rows = [(i, [rnd.randint(-5, 5) for _ in range(6)]) for i in range(80)] + [(90, [0] * 6), (91, []), (92, [1, 2]), (93, [3] * 6), (94, [3] * 6), (0, [9] * 6), (None, [9] * 6)]
-    v = spark.createDataFrame(rows, "vec_id long, x array<long>")
+    rows = [(i, [rnd.randint(-5, 5) for _ in range(6)]) for i in range(80)] + [(90, [0] * 6), (91, []), (92, [1, 2]), (93, [3] * 6), (94, [3] * 6), (0, [9] * 6), (None, [9] * 6), (95, [2**55 + 1] + [0] * 5)]
+    v = spark.createDataFrame(rows, "vec_id long, x array<long>").withColumn("score", F.lit("mine"))
     got = topk.exact_top_k(v, v.where("vec_id % 10 = 0"), 5, cell, max(cell // 2, 2)).collect()
-    want = []
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
-    for q, x in rows:
-        if q is not None and q % 10 == 0:
-            best = sorted((-dot(x, y), i) for i, y in rows if i is not None and i != q)[:5]
-            want += [(q, -s, i) for s, i in best]
-    if cell > 100:  # a repeated query id is one query in the merge
-        assert {(r["query_id"], r["score"], r["vec_id"]) for r in got if r["query_id"] != 0} == {w for w in want if w[0] != 0}
+    want = []
+    for q in {q for q, _ in rows if q is not None and q % 10 == 0}:  # rows of one id are one query, the best of them count
+        found = sorted((-dot(x, y), i) for d, x in rows if d == q for i, y in rows if i is not None and i != q)
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(found[:5])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
     assert topk.exact_top_k(v.limit(0), v, 5).count() == 0 and topk.exact_top_k(v, v.limit(0), 5).count() == 0
 
 
+def test_op8_leaves_out_what_is_not_finite(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, 0.25]), (1, [1.0, nan]), (2, [inf, 0.0]), (3, None), (4, [None, 1.0]), (5, [-0.01, 2.0]), (20, [1.0, 1.0]), (None, [9.0, 9.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(7)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op8_exact_top_k(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(0, 1, 20, 32 * 64 + 16 * 64), (0, 2, 5, -32 + 16 * 128), (20, 1, 5, -64 + 64 * 128), (20, 2, 0, 32 * 64 + 16 * 64)]
+
+
 def test_threshold_algorithm_stops_early():
     rnd = np.random.default_rng(3)
     x = rnd.integers(-64, 64, (5000, 8)).astype(float)
