@@ -9,10 +9,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists and patterns that decide which names, mailboxes and sentences count as equal or fit.
-LEGAL_SUFFIXES = "llc lp llp inc incorporated ltd limited co corp corporation company plc pllc gmbh ag sa nv bv spa pte pty"
-BROAD_SUFFIXES = LEGAL_SUFFIXES + " group holdings partners capital management advisors"
-IDENTITY_STOPWORDS = "the and llc lp llp inc incorporated ltd limited company co group capital partners management advisors advisers family office offices trust holdings investment investments"
-NEWS_STOPWORDS = "the a an single multi your our his her their this that one new top best largest modern private how why what when inside meet is as of and"
+LEGAL_SUFFIXES = (
+    "llc", "lp", "llp", "inc", "incorporated", "ltd", "limited", "co", "corp", "corporation", "company", "plc", "pllc", "gmbh", "ag", "sa", "nv", "bv",
+    "spa", "pte", "pty",
+)
+BROAD_SUFFIXES = (*LEGAL_SUFFIXES, "group", "holdings", "partners", "capital", "management", "advisors")
+IDENTITY_STOPWORDS = (
+    "the", "and", "llc", "lp", "llp", "inc", "incorporated", "ltd", "limited", "company", "co", "group", "capital", "partners", "management", "advisors",
+    "advisers", "family", "office", "offices", "trust", "holdings", "investment", "investments",
+)
+NEWS_STOPWORDS = (
+    "the", "a", "an", "single", "multi", "your", "our", "his", "her", "their", "this", "that", "one", "new", "top", "best", "largest", "modern",
+    "private", "how", "why", "what", "when", "inside", "meet", "is", "as", "of", "and",
+)
 ROLE_INBOX = r"(?i)^(info|contact|office|hello|admin|mail|invest|connect|enquir|family[- ]?office|reception|manage|team)@"
 GENERIC_LOCAL = ("info", "contact", "hello", "office", "admin", "noreply")
 BAD_TLDS = ("png", "jpg", "jpeg", "gif", "svg", "webp", "css", "js")
@@ -31,16 +40,12 @@ OVERRIDE = (
 )
 
 
-def _words(spaced: str) -> list[str]:
-    return spaced.split()
-
-
-def norm_name(name: Column, suffixes: str = LEGAL_SUFFIXES) -> Column:
+def norm_name(name: Column, suffixes: Sequence[str] = LEGAL_SUFFIXES) -> Column:
     """Key of a firm name: lower case, no punctuation, no "the", no legal suffix. (TXT-01; TXT-02 with BROAD_SUFFIXES)"""
     n = F.regexp_replace(F.trim(F.lower(name)), "[.,]", "")
     n = F.regexp_replace(n, "[^a-z0-9 ]+", " ")
     n = F.regexp_replace(n, r"\bthe\b", " ")
-    n = F.regexp_replace(n, rf"\b({'|'.join(_words(suffixes))})\b", " ")
+    n = F.regexp_replace(n, rf"\b({'|'.join(suffixes)})\b", " ")
     return F.trim(F.regexp_replace(n, r"\s+", " "))
 
 
@@ -61,7 +66,7 @@ def tokens(c: Column) -> Column:
 
 def identity_tokens(c: Column) -> Column:
     """Tokens that carry identity: no stopwords, longer than two. (TXT-06)"""
-    stop = _words(IDENTITY_STOPWORDS)
+    stop = list(IDENTITY_STOPWORDS)
     return F.filter(tokens(F.coalesce(c, F.lit(""))), lambda t: ~t.isin(stop) & (F.length(t) > 2))
 
 
@@ -114,7 +119,7 @@ def without_cik(c: Column) -> Column:
 def office_names(c: Column) -> Column:
     """Distinct "<Proper Name> Family Office" mentions without leading stopwords. (TXT-14)"""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b([A-Z][A-Za-z.&'\-]+(?:\s+[A-Z][A-Za-z.&'\-]+){0,3})\s+[Ff]amily\s+[Oo]ffice\b"), F.lit(1))
-    stop = "|".join(_words(NEWS_STOPWORDS))
+    stop = "|".join(NEWS_STOPWORDS)
     heads = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", " "), rf"(?i)^(?:(?:{stop})(?: |$))+", ""))
     return F.array_sort(F.array_distinct(F.transform(F.filter(heads, lambda h: F.length(h) >= 3), lambda h: F.concat(h, F.lit(" Family Office")))))
 

@@ -189,6 +189,15 @@ def uncertainty_counts(fitted: DataFrame) -> DataFrame:
     return fitted.groupBy(group.alias("uncertainty_group")).agg(F.count("*").alias("n"))
 
 
+def people_totals(pages: DataFrame) -> DataFrame:
+    """One row over pages(firm, people): firms, firms with a page, people, verdicts, mailboxes and profiles. (AGG-30)"""
+    p = pages.select("firm", F.col("people").isNotNull().alias("page"), F.explode_outer("people").alias("p"))
+    return p.agg(
+        F.count_distinct("firm").alias("sample_size"), F.count_distinct(F.when(F.col("page"), F.col("firm"))).alias("team_pages_found"), F.count("p").alias("people_extracted"),
+        F.count_if(F.col("p.verdict") == "verified_decision_maker").alias("verified"), F.count_if(F.col("p.verdict") == "possible_decision_maker").alias("possible"),
+        F.count_if(F.coalesce(F.col("p.email") != "", F.lit(False))).alias("emails"), F.count_if(F.coalesce(F.col("p.linkedin") != "", F.lit(False))).alias("profiles"))
+
+
 def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
     """Rows by status. (AGG-25)"""
     return rows.groupBy(status).agg(F.count("*").alias("n"))

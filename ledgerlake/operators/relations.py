@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Letters of the pieces by which names that contain one another are brought together.
+GRAM = 4
+
 
 def first_wins(rows: DataFrame, keys: list[str] | list[Column], order: list) -> DataFrame:
     """One row for each key, the first in order. (WIN-06, AGG-21, AGG-22)"""
@@ -56,15 +59,25 @@ def net_new(rows: DataFrame, existing: DataFrame, *keys: str, order: str | None
 
 
 def contains_either_way(rows: DataFrame, names: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows whose name equals, contains or is in one of names, which must be a short list: a table of shapes, say. (JOIN-17)
+    """Rows whose name equals, contains or is in one of names, a table of shapes, say. (JOIN-17)
 
-    It is checked to be short, as the join compares every row with every name.
+    Names that contain one another share their shorter one's first letters: GRAM of them, or all if it has fewer. So
+    each row meets only names that have one of its pieces of that length first, or whose pieces have its first. An empty
+    or null name is in none.
     """
-    most = 10_000
-    if names.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} names to compare with")
     x, y = F.lower(F.col(a)), F.lower(F.col(b))
-    return rows.join(F.broadcast(names), (x == y) | F.contains(x, y) | F.contains(y, x), "left")
+    piece = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    left, right = rows.withColumn("_row", F.monotonically_increasing_id()), names.withColumn("_name", F.monotonically_increasing_id())
+    left, right = cut(left), cut(right)
+    met = None
+    for n in range(1, GRAM + 1):  # the shorter of the two has n letters, or GRAM at least
+        fits = lambda c: (F.length(c) == n) if n < GRAM else (F.length(c) >= n)  # noqa: E731, B023
+        heads = lambda t, c, k: t.where(fits(c) & (F.length(c) > 0)).select(k, F.substring(c, 1, n).alias("p"))  # noqa: E731, B023
+        parts = lambda t, c, k: t.select(k, F.explode(piece(c, n)).alias("p"))  # noqa: E731, B023
+        one = heads(right, y, "_name").join(parts(left, x, "_row"), "p").select("_row", "_name").union(heads(left, x, "_row").join(parts(right, y, "_name"), "p").select("_row", "_name"))
+        met = one if met is None else met.union(one)
+    pairs = met.distinct().join(left, "_row").join(right, "_name").where(F.contains(x, y) | F.contains(y, x))
+    return left.join(pairs.select("_row", *names.columns), "_row", "left").drop("_row")
 
 
 #: Up to so many rows one window ranks a whole table; larger ones are sorted by range and numbered from the partitions' sizes.
@@ -117,15 +130,14 @@ def balanced(rows: DataFrame, source: str, quality: list, ordinal: str, target:
     Adds phase: 1 for rows under the cap, 2 for rows that fill up.
     """
     cap = max(1, int(max_share * target))
-    w = Window.partitionBy(source)
-    placed = rows.withColumn("_turn", F.row_number().over(w.orderBy(*quality, ordinal))).withColumn("_seen", F.min(ordinal).over(w))
-    under = placed.where(F.col("_turn") <= cap).orderBy("_turn", "_seen").limit(target).withColumn("phase", F.lit(1))
+    seen = rows.groupBy(source).agg(F.min(ordinal).alias("_seen"))
+    turn = F.row_number().over(Window.partitionBy(source).orderBy(*quality, ordinal))
+    first = rows.withColumn("_turn", turn).where(F.col("_turn") <= cap)  # each task keeps cap rows of a source before rows move
+    under = cut(first.join(seen, source).orderBy("_turn", "_seen").limit(target).withColumn("phase", F.lit(1)))
     taken = under.select(F.col(ordinal).alias("_o"))
-    rest = placed.join(taken, F.col(ordinal) == F.col("_o"), "left_anti")
-    order = Window.orderBy(*quality, "_seen", "_turn")
-    short = under.agg((F.lit(target) - F.count("*")).alias("_short"))  # one row
-    fill = rest.orderBy(*quality, "_seen", "_turn").limit(target).withColumn("_n", F.row_number().over(order)).join(F.broadcast(short), F.col("_n") <= F.col("_short")).withColumn("phase", F.lit(2)).drop("_n", "_short")
-    return under.unionByName(fill).drop("_turn", "_seen")
+    rest = rows.join(F.broadcast(taken), F.col(ordinal) == F.col("_o"), "left_anti").join(seen, source)  # taken has target rows at most
+    fill = rest.orderBy(*quality, "_seen", ordinal).limit(target - under.count()).withColumn("phase", F.lit(2))
+    return under.drop("_turn", "_seen").unionByName(fill.drop("_seen"))
 
 
 def delta(rows: DataFrame, at: str, value: str, by: str | None = None) -> DataFrame:

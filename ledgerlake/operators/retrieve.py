@@ -7,32 +7,37 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import cosine, dot, norm, rrf
 from ..functions.text import name_core, norm_name, overrides_instructions, tokens
+from .lineage import cut
 from .relations import numbered
 
 # Tokens that many firm names share, which never ground a name.
-GENERIC = set(
-    "family office offices capital partners partner management advisors advisor advisory group llc lp inc ltd the and of co holdings ventures associates wealth investments investment "
-    "single multi type types assets under regulatory services service portfolio risk private global financial solutions strategies strategy planning legacy enterprise intergenerational "
-    "outsourced virtual embedded commercial traditional hybrid dedicated boutique independent professional direct unified integrated modern typical classic common structured form forms".split()
-)
+GENERIC = {
+    "family", "office", "offices", "capital", "partners", "partner", "management", "advisors", "advisor", "advisory", "group", "llc", "lp", "inc", "ltd", "the", "and", "of", "co",
+    "holdings", "ventures", "associates", "wealth", "investments", "investment", "single", "multi", "type", "types", "assets", "under", "regulatory", "services", "service", "portfolio",
+    "risk", "private", "global", "financial", "solutions", "strategies", "strategy", "planning", "legacy", "enterprise", "intergenerational", "outsourced", "virtual", "embedded",
+    "commercial", "traditional", "hybrid", "dedicated", "boutique", "independent", "professional", "direct", "unified", "integrated", "modern", "typical", "classic", "common",
+    "structured", "form", "forms",
+}
 LEAST_SIMILARITY = 0.68
 
 
 def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(key, bm25) for the documents that have a query term; idf is of all of docs. (NUM-06)
 
-    Documents are tokenised once and only the query's terms are exploded. A negative idf becomes epsilon times the mean
+    Documents are tokenised once, and what is kept of each is its length and the query's terms in it. A negative idf becomes epsilon times the mean
     idf of all terms. That mean needs the document frequency of every term, so it is only taken if some term of the query
     is in more than half of the documents.
     """
     words = [F.lit(w) for w in dict.fromkeys(query)]
-    sized = docs.select(key, tokens(F.col(text)).alias("_t")).withColumn("_n", F.size("_t"))
+    wanted = [*dict.fromkeys(query)]
+    cut_up = docs.select(key, tokens(F.col(text)).alias("_t"))
+    sized = cut(cut_up.select(key, F.size("_t").alias("_n"), F.filter("_t", lambda t: t.isin(wanted)).alias("_hits")))
     stats = sized.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"))
-    terms = sized.select(key, "_n", F.explode(F.filter("_t", lambda t: t.isin([*dict.fromkeys(query)]))).alias("term")).groupBy(key, "_n", "term").agg(F.count("*").alias("tf"))
+    terms = sized.select(key, "_n", F.explode("_hits").alias("term")).groupBy(key, "_n", "term").agg(F.count("*").alias("tf"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats)).withColumn("idf", F.log(F.col("_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # as many rows as the query has terms
     if words and idf.where("idf < 0").limit(1).count():
-        every = sized.select(key, F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        every = cut_up.select(key, F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         mean = every.join(F.broadcast(stats)).agg(F.avg(F.log(F.col("_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("_mean_idf"))
         idf = idf.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon) * F.col("_mean_idf")).otherwise(F.col("idf")))
     per_term = {w: query.count(w) for w in dict.fromkeys(query)}
@@ -53,7 +58,7 @@ def hybrid(meta: DataFrame, scores: DataFrame, allowed: Column | None = None, ke
     BM25 and focus rank only rows with a positive score; the vector channel ranks all. vector_score is the better of
     vector and focus. Each channel is ranked over its own rows by numbered().
     """
-    rows = (meta if allowed is None else meta.where(allowed)).join(scores, key)
+    rows = cut((meta if allowed is None else meta.where(allowed)).join(scores, key))
     fused = numbered(rows, [F.desc("vector"), ordinal], "v_rank")
     for channel, name in (("bm25", "b_rank"), ("focus", "f_rank")):
         hits = numbered(rows.where(F.col(channel) > 0).select(key, ordinal, channel) if key != ordinal else rows.where(F.col(channel) > 0).select(key, channel), [F.desc(channel), ordinal], name)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +36,10 @@ class Plan:
     measure: str | None = None
 
 
+# Words that name a measure, the most telling first; assets without a basis are estimated wealth.
+MEASURES = ((r"13f|13\(f\)", "13F_securities_value"), (r"regulatory|adv\b", "regulatory_aum"), (r"wealth|\baum\b|assets", "estimated_wealth"))
+
+
 def plan(query: str) -> Plan:
     low = query.lower()
     ours = re.search(filters.DOMAIN_TERM, low)
@@ -45,11 +49,11 @@ def plan(query: str) -> Plan:
                 return Plan("universal", query, key, label)
     found = filters.parse_filters(query)
     conditions = {k: v for k, v in found.items() if k in ("fo_type", "hq_state", "hq_country")}
-    measure = "13F_securities_value" if re.search(r"13f|13\(f\)", low) else "regulatory_aum" if re.search(r"regulatory|adv\b", low) else "estimated_wealth" if "wealth" in low else None
-    if re.search(filters.TOTAL_INTENT, low) and not re.search(r"total number of", low) and (measure or re.search(r"\baum\b|assets", low)):
-        return Plan("total", query, conditions=conditions, measure=measure)
-    if re.search(filters.COUNT_INTENT, low) and ours:
-        return Plan("count", query, conditions=conditions)
+    measure = next((m for pattern, m in MEASURES if re.search(pattern, low)), None)
+    total = re.search(filters.TOTAL_INTENT, low) and not re.search(r"total number of", low) and measure
+    count = re.search(filters.COUNT_INTENT, low) and ours
+    if total or count:
+        return Plan("both" if total and count else "total" if total else "count", query, conditions=conditions, measure=measure if total else None)
     return Plan("retrieve", query, conditions=found)
 
 
@@ -63,6 +67,8 @@ def aggregate(records: DataFrame, p: Plan) -> DataFrame:
     if p.mode == "universal":
         has: Column = F.col("estimated_aum").rlike(r"(?i)13f|13\(f\)|securit") if p.subject == "13f" else filters.filled(F.trim(F.col(p.subject)))
         return records.agg(F.count_if(F.coalesce(has, F.lit(False))).alias("have_field"), F.count("*").alias("total")).withColumn("claim", F.lit(p.subject))
+    if p.mode == "both":  # no part is dropped
+        return compute.decompose({m: aggregate(records, replace(p, mode=m)) for m in ("count", "total")})
     if p.mode == "count":
         return compute.scoped_count(records, filters.matches(**p.conditions))
     return compute.typed_total(records, measures(records), filters.matches(**p.conditions), p.measure)
@@ -86,8 +92,10 @@ def answer(records: DataFrame, query: str, vectors: DataFrame | None = None, que
     """
     p = plan(query)
     if p.mode != "retrieve":
-        row = aggregate(records, p).first().asDict()
-        return {"query": query, "answered": True, "mode": p.mode, "answer": state(p, row), "compute": row, "citations": [], "cards": []}
+        parts = [replace(p, mode=m) for m in ("count", "total")] if p.mode == "both" else [p]
+        rows = [aggregate(records, x).first().asDict() for x in parts]  # a row each
+        said = " ".join(state(x, r) for x, r in zip(parts, rows, strict=True))
+        return {"query": query, "answered": True, "mode": p.mode, "answer": said, "compute": rows[0] if len(rows) == 1 else {x.mode: r for x, r in zip(parts, rows, strict=True)}, "citations": [], "cards": []}
     docs = records.select("fo_id", "name", document_text().alias("text"))
     words = [r["t"] for r in records.sparkSession.range(1).select(F.explode(tokens(F.lit(query))).alias("t")).collect()]
     scores = docs.select("fo_id").join(retrieve.bm25(docs, words, "fo_id"), "fo_id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))

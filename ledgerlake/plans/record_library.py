@@ -13,6 +13,7 @@ from ..operators import compute as A
 from ..operators import filters as P
 from ..operators import gates, maintain, resolve
 from ..operators import records as E
+from ..operators import relations as R
 from ..schemas import BASE_COLUMNS, CONFIDENCE_FIELDS, DISCOVERY_ONLY, HIGH_VALUE_FIELDS, INTELLIGENCE_FIELDS, RECORD, REQUIRED_FIELDS, SOURCE_CLASSES
 from .firms import FIRMS, audit, records
 from .library import AS_OF, query, table
@@ -365,7 +366,7 @@ def text_rules(spark, d):
         X.first_last(F.lit("ROE, JANE")).alias("turned"), X.split_list(cell).alias("parts"), X.without_thinking(F.concat(F.lit("<think>no\nno</think>\n answer "), k)).alias("spoken"))
 
 
-@query(r"""SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+')[1:12], lambda t: length(t) > 2 AND t NOT IN (""" + ", ".join(f"'{w}'" for w in X._words(X.IDENTITY_STOPWORDS)) + r""")) AS identity FROM (SELECT doc_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM documents)""")
+@query(r"""SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+')[1:12], lambda t: length(t) > 2 AND t NOT IN (""" + ", ".join(f"'{w}'" for w in X.IDENTITY_STOPWORDS) + r""")) AS identity FROM (SELECT doc_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM documents)""")
 def identity_words(spark, d):
     """TXT-06: over the first words of documents"""
     head = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
@@ -473,3 +474,43 @@ def position_tables(spark, d):
     """XML-01 SRT-04: the two largest of four positions"""
     row = lambda i: F.concat(F.lit(f"<ns:infoTable><ns:nameOfIssuer>A &amp; B{i}</ns:nameOfIssuer><ns:value>"), (F.col("s_suppkey") * i % 7).cast("string"), F.lit("</ns:value></ns:infoTable>"))
     return table(spark, d, "supplier").select("s_suppkey", H.top_holdings(F.concat(*[row(i) for i in range(1, 5)]), 2).alias("best"))
+
+
+@query(r"""WITH n AS (SELECT n_nationkey, lower(n_name) AS x FROM nation), t AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN substr(n_name, 1, 2 + n_nationkey % 4) ELSE 'The ' || n_name || ' Republic' END AS shape FROM nation)
+SELECT n_nationkey, shape FROM n LEFT JOIN t ON contains(x, lower(shape)) OR contains(lower(shape), x)""")
+def country_shapes(spark, d):
+    """JOIN-17: names that equal or contain one another, either way"""
+    n, key = F.col("n_name"), F.col("n_nationkey")
+    nations = table(spark, d, "nation")
+    shapes = nations.select(F.when(key % 2 == 0, n.substr(F.lit(1), (2 + key % 4).cast("int"))).otherwise(F.concat(F.lit("The "), n, F.lit(" Republic"))).alias("shape")).distinct()
+    return R.contains_either_way(nations, shapes, "n_name", "shape").select("n_nationkey", "shape")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS ordinal, 'Firm ' || (o_custkey % 50) AS name, o_custkey AS cik, o_orderkey % 7 AS crd FROM orders), a AS (SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k, ltrim(min_by(cik, ordinal)::VARCHAR, '0') AS cik, (min_by(crd, ordinal) FILTER (crd > 0))::VARCHAR AS crd FROM c GROUP BY 1)
+SELECT c_custkey, cik, crd FROM customer LEFT JOIN a ON k = 'firm' || c_custkey""")
+def ids_by_name(spark, d):
+    """JOIN-09: the first identifier of each kind by name"""
+    orders = table(spark, d, "orders")
+    key = F.col("o_custkey")
+    crd = F.when(F.col("o_orderkey") % 7 > 0, (F.col("o_orderkey") % 7).cast("string")).otherwise("")
+    found = orders.select(F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("Firm "), (key % 50).cast("string")).alias("name"), F.create_map(F.lit("cik"), F.lpad(key.cast("string"), 10, "0")).alias("raw"), F.create_map(F.lit("crd"), crd, F.lit("cik"), F.lit("lost")).alias("identifiers"))
+    names = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("FIRM-"), F.col("c_custkey").cast("string")).alias("name"))
+    return resolve.identifiers_by_name(names, found).select("c_custkey", F.try_element_at("ids", F.lit("cik")).alias("cik"), F.try_element_at("ids", F.lit("crd")).alias("crd"))
+
+
+@query(FIRMS + """, r AS (SELECT k, 'https://site' || (k % 40) || '.example.com' AS website, CASE record_confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END AS c, coalesce(hq_phone <> '', false) AS p, len(verification_sources) AS n, coalesce(hq_city <> '', false) AS city FROM f)
+SELECT 'fo_' || arg_max(k, row(c, p, n, city, -k)) AS fo_id, (count(*) - 1)::INTEGER AS merged_out FROM r GROUP BY website HAVING count(*) > 1""")
+def merged_records(spark, d):
+    """CYC-14 RES-06 RES-07: records of one site are one; the surest and fullest stays"""
+    firms, k = records(spark, d), F.substring("fo_id", 4, 20).cast("long")
+    sites = firms.withColumn("website", F.concat(F.lit("https://site"), (k % 40).cast("string"), F.lit(".example.com"))).withColumn("name", F.lit("")).withColumn("ordinal", k)
+    return resolve.dedupe_typed(sites)[1].select("fo_id", "merged_out")
+
+
+@query("""SELECT count(*)::BIGINT AS sample_size, count(*)::BIGINT AS team_pages_found, 2 * count(*)::BIGINT AS people_extracted, (count(*) + count(*) FILTER (s_suppkey % 2 = 0))::BIGINT AS verified, count(*) FILTER (s_suppkey % 2 <> 0)::BIGINT AS possible, count(*) FILTER (s_suppkey % 2 = 0)::BIGINT AS emails, count(*)::BIGINT AS profiles FROM supplier""")
+def people_pages(spark, d):
+    """HTM-05 AGG-30: people of team pages, one page a supplier"""
+    k = F.col("s_suppkey")
+    mailbox = F.when(k % 2 == 0, "ida").otherwise("info")
+    page = F.concat(F.lit("<html><body><header><h2>Mary Header</h2>Founder</header><div><h3>Ida Berg</h3><p>Founder</p><a href='mailto:"), mailbox, F.lit("@oak.example.com'>x</a></div><div><h3>Li Wen</h3><p>Trustee</p><a href='https://www.linkedin.com/in/li-wen'>in</a></div><div><h3>Ana Costa</h3><p>Head of Operations</p></div></body></html>"))
+    return A.people_totals(table(spark, d, "supplier").select(k.alias("firm"), H.people(page, F.lit("")).alias("people")))

@@ -1,10 +1,11 @@
-"""Discovery sources over recorded responses: the Python Data Source API reads pages, DataFrames make candidates (SRC-14 to SRC-20)."""
+"""Discovery sources over recorded responses: Spark reads the pages, DataFrames make candidates (SRC-14 to SRC-20)."""
 
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -57,6 +58,13 @@ PARSERS = {"edgar": _edgar, "iapd": _iapd, "nonprofit": _nonprofit, "directory":
 CLASSES = {"edgar": "SEC_EDGAR", "iapd": "SEC_IAPD", "nonprofit": "IRS_990PF", "directory": "DIRECTORY", "news": "NEWS", "search": "WEB"}
 
 
+def candidates_of(kind: str, content: str, number: int):
+    """The rows of one recorded page."""
+    for i, (name, ids, hints, url) in enumerate(PARSERS[kind](json.loads(content))):
+        if name:
+            yield (name, next(iter(ids.values()), None), url, ids, hints, number, i)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.kind, self.files = options["kind"], [p for p in options["paths"].split("\n") if p]
@@ -65,18 +73,16 @@ class _Reader(DataSourceReader):
         return [_Page(p, i) for i, p in enumerate(self.files)]
 
     def read(self, partition):
-        if not os.path.exists(partition.path):  # a page that was not recorded gives nothing
-            return
         with open(partition.path, encoding="utf-8") as f:
-            doc = json.load(f)
-        for i, (name, ids, hints, url) in enumerate(PARSERS[self.kind](doc)):
-            if name:
-                key = next(iter(ids.values()), None)
-                yield (name, key, url, ids, hints, partition.number, i)
+            yield from candidates_of(self.kind, f.read(), partition.number)
 
 
 class Recorded(DataSource):
-    """format("recorded"): options kind and paths (one a line); a page is a partition."""
+    """format("recorded"): options kind and paths (one a line); a page is a partition.
+
+    The point where a live source is put in: its reader opens pages on the executors, so paths must be on all of them, and
+    one that is not there is an error. discover() reads through Spark instead.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -89,10 +95,35 @@ class Recorded(DataSource):
         return _Reader(self.options)
 
 
-def discover(spark: SparkSession, kind: str, paths: list[str], limit: int | None = None) -> DataFrame:
+def pages(spark: SparkSession, paths: list[str], missing: str = "error") -> DataFrame:
+    """(page, content): recorded pages read by Spark, page their place in paths. A path that is not there is an error, or with missing="skip" no row."""
+    if missing not in ("error", "skip"):
+        raise ValueError("missing is error or skip")
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    found = []
+    for i, p in enumerate(paths):
+        where = hadoop.Path(p)
+        fs = where.getFileSystem(conf)
+        if fs.exists(where):
+            found.append((fs.makeQualified(where).toUri().toString(), i, p))
+        elif missing == "error":
+            raise FileNotFoundError(p)
+    if not found:
+        return spark.createDataFrame([], "page int, content string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    places = spark.createDataFrame([(u, i) for u, i, _ in found], "u string, page int")
+    rows = spark.read.text(sorted({p for *_, p in found}), wholetext=True).select(F.col("value").alias("content"), plain(F.input_file_name()).alias("_u"))
+    return rows.join(F.broadcast(places), plain(F.col("u")) == F.col("_u")).select("page", "content")  # a row for each path given
+
+
+def discover(spark: SparkSession, kind: str, paths: list[str], limit: int | None = None, missing: str = "error") -> DataFrame:
     """Candidates of one kind of source, each identifier or name once, the first on its page. (SRC-14 to SRC-20)"""
-    spark.dataSource.register(Recorded)
-    rows = spark.read.format("recorded").option("kind", kind).option("paths", "\n".join(paths)).load()
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for n, c in zip(b["page"], b["content"], strict=True) for r in candidates_of(kind, c, n)], columns=["name", "source_key", "source_url", "identifiers", "hints", "page", "place"])
+
+    rows = pages(spark, paths, missing).mapInPandas(parse, SCHEMA)
     if kind in ("news", "search"):
         rows = rows.withColumn("name", F.explode(office_names(F.col("name"))))
     rows = rows.withColumn("name", without_cik(F.col("name"))).withColumn("_k", F.coalesce("source_key", norm_name(F.col("name")))).where("_k <> ''")

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import norm_name
 from ..operators.lineage import cut
 from ..operators.maintain import upserted
 from ..operators.records import delivery, provenance_rows, source_rows
@@ -67,6 +68,12 @@ def insert_new(rows: DataFrame, folder: str, key: str, order: str) -> int:
     return first.count()
 
 
+def insert_candidates(rows: DataFrame, folder: str, order: str) -> int:
+    """Append candidates whose dedup_key, or where they have none their normalised name, is not there yet; how many. (RES-10, SNK-03)"""
+    key = F.coalesce(F.nullif("dedup_key", F.lit("")), norm_name(F.col("name")))
+    return insert_new(rows.withColumn("dedup_key", key), folder, "dedup_key", order)
+
+
 def upsert(batch: DataFrame, folder: str, key: str, order: str, version: str) -> str:
     """The store with the batch's last row of each key, as a new version. (SNK-04)"""
     old = read_current(batch.sparkSession, folder)

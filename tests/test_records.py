@@ -226,6 +226,9 @@ def test_answers(spark, records):
     assert answer.answer(df, "Do all family offices have a principal email?")["compute"]["have_field"] == 1
     assert answer.answer(df, "How many single family offices are in Texas?")["compute"]["value"] == 1
     assert answer.answer(df, "total 13F AUM of family offices")["compute"]["value"] == 1e7
+    both = answer.answer(df, "How many family offices are there and what is their total 13F AUM?")
+    assert both["mode"] == "both" and both["compute"]["total"]["value"] == 1e7 and both["compute"]["count"]["total_records"] == df.count()
+    assert answer.plan("total AUM of family offices").measure == "estimated_wealth" and answer.answer(df, "total AUM of family offices")["answered"]
     got = answer.answer(df, "family offices in New York that care for healthcare")
     assert got["answered"] and got["citations"] == ["b"]
     assert not answer.answer(df, "what is the weather")["answered"]

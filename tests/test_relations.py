@@ -64,3 +64,13 @@ def test_numbered_alike_at_every_size(spark):
     df = spark.createDataFrame([(i, rnd.randrange(20)) for i in range(500)], "k long, v int").repartition(7)
     small, large = (sorted(map(tuple, R.numbered(df, [F.desc("v"), "k"], "n", most).collect())) for most in (1000, 10))
     assert small == large
+
+
+def test_names_within_names(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abA") for _ in range(rnd.randint(0, 7)))
+    rows, names = [(i, word()) for i in range(60)] + [(60, None)], sorted({word() for _ in range(40)} - {""}) + [""]
+    got = R.contains_either_way(spark.createDataFrame(rows, "i long, c string"), spark.createDataFrame([(n,) for n in names], "shape string"), "c", "shape").collect()
+    near = lambda a, b: a and b and (a.lower() in b.lower() or b.lower() in a.lower())
+    want = [(i, n) for i, c in rows for n in ([n for n in names if near(c, n)] or [None])]
+    assert sorted(((r["i"], r["shape"]) for r in got), key=repr) == sorted(want, key=repr)

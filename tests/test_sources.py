@@ -3,6 +3,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from ledgerlake.operators.records import delivery
 from ledgerlake.schemas import AUDIT, SOURCE_CLASSES
 from ledgerlake.sources import readers, recorded, sinks
@@ -46,7 +48,12 @@ def test_bulk(spark, tmp_path):
 def test_recorded(spark, tmp_path):
     page = {"hits": {"hits": [{"_source": {"display_names": ["Alder LLC (CIK 7)"], "ciks": ["7"], "biz_states": ["TX"]}}, {"_source": {"display_names": ["Alder again"], "ciks": ["7"]}}]}}
     (tmp_path / "p0.json").write_text(json.dumps(page))
-    got = recorded.discover(spark, "edgar", [str(tmp_path / "p0.json"), str(tmp_path / "none.json")]).collect()
+    got = recorded.discover(spark, "edgar", [str(tmp_path / "p0.json"), str(tmp_path / "none.json")], missing="skip").collect()
+    with pytest.raises(FileNotFoundError):
+        recorded.discover(spark, "edgar", [str(tmp_path / "none.json")])
+    assert recorded.discover(spark, "edgar", [], missing="skip").count() == 0
+    spark.dataSource.register(recorded.Recorded)
+    assert spark.read.format("recorded").option("kind", "edgar").option("paths", str(tmp_path / "p0.json")).load().count() == 2
     assert len(got) == 1 and got[0]["name"] == "Alder LLC" and got[0]["hints"] == {"state": "TX"} and got[0]["source_class"] == SOURCE_CLASSES["SEC_EDGAR"]
     (tmp_path / "n.json").write_text(json.dumps({"articles": [{"title": "The Alder Family Office buys"}, {"title": "Oak Family Office and Alder Family Office"}]}))
     names = recorded.discover(spark, "news", [str(tmp_path / "n.json")])
@@ -55,6 +62,10 @@ def test_recorded(spark, tmp_path):
 
 def test_stores(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a", 1), (1, "a", 2), (2, "b", 3)], "o long, k string, v int")
+    named = spark.createDataFrame([(0, "Oak LLC", "x"), (1, "The Oak", None), (2, "oak, inc", ""), (3, "Elm", "x")], "o long, name string, dedup_key string")
+    pool = str(tmp_path / "named")
+    assert sinks.insert_candidates(named, pool, "o") == 2 and sinks.insert_candidates(named, pool, "o") == 0
+    assert {(r["name"], r["dedup_key"]) for r in spark.read.parquet(pool).collect()} == {("Oak LLC", "x"), ("The Oak", "oak")}
     folder = str(tmp_path / "pool")
     assert sinks.insert_new(rows, folder, "k", "o") == 2 and sinks.insert_new(rows, folder, "k", "o") == 0
     assert {r["v"] for r in spark.read.parquet(folder).collect()} == {1, 3}
