@@ -113,14 +113,19 @@ def shorter(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> It
             yield b.slice(a, rows)
 
 
+def give_back() -> None:
+    """Give memory that this Python worker no longer needs back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(work):
-    """work, a function of batches, after which the Python worker gives memory it no longer needs back to the system."""
+    """work, a function of batches, after which memory is given back."""
 
     @functools.wraps(work)
     def run(batches):
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return run

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._dist import discard, settle, small_batches, tidy
+from ._dist import ROWS_PER_BATCH, discard, give_back, settle, small_batches, tidy
 from ._text import distinct, flat, grouped, mix, pieces
 
 #: N-grams of ORDER symbols. A symbol is a code point; white space and controls are one symbol, and 0 stands before the text.
@@ -32,7 +32,7 @@ BLOCK = 64 << 20
 #: The model is cut by hash into shards of about so many n-grams, and a shard answers so many blocks in one task.
 SHARD_ROWS, BLOCKS_PER_TASK = 500_000, 256
 #: A task counts so many different n-grams before it passes them on.
-HELD_GRAMS = 1_500_000
+HELD_GRAMS = 1_200_000
 _STEPS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -209,29 +209,27 @@ def blocked(docs: DataFrame, blocks: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
             place, rows = rows.column("_block").to_numpy(), rows.drop_columns("_block")
             held.clear()
             at = np.argsort(place, kind="stable")
-            found, streams = np.unique(place), []
             for part in np.split(at, np.flatnonzero(np.diff(place[at])) + 1):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=_zstd())) as w:
                     w.write_table(rows.take(pa.array(part)))
-                streams.append(sink.getvalue().to_pybytes())
-            return pa.record_batch([pa.array(found, pa.int32()), pa.array(streams, pa.binary())], ["block", "rows"])
+                yield pa.record_batch([pa.array([place[part[0]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
         size = 0
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 size += b.nbytes
-            if size > BLOCK // 2:
-                yield out()
+            if size > BLOCK // 4:
+                yield from out()
                 size = 0
         if held:
-            yield out()
+            yield from out()
 
     return dealt.mapInArrow(tidy(pack), "block int, rows binary")
 
@@ -281,6 +279,8 @@ def score(docs: DataFrame, model: DataFrame, keep: list[str] | None = None, bloc
         some = np.flatnonzero(np.diff(edge))
         deltas = [packed(np.diff(all_[edge[s] : edge[s + 1]], prepend=np.uint64(0))) for s in some]
         mine = key[0].as_py()
+        del all_
+        give_back()
         return pa.table([pa.array(some, pa.int32()), pa.array([mine % salts] * len(some), pa.int32()), pa.array([mine] * len(some), pa.int32()), pa.array(deltas, pa.binary())], ["shard", "salt", "asker", "keys"])
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -294,6 +294,8 @@ def score(docs: DataFrame, model: DataFrame, keep: list[str] | None = None, bloc
             if len(names) == 0 or (names[np.minimum(at, len(names) - 1)] != want).any():
                 raise ValueError("the model lacks n-grams of the texts")
             out.append(packed(logp[at]))
+        del names, logp, order
+        give_back()
         return pa.table([asked.column("asker"), asked.column("shard"), pa.array(out, pa.binary())], ["asker", "part", "logp"])
 
     asked = rows.groupBy("block").applyInArrow(ask, "shard int, salt int, asker int, keys binary")
@@ -313,8 +315,11 @@ def score(docs: DataFrame, model: DataFrame, keep: list[str] | None = None, bloc
                 sums = np.concatenate([[0.0], np.cumsum(table.get(h.view(np.int64)), dtype=np.float64)])
                 at = np.concatenate([[0], np.cumsum(n)])
                 total[lo:hi], count[lo:hi] = sums[at[:-1]] - sums[at[1:]], n
-            out.append(t.select(names).append_column("surprise", pa.array(total)).append_column("symbols", pa.array(count)))
-        return pa.concat_tables(out)
+            t = t.select(names).append_column("surprise", pa.array(total)).append_column("symbols", pa.array(count))
+            out += t.to_batches(ROWS_PER_BATCH)
+        del table
+        give_back()
+        return pa.Table.from_batches(out)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return rows.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(add, f"{schema}, surprise double, symbols long")

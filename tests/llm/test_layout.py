@@ -229,3 +229,23 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, d.limit(0), sf_dir).count() == 0
+
+
+def test_stages_take_odd_documents(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, columns that operators would add."""
+    rnd = random.Random(3)
+    line = lambda n: " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))
+    rows = [(i, line(60), "en", f"s{i % 2}", 300) for i in range(40)]
+    rows += [(None, None, None, None, None), (50, None, "en", "s0", 0), (51, "", "en", None, 0), (52, "!!", None, "s0", 2), (53, line(30_000), "fr", "s1", 1), rows[0], rows[0], (0, line(20), "en", "s1", 5), (None, line(9), "xx", "s0", 1)]
+    clash = ["keep", "code", "taught", "surprise", "kept", "removed", "raw", "size", "copies", "extra_1", "_block"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+    spark.createDataFrame([(i, 1) for i in range(30)] + [(None, 1), (0, 0), (999, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert docs.count() == len(rows)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), docs.schema)
+        assert now.columns == docs.columns and now.select(*clash).distinct().count() == 1, name
+        assert now.where("doc_id = 52").count() >= (name != "mixing sources to target weights")
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).where("doc_id IS NOT NULL").count() >= now.where("doc_id IS NOT NULL").count()
+    quality = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
+    assert quality.where("text IS NULL OR text = '' OR lang = 'xx'").count() == 4
