@@ -471,4 +471,4 @@ def event_windows(spark, d):
     return tumbling(table(spark, d, "events"))
 
 
-from . import record_library  # noqa: E402, F401
+from . import file_library, record_library  # noqa: E402, F401
