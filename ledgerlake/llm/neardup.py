@@ -22,8 +22,8 @@ BANDS, ROWS = 25, 5
 ESTIMATE = 0.64
 #: A bucket with more texts is split by a second band, and where that is not enough by two seeded hashes.
 BUCKET = 256
-#: Candidate groups up to so many texts are compared exactly in one task; the links of larger ones by joins.
-GROUP = 1000
+#: Candidate groups up to so many texts, whose shingles have so many bytes, are compared exactly in one task; larger ones by joins.
+GROUP, GROUP_BYTES = 1000, 32 << 20
 
 _POISSON = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.int64)
 
@@ -270,18 +270,18 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(tidy(check), "a long, b long")
 
 
-def stray_links(sets: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
+def stray_links(sets: DataFrame, roots: DataFrame, similarity: float, block: int, block_bytes: int = GROUP_BYTES) -> DataFrame:
     """Links (a, b) between the classes of a group, of which each node has one to every class it is linked with.
 
-    sets(node, group, shingles), roots(node, root). A link between two classes has an end outside the group's largest
-    one. These strays are compared with all nodes of their group, exactly, in cells of block strays by block nodes; a cell
-    counts common shingles by inverted lists and gives out links only.
+    sets(node, group, shingles, bytes), roots(node, root). A link between two classes has an end outside the group's largest
+    one. These strays are compared with all nodes of their group, exactly, in cells of block strays by block nodes, or
+    fewer where their shingles have many bytes; a cell counts common shingles by inverted lists and gives out links only.
     """
-    known = sets.select("node", "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = known.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    known = known.join(main, "group").where(F.col("all") > F.col("most"))
+    known = sets.select("node", "group", "bytes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = known.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("bytes").alias("heavy"))
+    known = known.drop("bytes").join(main, "group").where(F.col("all") > F.col("most"))
     rows = sets.select("node", "shingles").join(known, "node")
-    blocks = lambda n: F.ceil(n / block).cast("int")
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.ceil(F.col("heavy") / block_bytes)).cast("int")
     hashed = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     strays = F.col("all") - F.col("most")
@@ -311,7 +311,7 @@ def stray_links(sets: DataFrame, roots: DataFrame, similarity: float, block: int
     return left.groupBy("group", "i", "j").cogroup(right.groupBy("g", "k", "l")).applyInPandas(cell, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, group: int = GROUP, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row (doc_id, raw, class_id, kept) for each row of docs(doc_id, text); raw is the hash of the text.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles (five words, lower case, letters and digits
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bucket: int
     doc_id. Texts with the same words are one node, so copies cost one row each. DartMinHash signatures are cut into
     bands, nodes that share a band are in one bucket, and each bucket gives a spanning forest of its highest estimates:
     by the cut property it connects whatever a threshold connects. Buckets over bucket nodes are split by a second band.
-    Groups that candidates connect are compared exactly: up to group nodes in one task; in larger ones first the
+    Groups that candidates connect are compared exactly: up to group nodes and group_bytes of shingles in one task; in larger ones first the
     forests' pairs, then the nodes outside the largest class that these leave, against all nodes of the group in blocks.
 
     Null, empty and wordless texts are a class each, except that equal wordless texts share one. A null doc_id is a
@@ -349,22 +349,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bucket: int
         members = members.union(p.select("node", "bucket"))
     pairs = settle(candidate_links(members.join(sketches, "node").select("bucket", "node", "sketch")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     loose = settle(components(pairs))
-    sizes = loose.groupBy("root").agg(F.count("*").alias("n"))
-    grouped = loose.join(sizes, "root").withColumnRenamed("root", "group").join(nodes.select(F.col("node").alias("id"), "doc_id", "raw"), "id").withColumnRenamed("id", "node")
+    grouped = loose.withColumnRenamed("root", "group").join(nodes.select(F.col("node").alias("id"), "doc_id", "raw"), "id").withColumnRenamed("id", "node")
     with small_batches(docs.sparkSession):
-        sets = settle(shingle_sets(docs, grouped.select("doc_id", "raw", "node", "group", "n").drop("n")).dropDuplicates(["node"]).join(sizes.withColumnRenamed("root", "group"), "group"))
+        sets = settle(shingle_sets(docs, grouped.select("doc_id", "raw", "node", "group")).dropDuplicates(["node"]).withColumn("bytes", F.octet_length("shingles").cast("long")))
+    heavy = settle(sets.groupBy("group").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > group) | (F.col("bytes") > group_bytes)).select("group"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
         first = _exact(rows, similarity)
         return pd.DataFrame({"node": rows["node"], "root": rows["node"].to_numpy()[first]})
 
-    exact = sets.where(F.col("n") <= group).groupBy("group").applyInPandas(compare, "node long, root long")
-    big = sets.where(F.col("n") > group)
-    if big.limit(1).count():
+    exact = sets.join(heavy, "group", "left_anti").groupBy("group").applyInPandas(compare, "node long, root long")
+    if heavy.limit(1).count():
+        big = sets.join(heavy, "group", "left_semi")
         links = settle(verified(pairs, big, similarity))
         roots = settle(components(links).withColumnRenamed("id", "node"))
-        more = settle(stray_links(big, roots, similarity, group))
+        more = settle(stray_links(big, roots, similarity, group, group_bytes))
         if more.limit(1).count():
             roots = components(links.union(more)).withColumnRenamed("id", "node")
         exact = exact.union(roots.select("node", "root"))
