@@ -19,6 +19,8 @@ LENGTH, GRAM = 200, 64
 SHARD = 1 << 19
 #: An anchor with more different fragments is no shard: its strings are compared by their hashes, wherever they are.
 FRAGMENTS = 2000
+#: Anchors of a longer text are sought stretch by stretch, by where its strings start.
+LONG = 1 << 23
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -30,6 +32,13 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     anchors at equal places, so a string's copies are in fragments of the same anchor hash.
     """
     n, width = len(data), length - gram + 1
+    if n - length + 1 > LONG and len(off) == 2:
+        found = []
+        for a in range(0, n - length + 1, LONG):
+            part = data[a : a + LONG + length - 1]
+            owner, start, stop, anchor, g, f = anchors(part, np.array([0, len(part)]), length, gram)
+            found.append((owner, start + a, stop + a, anchor + a, g, f))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     none = np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(off) - 1), np.maximum(np.diff(off) - length + 1, 0))
     if n < length or not len(owner):

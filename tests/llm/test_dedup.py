@@ -270,3 +270,33 @@ def test_op3_against_brute_force(spark, sf_dir):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.op3_suffix_array_dedup(spark, sf_dir).collect()}
     want = brute_repeats([(r["text"] or "").encode() for r in rows], 200)
     assert got == {r["doc_id"]: w for r, w in zip(rows, want, strict=True)}
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    """Stretch by stretch or at once, every string has the same anchor, in periodic texts too."""
+    rnd = np.random.default_rng(2)
+    data = np.concatenate([np.tile(np.frombuffer(b"abcab", np.uint8), 60), rnd.integers(97, 100, 500).astype(np.uint8), np.zeros(200, np.uint8)])
+    of = lambda found: {s: (int(a), int(g)) for _, b, e, a, g, _ in zip(*found, strict=True) for s in range(b, e + 1)}
+    off = np.array([0, len(data)])
+    want = of(repeats.anchors(data, off, 20, 8))
+    for long in (33, 100, 256):
+        monkeypatch.setattr(repeats, "LONG", long)
+        assert of(repeats.anchors(data, off, 20, 8)) == want and len(want) == len(data) - 19
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    """Copies of a long text with changed words, compared by joins as their shingles have many bytes."""
+    rnd = random.Random(31)
+    long = words(rnd, 60_000, 10**6)
+    rows = []
+    for k in range(6):
+        own = list(long)
+        for _ in range(600 * k):
+            own[rnd.randrange(len(own))] = f"x{rnd.random()}"
+        rows.append((k, " ".join(own)))
+    rows += [(10, " ".join(words(rnd, 60_000, 10**6))), (11, " ".join(long[:40_000]))]
+    df = spark.createDataFrame(rows, DOCS)
+    want = brute_classes(rows)
+    for limit in (1 << 30, 1 << 16):
+        got = neardup.near_duplicates(df, group_bytes=limit).collect()
+        assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=repr) == want
