@@ -3,6 +3,9 @@
 import datetime
 import decimal
 import math
+import pathlib
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -52,3 +55,9 @@ def test_runs(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_needs_no_session():
+    root = pathlib.Path(entry.__file__).parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout.split()[-1]) == len(entry.queries()), said.stderr
