@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_formatting
 from .embeddup import op6_embedding_near_dedup
+from .interaction import OP11_SQL, op11_filter_interaction_audit
 from .mixing import OP10_SQL, op10_mixing
 from .neardup import op1_minhash_near_dedup
 from .packing import op9_packing
@@ -13,5 +14,5 @@ from .sharding import op5_sharding
 from .topk import OP8_SQL, op8_exact_top_k
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_suffix_array_dedup, op4_toxicity, op5_sharding, op6_embedding_near_dedup, op7_chat_formatting, op8_exact_top_k, op9_packing, op10_mixing)}
-SQL = {"op7_chat_formatting": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op10_mixing": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_suffix_array_dedup, op4_toxicity, op5_sharding, op6_embedding_near_dedup, op7_chat_formatting, op8_exact_top_k, op9_packing, op10_mixing, op11_filter_interaction_audit)}
+SQL = {"op7_chat_formatting": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op10_mixing": OP10_SQL, "op11_filter_interaction_audit": OP11_SQL}
