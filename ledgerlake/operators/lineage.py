@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,3 +30,20 @@ def scratch(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlake-"))
         found = context.getCheckpointDir()
     return f"{found.rstrip('/')}/files/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in a scratch folder and read again: one job, and the planner knows its size."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side of a join with at most so many rows is broadcast; it is counted first.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, stored, to be broadcast if it has at most FEW rows; else a table of its own, so that adaptive execution can split what it is joined with."""
+    kept = stored(df)
+    return broadcast(kept) if kept.count() <= FEW else kept

@@ -344,6 +344,57 @@ def resolved_by_identifier(spark, d):
     return kept.select("ordinal", "name", "dedup_key", F.array_join("discovery_sources", "|").alias("sources"))
 
 
+#: Ten customers in a row share names, places and identifiers in all ways; a fold over lists reads them one by one.
+TANGLED = """WITH RECURSIVE c AS (SELECT c_custkey AS ordinal, c_custkey // 10 AS g, 'firm ' || (c_custkey // 10) || 'n' || (c_nationkey % 2) AS name, CASE WHEN c_nationkey % 5 < 3 THEN 'st' || (c_nationkey % 5) END AS geo,
+CASE WHEN c_custkey % 3 = 0 THEN 'c' || (c_custkey // 10) || 'x' || (c_nationkey % 4) END AS cik, CASE WHEN c_custkey % 4 < 2 THEN 'd' || (c_custkey // 10) || 'x' || (c_nationkey % 3) END AS dom FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ordinal) AS i FROM c),
+step AS (SELECT g, 0::BIGINT AS i, []::STRUCT(first BIGINT, name VARCHAR, geo VARCHAR, cik VARCHAR, dom VARCHAR)[] AS firms, NULL::BIGINT AS ordinal, NULL::BIGINT AS kept, '' AS basis FROM (SELECT DISTINCT g FROM r)
+    UNION ALL SELECT g, i, CASE WHEN kept IS NULL THEN list_append(firms, {'first': ordinal, 'name': name, 'geo': geo, 'cik': cik, 'dom': dom})
+        ELSE list_transform(firms, lambda f: CASE WHEN f.first = kept THEN {'first': f.first, 'name': f.name, 'geo': coalesce(f.geo, geo), 'cik': coalesce(f.cik, cik), 'dom': coalesce(f.dom, dom)} ELSE f END) END,
+        ordinal, coalesce(kept, ordinal), CASE WHEN kept IS NULL THEN '' WHEN by_id IS NULL THEN 'name+geo' WHEN list_filter(firms, lambda f: f.first = by_id)[1].cik = cik THEN 'identifier:cik' ELSE 'identifier:domain' END
+    FROM (SELECT r.*, firms, coalesce(by_id, by_name) AS kept, by_id FROM (SELECT r.*, s.firms, list_filter(s.firms, lambda f: coalesce(f.cik = r.cik, false) OR coalesce(f.dom = r.dom, false))[1].first AS by_id,
+        list_filter(s.firms, lambda f: f.name = r.name AND coalesce(f.geo = r.geo, true) AND coalesce(f.cik = r.cik, true) AND coalesce(f.dom = r.dom, true))[1].first AS by_name
+        FROM step s JOIN r ON r.g = s.g AND r.i = s.i + 1) r) r)"""
+
+
+def tangled(spark, d):
+    """The rows of TANGLED as candidates."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    g = F.floor(k / 10).cast("string")
+    some = lambda *pairs: F.map_from_entries(F.array_compact(F.array(*[F.when(when, F.struct(F.lit(key).alias("k"), value.alias("v"))) for key, when, value in pairs])))
+    part = lambda head, of: F.concat(F.lit(head), g, F.lit("x"), of.cast("string"))
+    none = F.create_map().cast("map<string,string>")
+    return table(spark, d, "customer").select(
+        k.alias("ordinal"), F.concat(F.lit("Firm "), g, F.lit("n"), (n % 2).cast("string"), F.lit(" LLC")).alias("name"), F.col("c_mktsegment").alias("source_class"), some(("cik", k % 3 == 0, part("C", n % 4))).alias("identifiers"),
+        none.alias("raw"), some(("domain", k % 4 < 2, part("d", n % 3)), ("state", n % 5 < 3, F.concat(F.lit(" ST"), (n % 5).cast("string")))).alias("hints"))
+
+
+@query(TANGLED + """ SELECT s.ordinal, CASE WHEN s.kept <> s.ordinal THEN 'Firm ' || substr(k.name, 6) || ' LLC' END AS matched, CASE WHEN s.kept = s.ordinal THEN 'new' ELSE 'merge' END AS action, s.basis FROM step s JOIN c k ON k.ordinal = s.kept""")
+def resolved_in_order(spark, d):
+    """RES-01 RES-02 RES-03 RES-09: identifiers, names and places together, where what is kept so far decides"""
+    return resolve.resolve(tangled(spark, d), fuzzy=None)[1].select("ordinal", "matched", "action", "basis")
+
+
+@query(TANGLED + """, f AS (SELECT s.kept AS ordinal, c.*, row_number() OVER (PARTITION BY CASE WHEN c.cik IS NOT NULL THEN 'cik:' || c.cik WHEN c.dom IS NOT NULL THEN 'domain:' || c.dom ELSE 'name:' || c.name || '|geo:' || coalesce(c.geo, '?') END ORDER BY c.ordinal) AS n FROM step s JOIN c ON c.ordinal = s.kept WHERE s.kept = s.ordinal),
+m AS (SELECT kept, arg_min(cik, s.ordinal) FILTER (cik IS NOT NULL) AS cik, arg_min(dom, s.ordinal) FILTER (dom IS NOT NULL) AS dom, arg_min(geo, s.ordinal) FILTER (geo IS NOT NULL) AS geo FROM step s JOIN c ON c.ordinal = s.ordinal GROUP BY kept)
+SELECT f.ordinal, CASE WHEN f.cik IS NOT NULL THEN 'cik:' || f.cik WHEN f.dom IS NOT NULL THEN 'domain:' || f.dom ELSE 'name:' || f.name || '|geo:' || coalesce(f.geo, '?') END || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS dedup_key, upper(m.cik) AS cik, m.dom AS domain, ' ' || upper(m.geo) AS state FROM f JOIN m ON m.kept = f.ordinal""")
+def kept_in_order(spark, d):
+    """RES-05 ARR-08 ARR-09 WIN-05: what is kept, its key by its first candidate, its identifiers and hints by all"""
+    kept = resolve.resolve(tangled(spark, d), fuzzy=None)[0]
+    upper = lambda k: F.upper(F.try_element_at("identifiers", F.lit(k)))
+    return kept.select("ordinal", "dedup_key", upper("cik").alias("cik"), F.lower(upper("domain")).alias("domain"), F.try_element_at("hints", F.lit("state")).alias("state"))
+
+
+@query("""WITH n AS (SELECT c_custkey AS ordinal, c_name AS name, lower(string_split(c_name, '#')[2]) || ' customer' AS s FROM customer), x AS (SELECT ordinal, name, s, substr(s, 1, i::INT - 1) || substr(s, i::INT + 1) AS rest FROM n, range(1, 19) t(i)),
+near AS (SELECT a.ordinal, min(b.ordinal) AS other FROM x a JOIN x b ON a.rest = b.rest AND b.ordinal < a.ordinal GROUP BY a.ordinal)
+SELECT n.ordinal, o.name AS matched, CASE WHEN other IS NULL THEN 'new' ELSE 'possible_duplicate_kept_distinct' END AS action, CASE WHEN other IS NULL THEN '' ELSE 'fuzzy=94' END AS basis FROM n LEFT JOIN near ON near.ordinal = n.ordinal LEFT JOIN n o ON o.ordinal = near.other""")
+def flagged_names(spark, d):
+    """RES-04 JOIN-15 TXT-23: names of 18 letters that are alike but for one score 94; the earliest is named and nothing merged"""
+    none = F.create_map().cast("map<string,string>")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("name"), F.lit("n").alias("source_class"), none.alias("identifiers"), none.alias("raw"), none.alias("hints"))
+    return resolve.resolve(rows)[1].select("ordinal", "matched", "action", "basis")
+
+
 @query(r"""WITH n AS (SELECT p_partkey AS ordinal, lower(p_name) AS name FROM part), t AS (SELECT ordinal, array_to_string(list_sort(string_split(name, ' ')), ' ') AS s FROM n), first AS (SELECT s, min(ordinal) AS other FROM t GROUP BY s) SELECT ordinal, other AS similar_to, 100 AS score FROM t JOIN first USING (s) WHERE other < ordinal""")
 def equal_names(spark, d):
     """JOIN-15 RES-04 TXT-23: at 100 only names of the same words are similar; the earliest is named"""
