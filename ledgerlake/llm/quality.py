@@ -42,10 +42,18 @@ def lang_code(c: Column) -> Column:
 
 
 def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts in a row and the number of each text's."""
-    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
-    return np.where(chars <= 32, np.uint32(32), chars), np.diff(begins)
+    """The symbols of all texts in a row and the number of each text's. What is not UTF-8 counts as U+FFFD, as Python replaces it text by text."""
+    raw, begins = data.tobytes(), (data & 0xC0) != 0x80
+    first = off[:-1][off[:-1] < off[1:]]
+    try:
+        if not begins[first].all():
+            raise UnicodeDecodeError("utf-8", raw, 0, 1, "a text begins within a character")
+        chars, n = raw.decode().encode("utf-32-le"), np.diff(np.concatenate([[0], np.cumsum(begins)])[off])
+    except UnicodeDecodeError:
+        each = [raw[a:b].decode("utf-8", "replace").encode("utf-32-le") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        chars, n = b"".join(each), np.array([len(e) // 4 for e in each], np.int64)
+    chars = np.frombuffer(chars, np.uint32)
+    return np.where(chars <= 32, np.uint32(32), chars), n
 
 
 def windows(sym: np.ndarray, n: np.ndarray, order: int = ORDER) -> Iterator[np.ndarray]:
@@ -132,19 +140,12 @@ def context(k: int) -> Column:
     return F.expr(f"left(gram, {k - 1})")
 
 
-def discounts_of(counts: dict[int, DataFrame]) -> dict[int, list[float]]:
-    """The three discounts of each order, from how many n-grams have each small count."""
-    of = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).alias(f"n{i}") for i in range(1, 5)]
-    rows = None
-    for k, t in counts.items():
-        one = t.agg(*of).withColumn("k", F.lit(k))
-        rows = one if rows is None else rows.union(one)
-    discounts = {}
-    for r in rows.collect():  # a row for each order
-        n = [float(r[f"n{i}"] or 0) for i in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        discounts[r["k"]] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i - 0.05) if n[i - 1] else 0.5 for i in (1, 2, 3)]
-    return discounts
+def discounts_of(counts: DataFrame) -> DataFrame:
+    """(code, d1, d2, d3), settled: each language's discounts, from how many of its n-grams(code, c) have each small count."""
+    n = counts.groupBy("code").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)])
+    y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+    d = [F.when(F.col(f"n{i}") > 0, F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)), F.lit(0.1)), F.lit(i - 0.05))).otherwise(0.5) for i in (1, 2, 3)]
+    return settle(n.select("code", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)]))
 
 
 def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -152,15 +153,13 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     rows = {order: grams}
     for k in range(order - 1, 0, -1):  # how many different symbols the taught texts have before each shorter n-gram
         rows[k] = settle(rows[k + 1].groupBy("code", suffix(k).alias("gram")).agg(F.sum((F.col("c") > 0).cast("int")).alias("c")))
-    discounts = discounts_of(rows)
-    lower = None
+    lower, d, c = None, [F.col(f"d{i}") for i in (1, 2, 3)], F.col("c")
     for k in range(1, order + 1):
-        d, c = [F.lit(x) for x in discounts[k]], F.col("c")
+        found = discounts_of(rows[k])
+        counted = rows[k].join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, "code")
         discount = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        contexts = rows[k].where("c > 0").groupBy("code", context(k).alias("context")).agg(
-            F.sum("c").alias("total"),
-            (d[0] * F.sum((c == 1).cast("int")) + d[1] * F.sum((c == 2).cast("int")) + d[2] * F.sum((c > 2).cast("int"))).alias("left"))
-        asked = rows[k].withColumn("context", context(k)).join(contexts, ["code", "context"], "left")
+        contexts = counted.where("c > 0").groupBy("code", context(k).alias("context")).agg(F.sum("c").alias("total"), F.sum(discount).alias("left"))
+        asked = counted.withColumn("context", context(k)).join(contexts, ["code", "context"], "left")
         if lower is None:
             asked = asked.withColumn("below", F.lit(1.0 / CODE_POINTS))
         else:

@@ -211,3 +211,30 @@ def test_thresholds_have_no_slack(spark):
     rows = [("a", *x) for x in good + bad] + [("b", *x) for x in good] + [("c", *x) for x in bad]
     cuts = {r["lang"]: r["threshold"] for r in quality.cuts_of(spark.createDataFrame(rows, "lang string, perplexity double, poor boolean")).collect()}
     assert set(cuts) == {"a", "b"} and 2.99 < cuts["a"] < 3.1 and cuts["b"] == pytest.approx(2.98, abs=0.011)
+
+
+def test_each_language_has_its_own_discounts(spark):
+    """A small language beside one of fifty times its size: each as if it were alone."""
+    rnd = random.Random(6)
+    taught = {1: ["".join(rnd.choice("abcde ") for _ in range(60)) for _ in range(50)], 2: ["abab acab", "aabb ab", "acca"]}
+    df = spark.createDataFrame([(t, c, True) for c, ts in taught.items() for t in ts], "text string, code long, taught boolean")
+    model = quality.hashed_model(quality.kneser_ney(quality.settle(quality.corpus_grams(df))))
+    got = {(r["code"], r["text"]): r["surprise"] for r in quality.score(df.select("text", "code"), model).collect()}
+    for c, ts in taught.items():
+        p = brute_kn([[symbol(x) for x in t] for t in ts], quality.ORDER)
+        for t in ts:
+            s = (0,) * (quality.ORDER - 1) + tuple(symbol(x) for x in t)
+            assert got[c, t] == pytest.approx(-sum(math.log(p(s[i : i + quality.ORDER])) for i in range(len(t))), rel=1e-4)
+
+
+def invalid(spark):
+    """Texts of a Parquet file that are not UTF-8, beside others."""
+    rows = [(1, b"\x80ab good text", "en"), (2, "ends within é".encode()[:-1], "en"), (3, b"\x80\x80 begins within", "en"), (4, "good text".encode(), "en"), (5, b"\xff\xfe", "en"), (6, None, "en"), (7, b"", "en")]
+    return spark.createDataFrame([(d, None if t is None else bytearray(t), x) for d, t, x in rows], "doc_id long, text binary, lang string").withColumn("text", F.col("text").cast("string"))
+
+
+def test_bytes_that_are_not_text(spark):
+    labels = spark.createDataFrame([(4, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["symbols"] for r in quality.judge(invalid(spark).coalesce(1), labels).collect()}
+    assert got == {1: 13, 2: 13, 3: 16, 4: 9, 5: 2, 6: 0, 7: 0}
+    assert {r["doc_id"]: r["symbols"] for r in quality.judge(invalid(spark).repartition(5), labels).collect()} == got
