@@ -46,7 +46,8 @@ def cut(docs: DataFrame, capacity: int, path: str) -> DataFrame:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out.drop(columns="k")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    text = F.make_valid_utf8("text").alias("text")  # bytes that are not UTF-8 become U+FFFD
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInPandas(tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Solver:
