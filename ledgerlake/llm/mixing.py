@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._dist import settle
+
+#: Up to so many sources their table is broadcast; of more, those that one row in so many has at least.
+SOURCES, COMMON = 1_000_000, 200
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,16 +47,26 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
 
     The extra copy is a Bernoulli draw whose probability is the fraction of the rate; the hash of seed and doc_id decides
     it, so reruns agree and rows of one doc_id share their draw. Null text has size 0. A null source is a source. An
-    empty table gives no rows. Columns named like an added one are replaced; others stay. The tables by source are as
-    small as the number of sources; Spark's own size estimate decides whether their join is a broadcast.
+    empty table gives no rows. Columns named like an added one are replaced; others stay. The sources are counted, and
+    their table is broadcast, so that no text moves; beyond SOURCES only the common ones are, and the rows of the others
+    meet theirs by a shuffle in which no source has more than one row in COMMON.
     """
     docs = docs.drop("size", "source_size", "target", "rate", "copies")
     sized = docs.withColumn("size", word_count(F.col("text")))
-    per = targets(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    per = per.withColumnRenamed("source", "_source")
+    sizes = settle(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
+    per = targets(sizes, weights, budget, most).withColumnRenamed("source", "_source")
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     extra = (draw < F.col("rate") - F.floor("rate")).cast("long")
-    return sized.join(per, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.floor("rate") + extra).drop("_source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if sizes.count() <= SOURCES:
+        met = sized.join(F.broadcast(per), same)
+    else:
+        least = sizes.agg(F.sum("_rows")).first()[0] / COMMON
+        often = sizes.where(F.col("_rows") >= least).select(F.col("source").alias("_often"))  # COMMON at most
+        of = lambda c: F.col(c).eqNullSafe(F.col("_often"))
+        common = sized.join(F.broadcast(per.join(F.broadcast(often), of("_source"), "left_semi")), same)
+        met = common.unionByName(sized.join(F.broadcast(often), of("source"), "left_anti").join(per.join(F.broadcast(often), of("_source"), "left_anti"), same))
+    return met.withColumn("copies", F.floor("rate") + extra).drop("_source")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:

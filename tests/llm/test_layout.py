@@ -249,3 +249,27 @@ def test_stages_take_odd_documents(spark, sf_dir, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).where("doc_id IS NOT NULL").count() >= now.where("doc_id IS NOT NULL").count()
     quality = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
     assert quality.where("text IS NULL OR text = '' OR lang = 'xx'").count() == 4
+
+
+def test_mixing_moves_no_text(spark, sf_dir, monkeypatch):
+    """The table of sources is broadcast however large the documents; beyond its bound the common sources' still is, and the mix is the same."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.repeat("text", 10))
+    out = mixing.mixture(docs)
+    want = sorted(r["doc_id"] for r in out.select("doc_id").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mixture(docs)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and not any("Exchange hashpartitioning" in line and "source" in line for line in plan.splitlines())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for common in (200, 18):
+        monkeypatch.setattr(mixing, "SOURCES", 3)
+        monkeypatch.setattr(mixing, "COMMON", common)
+        assert sorted(r["doc_id"] for r in mixing.mixture(docs).select("doc_id").collect()) == want
+
+
+def test_packing_takes_bytes_that_are_not_text(spark):
+    from .test_text_models import invalid
+
+    out = packing.pack(invalid(spark))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(1, 8))
