@@ -175,16 +175,20 @@ def trust_snapshot(records: DataFrame) -> DataFrame:
     return records.where(filled(F.col("fo_id"))).select("fo_id", *TRUST_FIELDS, n)
 
 
-def trust_changes(prior: DataFrame, current: DataFrame, fields: tuple[str, ...] = (*TRUST_FIELDS, "n_sources"), key: str = "fo_id") -> DataFrame:
-    """Rows of both snapshots whose fields differ: changed (field, was, now) and the weightiest reason. (CYC-02, JOIN-10)"""
-    both = prior.alias("p").join(current.alias("c"), key)
-    change = lambda f: F.when(~F.col(f"p.{f}").eqNullSafe(F.col(f"c.{f}")), F.struct(F.lit(f).alias("field"), F.col(f"p.{f}").cast("string").alias("was"), F.col(f"c.{f}").cast("string").alias("now")))
-    rows = both.select(key, F.array_compact(F.array(*[change(f) for f in fields])).alias("changed"), *([(F.col("c.n_sources") < F.col("p.n_sources")).alias("_fewer")] if "n_sources" in fields else [F.lit(False).alias("_fewer")]))
+def trust_reason(fewer: Column) -> Column:
+    """The weightiest reason for changed, an array of (field, was, now); fewer says that the number of sources fell. (CYC-02)"""
     has = lambda *names: F.exists("changed", lambda c: c.field.isin(*names))
-    reason = (
-        F.when(F.col("_fewer"), "a source that previously corroborated this record no longer does (verification-source count dropped)")
+    return (
+        F.when(fewer, "a source that previously corroborated this record no longer does (verification-source count dropped)")
         .when(has("fo_type", "fo_type_evidence"), "classification/evidence changed on re-verification between cycles")
         .when(has("record_confidence"), "record confidence changed on re-verification between cycles")
         .when(has("principal_email", "principal_linkedin", "principal_phone", "firm_contact_email"), "a contact field changed or disappeared between cycles")
         .otherwise("a trust-bearing field changed on re-verification between cycles"))
-    return rows.where(F.size("changed") > 0).select(key, reason.alias("reason"), "changed")
+
+
+def trust_changes(prior: DataFrame, current: DataFrame, fields: tuple[str, ...] = (*TRUST_FIELDS, "n_sources"), key: str = "fo_id") -> DataFrame:
+    """Rows of both snapshots whose fields differ: changed (field, was, now) and the weightiest reason. (CYC-02, JOIN-10)"""
+    both = prior.alias("p").join(current.alias("c"), key)
+    change = lambda f: F.when(~F.col(f"p.{f}").eqNullSafe(F.col(f"c.{f}")), F.struct(F.lit(f).alias("field"), F.col(f"p.{f}").cast("string").alias("was"), F.col(f"c.{f}").cast("string").alias("now")))
+    rows = both.select(key, F.array_compact(F.array(*[change(f) for f in fields])).alias("changed"), *([(F.col("c.n_sources") < F.col("p.n_sources")).alias("_fewer")] if "n_sources" in fields else [F.lit(False).alias("_fewer")]))
+    return rows.where(F.size("changed") > 0).select(key, trust_reason(F.col("_fewer")).alias("reason"), "changed")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
@@ -47,3 +49,17 @@ def few(df: DataFrame) -> DataFrame:
     """df, stored, to be broadcast if it has at most FEW rows; else a table of its own, so that adaptive execution can split what it is joined with."""
     kept = stored(df)
     return broadcast(kept) if kept.count() <= FEW else kept
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session with name set to value; afterwards it is as it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -13,7 +13,7 @@ from ..operators import records as E
 from ..operators import retrieve as V
 from ..operators.lineage import scratch
 from ..schemas import SOURCE_CLASSES
-from ..sources import readers, sinks
+from ..sources import entities, readers, sinks
 from . import cycle
 from .firms import FIRMS, audit, records
 from .library import AS_OF, query, table
@@ -98,6 +98,18 @@ def candidate_pool(spark, d):
     return readers.table(spark, folder, "dedup_key").select("dedup_key")
 
 
+@query("""WITH RECURSIVE r AS (SELECT c_custkey AS id, 'y' || (c_custkey // 3) AS k FROM customer UNION ALL SELECT c_custkey, 'x' || (c_custkey % 97) FROM customer WHERE c_custkey % 5 = 0),
+e AS (SELECT DISTINCT a.id, b.id AS other FROM r a JOIN r b USING (k)), reach AS (SELECT id, id AS other FROM r UNION SELECT reach.id, e.other FROM reach JOIN e ON reach.other = e.id) SELECT id, min(other) AS root FROM reach GROUP BY id""")
+def entities_in_batches(spark, d):
+    """RES-02 RES-09 RES-10 SRC-25: rows that come in three batches, so that entities of earlier ones meet in a later one; the last batch a second time"""
+    k, folder = F.col("c_custkey"), scratch(spark)
+    ids = F.array_compact(F.array(F.concat(F.lit("y"), F.floor(k / 3).cast("string")), F.when(k % 5 == 0, F.concat(F.lit("x"), (k % 97).cast("string")))))
+    rows = table(spark, d, "customer").select(k.alias("ordinal"), ids.alias("ids"), (k * 13 % 3).alias("b"))
+    for batch in (0, 1, 2, 2):
+        entities.extend(rows.where(F.col("b") == batch), folder, batch)
+    return entities.current(spark, folder)
+
+
 @query("""SELECT DISTINCT sha256('page ' || (page_id % 7)) AS sha256 FROM pages""")
 def snapshot_store(spark, d):
     """SNK-07 TXT-30: contents under their hash, each once"""

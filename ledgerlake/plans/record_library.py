@@ -14,7 +14,9 @@ from ..operators import filters as P
 from ..operators import gates, maintain, resolve
 from ..operators import records as E
 from ..operators import relations as R
+from ..operators.lineage import scratch
 from ..schemas import BASE_COLUMNS, CONFIDENCE_FIELDS, DISCOVERY_ONLY, HIGH_VALUE_FIELDS, INTELLIGENCE_FIELDS, RECORD, REQUIRED_FIELDS, SOURCE_CLASSES
+from ..streaming import trust
 from .firms import FIRMS, audit, records
 from .library import AS_OF, query, table
 
@@ -311,16 +313,35 @@ def action_tiers(spark, d):
 _FIELDS = ("fo_type", "record_confidence", "principal_email", "estimated_aum")
 
 
-@query(FIRMS + f""", p AS (SELECT fo_id, fo_type, record_confidence, principal_email, estimated_aum, len(verification_sources) AS n FROM f), c AS (SELECT p.* REPLACE (CASE WHEN k % 10 = 1 THEN 'Undetermined' ELSE p.fo_type END AS fo_type, CASE WHEN k % 10 = 2 THEN 'High' ELSE p.record_confidence END AS record_confidence, CASE WHEN k % 10 = 3 THEN NULL ELSE p.principal_email END AS principal_email,
+#: What changes between two snapshots of the records, the later one with some changes.
+TRUST = FIRMS + f""", p AS (SELECT fo_id, fo_type, record_confidence, principal_email, estimated_aum, len(verification_sources) AS n FROM f), c AS (SELECT p.* REPLACE (CASE WHEN k % 10 = 1 THEN 'Undetermined' ELSE p.fo_type END AS fo_type, CASE WHEN k % 10 = 2 THEN 'High' ELSE p.record_confidence END AS record_confidence, CASE WHEN k % 10 = 3 THEN NULL ELSE p.principal_email END AS principal_email,
 CASE WHEN k % 20 = 4 THEN greatest(p.n - 1, 0) ELSE p.n END AS n) FROM p JOIN f USING (fo_id)), m AS (SELECT fo_id, {_list(*[f"CASE WHEN p.{x} IS DISTINCT FROM c.{x} THEN '{x}' END" for x in _FIELDS], "CASE WHEN p.n <> c.n THEN 'n_sources' END")} AS fields, c.n < p.n AS fewer FROM p JOIN c USING (fo_id))
 SELECT fo_id, array_to_string(fields, ',') AS fields, CASE WHEN fewer THEN 'a source that previously corroborated this record no longer does (verification-source count dropped)' WHEN list_contains(fields, 'fo_type') THEN 'classification/evidence changed on re-verification between cycles'
-WHEN list_contains(fields, 'record_confidence') THEN 'record confidence changed on re-verification between cycles' WHEN list_contains(fields, 'principal_email') THEN 'a contact field changed or disappeared between cycles' ELSE 'a trust-bearing field changed on re-verification between cycles' END AS reason FROM m WHERE len(fields) > 0""")
-def trust_cycle(spark, d):
-    """CYC-01 CYC-02 JOIN-10: two snapshots of the records, the later one with some changes"""
+WHEN list_contains(fields, 'record_confidence') THEN 'record confidence changed on re-verification between cycles' WHEN list_contains(fields, 'principal_email') THEN 'a contact field changed or disappeared between cycles' ELSE 'a trust-bearing field changed on re-verification between cycles' END AS reason FROM m WHERE len(fields) > 0"""
+
+
+def two_snapshots(spark, d):
     firms, k = records(spark, d), F.substring("fo_id", 4, 20).cast("long")
     later = firms.withColumn("fo_type", F.when(k % 10 == 1, "Undetermined").otherwise(F.col("fo_type"))).withColumn("record_confidence", F.when(k % 10 == 2, "High").otherwise(F.col("record_confidence"))).withColumn("principal_email", F.when(k % 10 != 3, F.col("principal_email")))
     later = later.withColumn("verification_sources", F.when(k % 20 == 4, F.slice("verification_sources", F.lit(1), F.greatest(F.size("verification_sources") - 1, F.lit(0)))).otherwise(F.col("verification_sources")))
-    return C.trust_changes(C.trust_snapshot(firms), C.trust_snapshot(later)).select("fo_id", F.array_join(F.transform("changed", lambda c: c.field), ",").alias("fields"), "reason")
+    return C.trust_snapshot(firms), C.trust_snapshot(later)
+
+
+@query(TRUST)
+def trust_cycle(spark, d):
+    """CYC-01 CYC-02 JOIN-10"""
+    return C.trust_changes(*two_snapshots(spark, d)).select("fo_id", F.array_join(F.transform("changed", lambda c: c.field), ",").alias("fields"), "reason")
+
+
+@query(TRUST)
+def trust_stream(spark, d):
+    """CYC-01 CYC-02 CYC-03 CYC-06: the same as drops of a stream, each firm's last snapshot kept as its state; a restart between the drops, and one after them that finds nothing new"""
+    folder = scratch(spark)
+    for cycle, drop in enumerate(two_snapshots(spark, d)):
+        drop.withColumn("cycle", F.lit(cycle).cast("long")).write.mode("append").parquet(f"{folder}/drops")
+        trust.follow(spark, f"{folder}/drops", f"{folder}/changes", f"{folder}/checkpoint")
+    trust.follow(spark, f"{folder}/drops", f"{folder}/changes", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/changes").select("fo_id", F.array_join(F.transform("changed", lambda c: c.field), ",").alias("fields"), "reason")
 
 
 @query("""WITH c AS (SELECT c_custkey AS ordinal, n_name AS name, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT *, min(ordinal) OVER (PARTITION BY name, seg) AS first FROM c)

@@ -47,6 +47,16 @@ def write_version(rows: DataFrame, folder: str, version: str) -> str:
     return f"{folder}/{version}"
 
 
+def pointer(spark: SparkSession, folder: str) -> str | None:
+    """What the store's pointer says, None without one."""
+    fs, where = _fs(spark, f"{folder}/CURRENT")
+    return spark.read.text(f"{folder}/CURRENT").first()["value"] if fs.exists(where) else None
+
+
+def put_pointer(spark: SparkSession, folder: str, version: str) -> None:
+    _put(spark, f"{folder}/CURRENT", version)
+
+
 def read_current(spark: SparkSession, folder: str, schema=None) -> DataFrame | None:
     """The version that the pointer names, None without one."""
     fs, where = _fs(spark, f"{folder}/CURRENT")
