@@ -13,7 +13,7 @@ from ..operators import records as E
 from ..operators import retrieve as V
 from ..operators.lineage import scratch
 from ..schemas import SOURCE_CLASSES
-from ..sources import entities, readers, sinks
+from ..sources import buckets, entities, readers, recorded, sinks
 from . import cycle
 from .firms import FIRMS, audit, records
 from .library import AS_OF, query, table
@@ -110,6 +110,50 @@ def entities_in_batches(spark, d):
     return entities.current(spark, folder)
 
 
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 2 WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS version FROM customer""")
+def bucket_store(spark, d):
+    """SNK-04 SNK-08: a store in buckets, a batch that adds and one that replaces, the later row of a key where a batch has two; the last batch a second time"""
+    folder, k = scratch(spark), F.col("c_custkey")
+    rows = table(spark, d, "customer").select(k, "c_name")
+    at = lambda v, c: rows.where(c).withColumn("version", F.lit(v)).withColumn("at", F.lit(v))
+    buckets.upsert(at(0, k % 5 != 0), folder, "c_custkey", "at", "v0")
+    buckets.upsert(at(1, k % 5 == 0), folder, "c_custkey", "at", "v1")
+    for _ in range(2):
+        buckets.upsert(at(2, k % 7 == 0).unionByName(at(1, k % 14 == 0)), folder, "c_custkey", "at", "v2")
+    return buckets.read(spark, folder)
+
+
+def _sources(k: Column) -> dict[str, tuple[Column, Column]]:
+    """What a customer is on a recorded page of each kind, and how its page puts a list of them."""
+    name, s, held = F.concat(F.lit("Firm "), k.cast("string")), lambda c: c.cast("string"), F.struct
+    hits = lambda rows: held(held(F.transform(rows, lambda r: held(r.alias("_source"))).alias("hits")).alias("hits"))
+    office = F.concat(F.lit("Reporters met "), F.initcap("c_mktsegment"), F.lit(" Family Office today"))
+    return {
+        "edgar": (held(F.array(F.concat(name, F.lit("  (CIK 000"), s(k), F.lit(")"))).alias("display_names"), F.array(s(F.floor(k / 2))).alias("ciks"), F.array(F.lit("TX")).alias("biz_states")), hits),
+        "iapd": (held(F.concat(name, F.when(k % 3 == 0, " Advisers").otherwise(" Family Office")).alias("firm_name"), k.alias("firm_source_id")), hits),
+        "nonprofit": (held(F.when(k % 5 != 0, name).alias("name"), k.alias("ein"), F.lit("NY").alias("state")), lambda rows: held(rows.alias("organizations"))),
+        "directory": (held(F.concat(F.when(k % 4 == 0, "Category:").when(k % 4 == 1, "List of ").otherwise(""), name).alias("title")), lambda rows: held(held(rows.alias("categorymembers")).alias("query"))),
+        "news": (held(F.lit("News").alias("title"), office.alias("content"), F.lit("https://example.com/n").alias("url")), lambda rows: held(rows.alias("articles"))),
+        "search": (held(office.alias("snippet"), F.lit("https://example.com/s").alias("link")), lambda rows: held(rows.alias("organic"))),
+    }
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 'Firm ' || c_custkey AS name, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS seg FROM customer)
+SELECT 'edgar:' || (k // 2) AS key, arg_min(name, k) AS name FROM c GROUP BY k // 2 UNION ALL SELECT 'iapd:' || k, name || ' Family Office' FROM c WHERE k % 3 <> 0 UNION ALL SELECT 'nonprofit:' || k, name FROM c WHERE k % 5 <> 0
+UNION ALL SELECT 'directory:firm ' || k, name FROM c WHERE k % 4 > 1 UNION ALL SELECT DISTINCT 'news:' || lower(seg) || ' family office', seg || ' Family Office' FROM c UNION ALL SELECT DISTINCT 'search:' || lower(seg) || ' family office', seg || ' Family Office' FROM c""")
+def discovered_stream(spark, d):
+    """SRC-14 SRC-15 SRC-16 SRC-17 SRC-18 SRC-19 SRC-20 CYC-04 CYC-06: pages of every kind of source, recorded in two drops and followed after each; a restart finds nothing new"""
+    folder, k = scratch(spark), F.col("c_custkey")
+    for kind, (one, page) in _sources(k).items():
+        rows = table(spark, d, "customer").groupBy(F.floor(k / 50).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), one.alias("r")))), lambda x: x.r).alias("rows"))  # 50 a page
+        written = rows.select("page", F.to_json(page(F.col("rows"))).alias("value"))
+        for drop in (0, 1):
+            written.where(F.col("page") % 2 == drop).write.mode("append").partitionBy("page").text(f"{folder}/{kind}")
+            recorded.follow(spark, kind, f"{folder}/{kind}", f"{folder}/store", f"{folder}/checkpoint/{kind}")
+    recorded.follow(spark, "edgar", f"{folder}/edgar", f"{folder}/store", f"{folder}/checkpoint/edgar")
+    return spark.read.parquet(f"{folder}/store").select("key", "name")
+
+
 @query("""SELECT DISTINCT sha256('page ' || (page_id % 7)) AS sha256 FROM pages""")
 def snapshot_store(spark, d):
     """SNK-07 TXT-30: contents under their hash, each once"""

@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import norm_name, office_names, without_cik
 from ..schemas import SOURCE_CLASSES
+from ..streaming.events import each_batch
+from .sinks import insert_new
 
 SCHEMA = "name string, source_key string, source_url string, identifiers map<string,string>, hints map<string,string>, page long, place long"
 
@@ -116,17 +118,38 @@ def pages(spark: SparkSession, paths: list[str], missing: str = "error") -> Data
     return rows.join(F.broadcast(places), plain(F.col("u")) == F.col("_u")).select("page", "content")  # a row for each path given
 
 
-def discover(spark: SparkSession, kind: str, paths: list[str], limit: int | None = None, missing: str = "error") -> DataFrame:
-    """Candidates of one kind of source, each identifier or name once, the first on its page. (SRC-14 to SRC-20)"""
+def _parsed(rows: DataFrame, kind: str) -> DataFrame:
+    """rows(page, content) as candidates, with _k, by which a candidate is one."""
+
+    kind_of_page = "string" if rows.isStreaming else "long"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([r for n, c in zip(b["page"], b["content"], strict=True) for r in candidates_of(kind, c, n)], columns=["name", "source_key", "source_url", "identifiers", "hints", "page", "place"])
 
-    rows = pages(spark, paths, missing).mapInPandas(parse, SCHEMA)
+    out = rows.mapInPandas(parse, SCHEMA.replace("page long", f"page {kind_of_page}"))
     if kind in ("news", "search"):
-        rows = rows.withColumn("name", F.explode(office_names(F.col("name"))))
-    rows = rows.withColumn("name", without_cik(F.col("name"))).withColumn("_k", F.coalesce("source_key", norm_name(F.col("name")))).where("_k <> ''")
+        out = out.withColumn("name", F.explode(office_names(F.col("name"))))
+    return out.withColumn("name", without_cik(F.col("name"))).withColumn("_k", F.coalesce("source_key", norm_name(F.col("name")))).where("_k <> ''")
+
+
+def follow(spark: SparkSession, kind: str, folder: str, store: str, checkpoint: str, files_per_batch: int = 1000) -> None:
+    """Add the candidates of all pages that came to folder since the last call to store, each identifier or name once. (SRC-14 to SRC-20, CYC-04)
+
+    The pages are a stream of files, whose log in the checkpoint folder holds the offsets, so a restart reads no page
+    twice; a batch that broke off is read again and adds what is not there yet. Within a batch the first page by name
+    counts. The store is keyed by kind:identifier or kind:name.
+    """
+    files = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
+    rows = _parsed(files.select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("content")), kind)
+    kept = rows.withColumn("key", F.concat(F.lit(f"{kind}:"), "_k")).withColumn("source_class", F.lit(SOURCE_CLASSES[CLASSES[kind]])).drop("_k")
+    each_batch(kept, lambda batch, _: insert_new(batch.withColumn("_order", F.struct("page", "place")), store, "key", "_order") and None, checkpoint)
+
+
+def discover(spark: SparkSession, kind: str, paths: list[str], limit: int | None = None, missing: str = "error") -> DataFrame:
+    """Candidates of one kind of source, each identifier or name once, the first on its page. (SRC-14 to SRC-20)"""
+
+    rows = _parsed(pages(spark, paths, missing), kind)
     others = [c for c in rows.columns if c != "_k"]
     first = rows.groupBy("_k").agg(F.min_by(F.struct(*others), F.struct("page", "place")).alias("r")).select("r.*")
     out = first.withColumn("source_class", F.lit(SOURCE_CLASSES[CLASSES[kind]])).orderBy("page", "place")
