@@ -303,11 +303,12 @@ def uncertainty_groups(spark, d):
     return A.uncertainty_counts(C.fit(rows, True, True))
 
 
-@query("""SELECT a AS action, CASE WHEN contains(a, 'email') THEN 3 WHEN a IN ('scan', 'score') THEN 1 ELSE 2 END AS tier FROM (SELECT unnest(['scan', 'send_email', 'score', 'publish', 'email_scan']) AS a)""")
+@query("""WITH a AS (SELECT page_id, regexp_replace(lower(regexp_replace(url, '^https?://', '')), '[^a-z]+', '_', 'g') AS action FROM pages) SELECT page_id, action, CASE WHEN contains(action, 'blog') OR contains(action, 'org') THEN 3 WHEN action = (SELECT min(action) FROM a) THEN 1 ELSE 2 END AS tier FROM a""")
 def action_tiers(spark, d):
-    """GOV-05"""
-    rows = spark.createDataFrame([(a,) for a in ("scan", "send_email", "score", "publish", "email_scan")], "action string")
-    return rows.select("action", C.authority_tier(F.col("action"), ["email"], {"scan": "autonomous", "score": "autonomous", "publish": "escalate"}).alias("tier"))
+    """GOV-05: what a page's address says as an action; words that are banned refuse, the first action is granted, another is escalated as all the rest"""
+    rows = table(spark, d, "pages").select("page_id", F.regexp_replace(F.lower(F.regexp_replace("url", "^https?://", "")), "[^a-z]+", "_").alias("action"))
+    first, last = rows.agg(F.min("action"), F.max("action")).first()
+    return rows.withColumn("tier", C.authority_tier(F.col("action"), ["blog", "org"], {last: "escalate", first: "autonomous"}))
 
 
 _FIELDS = ("fo_type", "record_confidence", "principal_email", "estimated_aum")
@@ -438,11 +439,10 @@ def text_rules(spark, d):
         X.first_last(F.lit("ROE, JANE")).alias("turned"), X.split_list(cell).alias("parts"), X.without_thinking(F.concat(F.lit("<think>no\nno</think>\n answer "), k)).alias("spoken"))
 
 
-@query(r"""SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+')[1:12], lambda t: length(t) > 2 AND t NOT IN (""" + ", ".join(f"'{w}'" for w in X.IDENTITY_STOPWORDS) + r""")) AS identity FROM (SELECT doc_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM documents)""")
+@query(r"""SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN (""" + ", ".join(f"'{w}'" for w in X.IDENTITY_STOPWORDS) + r""")) AS identity FROM documents""")
 def identity_words(spark, d):
-    """TXT-06: over the first words of documents"""
-    head = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
-    return table(spark, d, "documents").select("doc_id", F.slice(X.tokens(head), 1, 12).alias("_t"), head.alias("_h")).select("doc_id", X.identity_tokens(F.array_join("_t", " ")).alias("identity"))
+    """TXT-06: over whole documents"""
+    return table(spark, d, "documents").select("doc_id", X.identity_tokens(F.col("text")).alias("identity"))
 
 
 @query(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END AS period, o_orderkey % 3 <> 0 AND date_diff('day', o_orderdate::DATE, DATE '1998-01-01') <= 760 AS fresh, o_orderdate::DATE AS seen, year(o_orderdate::DATE)::INTEGER AS filed, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE ELSE DATE '2000-01-01' END AS dated FROM orders""")

@@ -95,3 +95,29 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     S.run_once(S.distinct_events(S.read_events(spark, str(source))), str(tmp_path / "d"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == spark.read.parquet(str(source)).count()
     assert S.sessions(spark.read.parquet(str(source))).agg(F.sum("n")).first()[0] == spark.read.parquet(str(source)).count()
+
+
+@pytest.mark.parametrize("audited", [0, 2])
+def test_export_counts_what_it_writes(spark, records, tmp_path, audited):
+    from ledgerlake.schemas import AUDIT
+
+    audit = spark.createDataFrame([(f"fo_{i}", "website", "x", "r", "s", None) for i in range(audited)], AUDIT)
+    counts = sinks.export(records({}, {"fo_id": "b"}), audit, str(tmp_path))
+    read = lambda name: spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / name)).count()
+    assert counts["dataset"] == 2 and counts["audit"] == audited and counts["provenance"] > 2
+    assert {name: read(name) for name in counts if counts[name]} == {name: n for name, n in counts.items() if n}
+
+
+def test_pages_followed_once(spark, tmp_path):
+    """Pages that come later, one that repeats an earlier name, a run that finds nothing new."""
+    page = lambda *names: json.dumps({"organizations": [{"name": n, "ein": e} for n, e in names]})
+    (tmp_path / "pages").mkdir()
+    run = lambda: recorded.follow(spark, "nonprofit", *(str(tmp_path / x) for x in ("pages", "store", "log")))
+    said = lambda: sorted((r["key"], r["name"]) for r in spark.read.parquet(str(tmp_path / "store")).collect())
+    (tmp_path / "pages" / "a.json").write_text(page(("Oak", 1), ("Elm", 2), (None, 3), ("Oak again", 1)))
+    run()
+    assert said() == [("nonprofit:1", "Oak"), ("nonprofit:2", "Elm")]
+    (tmp_path / "pages" / "b.json").write_text(page(("Elm of old", 2), ("Ash", 4)))
+    run()
+    run()
+    assert said() == [("nonprofit:1", "Oak"), ("nonprofit:2", "Elm"), ("nonprofit:4", "Ash")]
