@@ -105,9 +105,10 @@ def ungrounded_names(answers: DataFrame, context: DataFrame, answer: str = "answ
 
 
 def extractive(cards: DataFrame) -> DataFrame:
-    """One text that states each card's facts. (RAG-04)"""
+    """One text that states each card's facts, and the cards cited, both in the order of place. (RAG-04)"""
     line = F.concat_ws(" ", F.concat(F.col("name"), F.lit(" ("), F.col("fo_type"), F.lit(")")), F.when(F.col("hq_country") != "", F.concat(F.lit("in"), F.lit(" "), F.concat_ws(", ", F.nullif("hq_city", F.lit("")), F.nullif("hq_state", F.lit("")), "hq_country"))), F.when(F.col("aum").isNotNull(), F.concat(F.lit("with "), F.col("aum"))))
-    return cards.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: F.concat(F.lit("- "), x.line)), "\n").alias("answer"), F.collect_list("fo_id").alias("citations"))
+    said = cards.agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line"), "fo_id"))).alias("_s"))  # as many as an answer shows
+    return said.select(F.array_join(F.transform("_s", lambda x: F.concat(F.lit("- "), x.line)), "\n").alias("answer"), F.transform("_s", lambda x: x.fo_id).alias("citations"))
 
 
 def dot_product(a: Column, b: Column) -> Column:

@@ -85,3 +85,13 @@ def test_trust_as_a_stream(spark, tmp_path):
 def test_trust_reason_orders(spark):
     rows = spark.createDataFrame([([("principal_phone", "a", "b"), ("record_confidence", "a", "b")],), ([("estimated_aum", None, "1")],)], "changed array<struct<field:string,was:string,now:string>>")
     assert [r[0].split()[0] for r in rows.select(classify.trust_reason(F.lit(False))).collect()] == ["record", "a"]
+
+
+def test_citations_follow_the_lines(spark):
+    from ledgerlake.operators import retrieve
+
+    rows = [(f"fo_{i}", f"Firm {i}", "S", "", "", "x", None, 100 - i) for i in range(40)]
+    cards = spark.createDataFrame(rows, "fo_id string, name string, fo_type string, hq_city string, hq_state string, hq_country string, aum string, place long").repartition(7)
+    out = retrieve.extractive(cards).first()
+    assert out["citations"] == [f"fo_{i}" for i in reversed(range(40))]
+    assert [x.split()[2] for x in out["answer"].split("\n")] == [str(i) for i in reversed(range(40))]
