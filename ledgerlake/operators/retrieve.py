@@ -41,7 +41,7 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
         mean = every.join(F.broadcast(stats)).agg(F.avg(F.log(F.col("_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("_mean_idf"))
         idf = idf.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon) * F.col("_mean_idf")).otherwise(F.col("idf")))
     per_term = {w: query.count(w) for w in dict.fromkeys(query)}
-    times = F.create_map(*[x for w, n in per_term.items() for x in (F.lit(w), F.lit(n))]) if per_term else F.lit(None)
+    times = F.create_map(*[x for w, n in per_term.items() for x in (F.lit(w), F.lit(n))]) if per_term else F.lit(None).cast("map<string,int>")
     part = F.col("idf") * F.try_element_at(times, F.col("term")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_n") / F.col("_mean")))
     return terms.join(F.broadcast(idf), "term").groupBy(key).agg(F.sum(part).alias("bm25"))
 

@@ -13,7 +13,7 @@ from ..operators import records as E
 from ..operators import retrieve as V
 from ..operators.lineage import scratch
 from ..schemas import SOURCE_CLASSES
-from ..sources import buckets, entities, readers, recorded, sinks
+from ..sources import buckets, entities, postings, readers, recorded, sinks
 from . import cycle
 from .firms import FIRMS, audit, records
 from .library import AS_OF, query, table
@@ -123,6 +123,20 @@ def bucket_store(spark, d):
     return buckets.read(spark, folder)
 
 
+@query("""WITH q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), qt AS (SELECT item_id, term, count(*) AS qn FROM q GROUP BY ALL), t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),
+s AS (SELECT count(*)::DOUBLE AS nd, avg(len(toks)) AS mean FROM t), tf AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS term FROM t), c AS (SELECT doc_id, n, term, count(*) AS f FROM tf GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+i0 AS (SELECT term, ln(nd - df + 0.5) - ln(df + 0.5) AS idf FROM df, s), m AS (SELECT avg(idf) AS mi FROM i0), i AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * mi ELSE idf END AS idf FROM i0, m),
+b AS (SELECT item_id, doc_id, round(sum(idf * qn * f * 2.5 / (f + 1.5 * (1 - 0.75 + 0.75 * n / mean))), 9) AS score FROM c JOIN qt USING (term) JOIN i USING (term), s GROUP BY ALL)
+SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, round(score, 6) AS bm25 FROM b QUALIFY rank <= 10""")
+def bm25_questions(spark, d):
+    """NUM-06 RAG-01: every benchmark text asked of an index of all documents, which came in two segments, the second with what the first has"""
+    docs, folder = table(spark, d, "documents"), scratch(spark)
+    postings.add(docs.where("lang = 'en'"), folder, "english")
+    postings.add(docs, folder, "all")
+    found = postings.Index(spark, folder).search(table(spark, d, "benchmark"), 10, "item_id")
+    return found.select(F.col("question").alias("item_id"), F.col("key").alias("doc_id"), "rank", F.round("score", 6).alias("bm25"))
+
+
 def _sources(k: Column) -> dict[str, tuple[Column, Column]]:
     """What a customer is on a recorded page of each kind, and how its page puts a list of them."""
     name, s, held = F.concat(F.lit("Firm "), k.cast("string")), lambda c: c.cast("string"), F.struct
