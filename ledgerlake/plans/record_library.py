@@ -586,3 +586,29 @@ def people_pages(spark, d):
     mailbox = F.when(k % 2 == 0, "ida").otherwise("info")
     page = F.concat(F.lit("<html><body><header><h2>Mary Header</h2>Founder</header><div><h3>Ida Berg</h3><p>Founder</p><a href='mailto:"), mailbox, F.lit("@oak.example.com'>x</a></div><div><h3>Li Wen</h3><p>Trustee</p><a href='https://www.linkedin.com/in/li-wen'>in</a></div><div><h3>Ana Costa</h3><p>Head of Operations</p></div></body></html>"))
     return A.people_totals(table(spark, d, "supplier").select(k.alias("firm"), H.people(page, F.lit("")).alias("people")))
+
+
+@query(FIRMS + """, q AS (SELECT k AS question_id, nat, CASE k % 5 WHEN 3 THEN 'universal' WHEN 0 THEN 'count' WHEN 1 THEN 'total' WHEN 2 THEN 'both' ELSE 'retrieve' END AS mode, CASE k % 5 WHEN 1 THEN '13F_securities_value' WHEN 2 THEN 'regulatory_aum' END AS measure,
+CASE WHEN k % 5 <> 3 THEN CASE k % 3 WHEN 1 THEN 'Single-Family Office' WHEN 2 THEN 'Multi-Family Office' END END AS t, CASE WHEN k % 5 <> 3 AND k % 4 < 2 THEN 'TX' END AS s,
+CASE WHEN k % 5 <> 3 AND k % 4 = 2 AND nat IN ('BRAZIL', 'CANADA', 'FRANCE', 'GERMANY', 'UNITED KINGDOM', 'UNITED STATES') THEN nat END AS c, CASE WHEN k % 5 = 4 THEN (k % 70 + 1) * 1000000 END::BIGINT AS aum_min FROM f),
+w AS (SELECT DISTINCT t, s, c, measure FROM q), m AS (SELECT fo_type, hq_state, hq_country, CASE k % 4 WHEN 0 THEN '13F_securities_value' WHEN 1 THEN 'regulatory_aum' END AS kind, CASE k % 4 WHEN 0 THEN (k % 900 + 1) * 1e6 WHEN 1 THEN (k % 9 + 1.5) * 1e9 END AS amount FROM f),
+a AS (SELECT w.t, w.s, w.c, w.measure, count(m.fo_type)::BIGINT AS n, count(*) FILTER (kind = w.measure)::BIGINT AS included, coalesce(sum(amount::DECIMAL(38,2)) FILTER (kind = w.measure), 0)::DOUBLE AS total FROM w LEFT JOIN m ON (w.t IS NULL OR m.fo_type = w.t) AND (w.s IS NULL OR m.hq_state = w.s) AND (w.c IS NULL OR m.hq_country = w.c) GROUP BY ALL),
+n AS (SELECT count(*)::BIGINT AS nn, count(website)::BIGINT AS web FROM f)
+SELECT question_id, mode, CASE mode WHEN 'universal' THEN 'website' END AS subject, q.measure, q.t AS fo_type, q.s AS hq_state, upper(q.c) AS hq_country, aum_min, NULL::BIGINT AS aum_max, CASE WHEN mode IN ('count', 'total', 'both') THEN n END AS qualified, CASE WHEN mode <> 'retrieve' THEN nn END AS total_records,
+CASE WHEN mode IN ('total', 'both') THEN included END AS included, CASE WHEN mode IN ('total', 'both') THEN total END AS total, CASE mode WHEN 'universal' THEN web END AS have_field
+FROM q JOIN a ON q.t IS NOT DISTINCT FROM a.t AND q.s IS NOT DISTINCT FROM a.s AND q.c IS NOT DISTINCT FROM a.c AND q.measure IS NOT DISTINCT FROM a.measure, n""")
+def questions_at_once(spark, d):
+    """AGG-08 AGG-07 RAG-03 FLT-03 FLT-04 FLT-05 FLT-06: a question for each customer, all read and answered together"""
+    from . import questions as Q
+
+    customers = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    k, s = F.col("c_custkey"), F.lit
+    firms = F.concat(F.when(k % 3 == 1, "single ").when(k % 3 == 2, "multi-").otherwise(""), s("family offices"))
+    place = F.when(k % 4 == 0, " in Texas").when(k % 4 == 1, " in TX").when(k % 4 == 2, F.concat(s(" in "), F.initcap(F.lower("n_name")))).otherwise("")
+    text = (
+        F.when(k % 5 == 0, F.concat(s("How many "), firms, s(" are there"), place, s("?"))).when(k % 5 == 1, F.concat(s("total 13F assets of "), firms, place))
+        .when(k % 5 == 2, F.concat(s("How many "), firms, s(" are there"), place, s(" and what is their combined regulatory AUM?"))).when(k % 5 == 3, F.concat(s("Do all family offices have a website"), place, s("?")))
+        .otherwise(F.concat(firms, place, s(" with over $"), (k % 70 + 1).cast("string"), s(" million"))))
+    asked = customers.select(k.alias("question_id"), text.alias("text"))
+    got = Q.answers(records(spark, d).withColumn("hq_country", F.initcap(F.lower("hq_country"))), asked)
+    return got.withColumn("hq_country", F.upper("hq_country"))
