@@ -612,3 +612,26 @@ def questions_at_once(spark, d):
     asked = customers.select(k.alias("question_id"), text.alias("text"))
     got = Q.answers(records(spark, d).withColumn("hq_country", F.initcap(F.lower("hq_country"))), asked)
     return got.withColumn("hq_country", F.upper("hq_country"))
+
+
+@query(r"""WITH p AS (SELECT page_id, CASE WHEN contains(html, '<footer>') THEN page_id % 4 + 2 ELSE 0 END AS n, regexp_extract(lower(url), 'https?://(?:www\.)?([^/?#]+)', 1) AS host FROM pages), r AS (SELECT page_id, n, host, unnest(range(n))::INTEGER AS i FROM p),
+x AS (SELECT *, ['Ida', 'Li', 'Ana', 'Mary', 'Eva'][i + 1] || ' ' || ['Berg', 'Costa', 'Wen'][(page_id % 3 + 1)::INTEGER] AS name, ['Founder', 'Trustee', 'Head of Catering', 'Managing Partner'][((page_id + i) % 4 + 1)::INTEGER] AS title, (page_id + 3 * i) % 5 AS m FROM r)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i)::INTEGER - 1 AS place, name, title, CASE WHEN m = 0 THEN 'p' || i || '@' || host WHEN m = 1 THEN 'p' || i || '@mail.' || host END AS email, CASE WHEN m = 4 THEN 'https://www.linkedin.com/in/p-' || i END AS linkedin,
+CASE WHEN m IN (0, 1, 4) THEN 'verified_decision_maker' ELSE 'possible_decision_maker' END AS verdict FROM x WHERE title <> 'Head of Catering'""")
+def page_people(spark, d):
+    """HTM-05 TXT-07: every page with a team put in before its footer, a row for each person with a title; mailboxes count if they are of the page's site"""
+    pages = table(spark, d, "pages").withColumn("host", X.host(F.col("url")))
+    k, s = F.col("page_id"), F.lit
+    pick = lambda words, at: F.element_at(F.array(*[s(w) for w in words]), (at + 1).cast("int"))
+
+    def card(i: Column) -> Column:
+        m = (k + 3 * i) % 5
+        box = lambda at: F.concat(s("<a href='mailto:"), at, s("?subject=x'>write</a>"))
+        person = F.concat(s("p"), i.cast("string"), s("@"))
+        link = F.when(m == 0, box(F.concat(person, "host"))).when(m == 1, box(F.concat(person, s("mail."), "host"))).when(m == 2, box(s("team@elsewhere.example"))).when(m == 3, box(F.concat(person, s("elsewhere.example"))))
+        link = link.otherwise(F.concat(s("<a href='https://www.linkedin.com/in/p-"), i.cast("string"), s("/'>in</a>")))
+        return F.concat(s("<div><h3>"), pick(("Ida", "Li", "Ana", "Mary", "Eva"), i), s(" "), pick(("Berg", "Costa", "Wen"), k % 3), s("</h3><p>"), pick(("Founder", "Trustee", "Head of Catering", "Managing Partner"), (k + i) % 4), s("</p>"), link, s("</div>"))
+
+    team = F.concat(s("<section>"), F.array_join(F.transform(F.sequence(s(0).cast("long"), k % 4 + 1), card), ""), s("</section><footer>"))
+    rows = H.with_people(pages.withColumn("html", F.replace("html", s("<footer>"), team)), "html", F.col("host"))
+    return rows.select("page_id", "place", "name", "title", "email", "linkedin", "verdict")

@@ -121,3 +121,20 @@ def test_pages_followed_once(spark, tmp_path):
     run()
     run()
     assert said() == [("nonprofit:1", "Oak"), ("nonprofit:2", "Elm"), ("nonprofit:4", "Ash")]
+
+
+def test_people_as_a_table(spark):
+    from ledgerlake.functions import markup
+
+    two = "<div><h3>Ida Berg</h3>Founder <a href='mailto:ida@oak.example'>x</a></div><div><h3>Li Wen</h3>Trustee</div>"
+    pages = spark.createDataFrame([(1, two), (2, ""), (3, None), (4, "<p>nobody"), (5, two)], "page_id int, html string")
+    rows = markup.with_people(pages)
+    got = sorted((r["page_id"], r["place"], r["name"], r["email"]) for r in rows.collect())
+    assert got == [(i, *p) for i in (1, 5) for p in ((0, "Ida Berg", "ida@oak.example"), (1, "Li Wen", None))]
+    assert "ArrowEvalPythonUDTF" in rows._jdf.queryExecution().toString() and "html" not in rows.columns
+    one_by_one = markup.page_people(two)
+    assert [r["title"] for r in rows.where("page_id = 1").orderBy("place").collect()] == [p["title"] for p in one_by_one]
+    assert markup.with_people(pages.limit(0)).count() == 0
+    spark.udtf.register("people_of", markup.PeopleOf)
+    pages.createOrReplaceTempView("team_pages")
+    assert spark.sql("SELECT page_id, name FROM team_pages, LATERAL people_of(html, '')").count() == 4
