@@ -13,7 +13,7 @@ from ..operators import records as E
 from ..operators import retrieve as V
 from ..operators.lineage import scratch
 from ..schemas import SOURCE_CLASSES
-from ..sources import buckets, entities, postings, readers, recorded, sinks
+from ..sources import archives, buckets, entities, postings, readers, recorded, sinks
 from . import cycle
 from .firms import FIRMS, audit, records
 from .library import AS_OF, query, table
@@ -137,6 +137,40 @@ def bm25_questions(spark, d):
     return found.select(F.col("question").alias("item_id"), F.col("key").alias("doc_id"), "rank", F.round("score", 6).alias("bm25"))
 
 
+def _zipped(folder: str):
+    """Writes a group of customers as an archive of three CSV members, in Latin-1 and each with a header of its own."""
+
+    def write(rows):
+        import csv
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        headers = (("CRD", "Legal Name", "Segment"), ("Segment", "CRD", "Legal Name"), ("Legal Name", "CRD"))
+        where = archives.place(f"{folder}/{rows['g'].iat[0]}.zip")
+        where[0].create_dir(where[1].rpartition("/")[0], recursive=True)
+        with where[0].open_output_stream(where[1]) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, header in enumerate(headers):
+                text, mine = io.StringIO(), rows[rows["c_custkey"] % 3 == i].sort_values("c_custkey")
+                table = {"CRD": mine["c_custkey"], "Legal Name": 'Société "' + mine["c_name"] + '", SA', "Segment": " " + mine["c_mktsegment"]}
+                csv.writer(text).writerows([header, *zip(*[table[h] for h in header], strict=True)])
+                z.writestr(f"base_{i}.csv", text.getvalue().encode("latin-1"))
+        return pd.DataFrame({"written": [len(rows)]})
+
+    return write
+
+
+@query("""SELECT 'base_' || c_custkey % 3 || '.csv' AS member, row_number() OVER (PARTITION BY c_custkey // 500, c_custkey % 3 ORDER BY c_custkey) - 1 AS number, c_custkey::BIGINT AS crd, 'Société "' || c_name || '", SA' AS legal_name, CASE WHEN c_custkey % 3 <> 2 THEN c_mktsegment END AS segment FROM customer""")
+def archive_members(spark, d):
+    """SRC-11: ZIP archives of the customers, 500 keys each, read back with a partition for each member; headers differ, a column is missing in one"""
+    folder = scratch(spark)
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.floor(F.col("c_custkey") / 500).alias("g"))
+    rows.groupBy("g").applyInPandas(_zipped(folder), "written long").agg(F.sum("written")).collect()
+    found = archives.zipped_csv(spark, folder, {"CRD": "crd", "Legal Name": "legal_name", "Segment": "segment"})
+    return found.select("member", "number", F.col("crd").cast("long").alias("crd"), "legal_name", "segment")
+
+
 def _sources(k: Column) -> dict[str, tuple[Column, Column]]:
     """What a customer is on a recorded page of each kind, and how its page puts a list of them."""
     name, s, held = F.concat(F.lit("Firm "), k.cast("string")), lambda c: c.cast("string"), F.struct

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import iso_date
 from ..functions.text import split_list
 from ..schemas import CONFIDENCE_RANK, DELIVERY, LABEL, MFO, RECORD, SFO, SOURCE_CLASSES, UNDETERMINED
+from .archives import zipped_csv, zipped_text  # noqa: F401
 
 
 def verification(cell: Column, as_of: Column) -> Column:
@@ -123,30 +124,6 @@ def adviser_filings(spark: SparkSession, path: str, columns: dict[str, str]) ->
     return rows.select(*[F.trim(F.regexp_replace(F.col(f"`{old}`"), '^"|"$', "")).alias(new) for old, new in columns.items()])
 
 
-def zipped_text(spark: SparkSession, path: str, encoding: str = "latin-1") -> DataFrame:
-    """(file, member, line) of the text members of ZIP archives. (SRC-11)"""
-    import io
-    import zipfile
-
-    def lines(batches):
-        import pandas as pd
-
-        for b in batches:
-            for p, raw in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for m in z.namelist():
-                        with z.open(m) as f:
-                            part: list[str] = []
-                            for line in io.TextIOWrapper(f, encoding):
-                                part.append(line.rstrip("\r\n"))
-                                if len(part) == 50_000:
-                                    yield pd.DataFrame({"file": p, "member": m, "line": part})
-                                    part = []
-                            yield pd.DataFrame({"file": p, "member": m, "line": part})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "file string, member string, line string")
-
-
 def lookup(spark: SparkSession, path: str, value_schema: str, key: str = "key") -> DataFrame:
     """A JSON object of objects as (key, fields). (SRC-12)"""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,struct<{value_schema}>>")).alias(key, "v"))
