@@ -14,7 +14,7 @@ from ..operators import retrieve as V
 from ..operators.lineage import scratch
 from ..schemas import SOURCE_CLASSES
 from ..sources import archives, buckets, entities, postings, readers, recorded, sinks
-from . import cycle
+from . import answer, cycle, guard
 from .firms import FIRMS, audit, records
 from .library import AS_OF, query, table
 
@@ -316,3 +316,42 @@ def teaser(spark, d):
     """SRT-08: the three fullest records"""
     rows = records(spark, d).withColumn("present", F.when(_k() % 4 == 0, 3).when(_k() % 4 == 1, 2).when(_k() % 4 == 2, 1).otherwise(0) + C.filled(F.col("hq_phone")).cast("int"))
     return relations.top(rows, 3, F.desc("present"), _k()).select("fo_id", "present")
+
+
+@query(FIRMS + """, x AS (SELECT fo_id, estimated_aum, record_confidence, CASE k % 4 WHEN 0 THEN (k % 900 + 1) * 1000000 WHEN 1 THEN (k % 9 + 1) * 1000000000 + 500000000 ELSE -1 END AS size FROM f) SELECT fo_id, estimated_aum FROM x ORDER BY size DESC, fo_id LIMIT 40""")
+def directory_by_size(spark, d):
+    """SRT-07 NUM-03: the first page of the directory, the largest first; sizes are read out of their texts"""
+    return relations.sorted_directory(records(spark, d), "estimated_aum", "size", True, "fo_id").limit(40).select("fo_id", "estimated_aum")
+
+
+@query(FIRMS + " SELECT fo_id, record_confidence FROM f ORDER BY CASE record_confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END DESC, fo_id LIMIT 40")
+def directory_by_confidence(spark, d):
+    """SRT-07: the first page of the directory, the surest first"""
+    return relations.sorted_directory(records(spark, d), "record_confidence", "confidence", True, "fo_id").limit(40).select("fo_id", "record_confidence")
+
+
+@query(FIRMS + f""", x AS (SELECT fo_id, name, fo_type, coalesce(fo_type_evidence <> '', false) AS ev, record_confidence AS rc, coalesce(investment_thesis <> '', false) AS th,
+list_contains(list_transform(investing_sectors, lambda s: lower(s)), 'building') OR coalesce(contains(lower(investment_thesis), 'building'), false) OR coalesce(contains(lower(description), 'building'), false) AS sm,
+coalesce(lower(hq_state) IN ('tx', 'france'), false) OR coalesce(lower(hq_country) IN ('tx', 'france'), false) AS gm, len(verification_sources) AS ns, len(signals) AS ng,
+CASE WHEN coalesce(principal_email <> '', false) AND coalesce(principal_email_status, '') <> 'could_not_verify' THEN 'principal_email' WHEN principal_linkedin <> '' THEN 'principal_linkedin' WHEN principal_phone <> '' THEN 'principal_phone' END AS route, date_diff('day', data_as_of, DATE '{AS_OF}') AS days FROM f),
+y AS (SELECT *, coalesce(days > 400, false) AS stale FROM x WHERE gm), z AS (SELECT *,
+round(greatest(0.0, least(1.0, (CASE WHEN sm THEN 0.35 ELSE 0 END + 0.10 + CASE WHEN ev THEN 0.15 ELSE 0 END + CASE rc WHEN 'High' THEN 0.20 WHEN 'Medium' THEN 0.10 ELSE 0 END + CASE WHEN ns >= 2 THEN 0.10 WHEN ns = 1 THEN 0.03 ELSE 0 END + CASE WHEN ng > 0 THEN 0.05 ELSE 0 END + CASE WHEN route IS NOT NULL THEN 0.05 ELSE 0 END - CASE WHEN stale THEN 0.10 ELSE 0 END))), 3)::DOUBLE AS fit_score,
+list_filter([CASE WHEN NOT sm THEN 'no stated sector/thesis match for the requested sector(s)' END, CASE WHEN NOT ev THEN 'no affirmative family-office classification evidence on file' END, CASE WHEN ns < 1 THEN 'zero independent verification sources on file' END,
+CASE WHEN route IS NULL THEN 'no named-person contact route (generic firm inbox does not count)' END, CASE WHEN stale THEN 'record data is ' || days || ' days old (>400-day staleness bar)' END], lambda r: r IS NOT NULL) AS reasons,
+CASE WHEN fo_type = 'Undetermined' AND NOT ev THEN 'insufficient' WHEN stale THEN 'stale' WHEN ns = 0 AND NOT sm THEN 'insufficient' WHEN ns <= 1 OR NOT sm OR NOT th THEN 'thin' ELSE 'sufficient' END AS uncertainty FROM y)
+SELECT fo_id, fit_score, uncertainty, route, name || ': ' || uncertainty || ' evidence; ' || CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'all evidence that the mandate asks for is on file' END AS explanation FROM z ORDER BY fit_score DESC, fo_id LIMIT 60""")
+def goal_ranking(spark, d):
+    """RAG-06 RAG-07 JOIN-16 SRT-02 CLS-05 CLS-06: the records that fit a mandate best, each with its reasons"""
+    got = answer.rank(records(spark, d), {"sectors": ["Building"], "geography": ["TX", "France"]}, AS_OF, 60)
+    return got.select("fo_id", "fit_score", "uncertainty", F.col("contact_route.kind").alias("route"), "explanation")
+
+
+@query(FIRMS + """, i AS (SELECT fo_id, k FROM f WHERE len(could_not_verify) > 0) SELECT fo_id, CASE WHEN k % 7 = 3 OR k % 9 = 0 THEN 'resolved' ELSE 'pending' END AS status, CASE WHEN k % 7 = 3 THEN 'mailbox seen' WHEN k % 9 = 0 THEN 'profile seen' END AS resolution FROM i""")
+def review_queue(spark, d):
+    """GOV-07: what could not be verified waits until it is decided; the later decision counts, decisions on what does not wait say nothing"""
+    firms = records(spark, d)
+    queue = guard.queued(firms.where(F.size("could_not_verify") > 0).select("fo_id"))
+    seen = lambda column, said, at: firms.where(F.col(column) != "").select("fo_id", F.lit(said).alias("resolution"), F.lit(at).alias("ordinal"))
+    status = firms.where("principal_email_status IS NOT NULL").select("fo_id", F.lit("mailbox seen").alias("resolution"), F.lit(2).alias("ordinal"))
+    decided = guard.resolved(queue, seen("corporate_linkedin", "profile seen", 1).unionByName(status), "fo_id")
+    return decided.select("fo_id", "status", "resolution")
