@@ -635,3 +635,15 @@ def page_people(spark, d):
     team = F.concat(s("<section>"), F.array_join(F.transform(F.sequence(s(0).cast("long"), k % 4 + 1), card), ""), s("</section><footer>"))
     rows = H.with_people(pages.withColumn("html", F.replace("html", s("<footer>"), team)), "html", F.col("host"))
     return rows.select("page_id", "place", "name", "title", "email", "linkedin", "verdict")
+
+
+@query(FIRMS + f""", f1 AS (SELECT * REPLACE (CASE WHEN ok THEN principal_email END AS principal_email, CASE WHEN ok THEN principal_email_status END AS principal_email_status, CASE WHEN ok THEN proofs ELSE list_filter(proofs, lambda p: p.field <> 'principal_email') END AS proofs)
+FROM (SELECT *, coalesce(principal_email = 'jane@firm.example.com' AND principal_name <> '', false) AS ok FROM f)){_GATES.replace('FROM f LEFT', 'FROM f1 AS f LEFT')}
+SELECT fo_id, principal_email, len(proofs)::INTEGER AS n_proofs FROM g WHERE len(failed) = 0 AND {_GOOD} >= 2 AND fo_type <> 'Undetermined' AND {_has('fo_type_evidence')} AND fo_type_confidence = 'High' AND NOT {_has('hq_phone')}""")
+def released_records(spark, d):
+    """GOV-06 JOIN-04 JOIN-05 JOIN-06 GOV-03: approved records that pass the gates and are not out yet, without the mailboxes that review did not clear"""
+    from . import cycle
+
+    firms = records(spark, d)
+    out = cycle.release(firms, cycle.decide(firms), cycle.contact_decisions(firms), firms.where(P.filled(F.col("hq_phone"))), audit(firms))
+    return out.released.select("fo_id", "principal_email", F.size("provenance").alias("n_proofs"))
