@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 OPEN, SHUT, NEXT, CLOSE = "<turn ", ">", "<next>", "</turn>\n"
 #: Escapes inside roles and texts: after them no text holds < or >, so no text can hold a mark of the template.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
+#: Places are summed within blocks of so many texts, then over the blocks, so a long conversation does not cost the square of its turns.
+BLOCK = 256
 
 
 def escape(c: Column) -> Column:
@@ -53,21 +55,33 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
 
     rows = rows.withColumn("messages", F.transform("_from", message))
     rows = rows.withColumn("pieces", F.flatten(F.transform("messages", pieces)))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))
+    rows = rows.withColumn("_sizes", F.transform("pieces", lambda p: F.struct(*[F.char_length(p[x]).cast("long").alias(x) for x in ("head", "body", "tail")], p.trained.alias("trained"))))
+    rows = rows.withColumn("_blocks", _blocks(F.col("_sizes")))
+    rows = rows.withColumn("_lengths", F.transform("_blocks", lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, p: n + p.head + p.body + p.tail)))
+
+    def after(acc: Column, length: Column) -> Column:
+        return F.struct((acc.at + length).alias("at"), F.concat(acc.begins, F.array(acc.at)).alias("begins"))
 
     def place(acc: Column, p: Column) -> Column:
-        begin = acc.at + F.char_length(p.head).cast("long")
-        length = F.char_length(p.body).cast("long")
-        span = F.struct(begin.alias("start"), length.alias("length"))
-        return F.struct((begin + length + F.char_length(p.tail)).alias("at"), F.when(p.trained, F.concat(acc.loss, F.array(span))).otherwise(acc.loss).alias("loss"))
+        begin = acc.at + p.head
+        span = F.struct(begin.alias("start"), p.body.alias("length"))
+        return F.struct((begin + p.body + p.tail).alias("at"), F.when(p.trained, F.concat(acc.loss, F.array(span))).otherwise(acc.loss).alias("loss"))
 
+    begins = F.aggregate("_lengths", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("begins")), after).begins
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
     return rows.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.body, p.tail)), "").alias("formatted"),
-        F.aggregate("pieces", start, place).loss.alias("loss"),
+        F.flatten(F.zip_with("_blocks", begins, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("loss")), place).loss)).alias("loss"),
     )
 
 
+def _blocks(items: Column) -> Column:
+    """An array in pieces of BLOCK, at least one: what appends to an array, or seeks in a text, does so within a piece."""
+    last = F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, BLOCK))
+
+
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted string: array of (role, text)."""
     messages = F.filter(F.split(formatted, "</turn>\n"), lambda m: m != "")
@@ -81,8 +95,18 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, (s.start + 1).cast("int"), s.length.cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between.
+
+    A place in a text is found by counting from its start, so the stretch of each block of spans is cut out once.
+    """
+    end = lambda s: s.start + s.length
+    cut = lambda text, start, length: F.substring(text, (start + 1).cast("int"), length.cast("int"))
+    stretches = F.transform(
+        F.filter(_blocks(loss), lambda b: F.size(b) > 0),
+        lambda b: F.struct(b.alias("spans"), F.get(b, F.lit(0)).start.alias("base"), cut(formatted, F.get(b, F.lit(0)).start, end(F.element_at(b, -1)) - F.get(b, F.lit(0)).start).alias("text")),
+    )
+    said = F.transform(stretches, lambda x: F.array_join(F.transform(x.spans, lambda s: unescape(cut(x.text, s.start - x.base, s.length))), ""))
+    return F.array_join(said, "")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,10 @@ def test_long_conversation(spark):
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = out.select(F.size(chat.read_back(F.col("formatted"))).alias("n"), F.size("loss").alias("l"), (F.size(F.split("formatted", "</turn>\n")) - 1).alias("m")).first()
     assert (got["n"], got["l"], got["m"]) == (6000, sum(r[2] == "assistant" for r in rows), 9)
+    few = spark.createDataFrame([(c, t, "user" if t % 5 == 0 else "assistant", f"<{t}>") for c, n in enumerate((1, 2, chat.BLOCK, chat.BLOCK + 1, 3 * chat.BLOCK)) for t in range(n)], "conv_id long, turn long, role string, text string")
+    said = chat.format_conversations(few).select("conv_id", "loss", chat.loss_text(F.col("formatted"), F.col("loss")).alias("t"))
+    want = few.where("role = 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "").alias("t"))
+    assert {r["conv_id"]: r["t"] for r in said.collect()} == {0: ""} | {r["conv_id"]: r["t"] for r in want.collect()}
 
 
 def test_chat_digest(spark, sf_dir):
