@@ -7,7 +7,7 @@ import os
 import threading
 import time
 from collections.abc import Callable
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -56,10 +56,38 @@ class Marker:
             return "acquired"
         except FileExistsError:
             now = self.read()
-        if now is not None and now.get("owner") != self.owner and self.clock() - now.get("at", 0) < self.stale_s:
+        if now is not None and now.get("owner") == self.owner:
+            self.beat()
+            return "acquired"
+        if not self._stale(now):
             return "skipped"
-        self.beat()
-        return "acquired" if now is not None and now.get("owner") == self.owner else "taken_over"
+        return "taken_over" if self._take_over(now) else "skipped"
+
+    def _stale(self, now: dict | None) -> bool:
+        if now is not None:
+            return self.clock() - now.get("at", 0) >= self.stale_s
+        try:
+            return time.time() - os.stat(self.path).st_mtime >= self.stale_s  # broken, or not yet written by the one that made it
+        except OSError:
+            return True
+
+    def _take_over(self, found: dict | None) -> bool:
+        """Replace a stale marker: of several drivers that found it, one holds the claim, and it looks again before it writes."""
+        claim = f"{self.path}.claim"
+        try:
+            open(claim, "x").close()
+        except FileExistsError:
+            with suppress(OSError):
+                if time.time() - os.stat(claim).st_mtime >= self.stale_s:  # whoever held it is gone; the next call may have it
+                    os.remove(claim)
+            return False
+        try:
+            if self.read() != found:
+                return False
+            self.beat()
+            return True
+        finally:
+            os.remove(claim)
 
     def release(self) -> None:
         now = self.read()

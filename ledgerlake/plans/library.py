@@ -304,8 +304,8 @@ def bands(spark, d):
 def cosine_topk(spark, d):
     """NUM-05 SRT-01: one query vector against all"""
     vectors = table(spark, d, "embeddings")
-    q = vectors.where("vec_id = 0").select("embedding").first()["embedding"]
-    return R.top(V.cosine_to(vectors, q), 10, F.desc("cosine"), "vec_id").select("vec_id", F.round("cosine", 6).alias("cosine"))
+    asked = vectors.where("vec_id = 0").select("embedding").first()
+    return R.top(V.cosine_to(vectors if asked else vectors.limit(0), asked["embedding"] if asked else []), 10, F.desc("cosine"), "vec_id").select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
 BM25_SQL = """q AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id = 1), qt AS (SELECT term, count(*) AS qn FROM q GROUP BY term), t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),
@@ -315,8 +315,8 @@ b AS (SELECT c.doc_id, sum(idf * qn * f * 2.5 / (f + 1.5 * (1 - 0.75 + 0.75 * n
 
 
 def _bm25(spark, d):
-    q = table(spark, d, "benchmark").where("item_id = 1").select(X.tokens(F.col("text")).alias("t")).first()["t"]
-    return V.bm25(table(spark, d, "documents"), q)
+    asked = table(spark, d, "benchmark").where("item_id = 1").select(X.tokens(F.coalesce("text", F.lit(""))).alias("t")).first()
+    return V.bm25(table(spark, d, "documents"), asked["t"] if asked else [])
 
 
 @query(f"""WITH {BM25_SQL} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20""")
@@ -452,7 +452,7 @@ def metadata_filter(spark, d):
     first = table(spark, d, "nation").agg(F.min("n_name")).first()[0]
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.select("c_custkey", F.col("c_mktsegment").alias("fo_type"), F.col("n_name").alias("hq_country"), F.col("c_acctbal").cast("long").alias("aum_usd"), F.array(F.lower("c_mktsegment")).alias("sectors"))
-    return rows.where(P.meta_matches({"fo_type": "BUILDING", "hq_country": first.upper(), "aum_min": 100, "sectors": "build"})).select("c_custkey")
+    return rows.where(P.meta_matches({"fo_type": "BUILDING", "hq_country": (first or "").upper(), "aum_min": 100, "sectors": "build"})).select("c_custkey")
 
 
 @query()

@@ -18,6 +18,30 @@ def test_marker(tmp_path):
     assert b.read() is None
 
 
+def test_one_takes_over(tmp_path):
+    import threading
+
+    for turn in range(20):
+        path = str(tmp_path / f"m{turn}")
+        guard.Marker(path, 10, lambda: 0.0).acquire()
+        markers = [guard.Marker(path, 10, lambda: 50.0) for _ in range(8)]
+        together, said = threading.Barrier(8), []
+
+        def work(m, together=together, said=said):
+            together.wait()
+            said.append(m.acquire())
+
+        threads = [threading.Thread(target=work, args=(m,)) for m in markers]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert sorted(said) == ["skipped"] * 7 + ["taken_over"]
+    broken = tmp_path / "broken"
+    broken.write_text("{")
+    assert guard.Marker(str(broken), 3600).acquire() == "skipped" and guard.Marker(str(broken), -1).acquire() == "taken_over"
+
+
 def test_lock_deadline_walk():
     with guard.single_cycle(), pytest.raises(RuntimeError), guard.single_cycle():
         pass
