@@ -6,6 +6,7 @@ import json
 import os
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager, suppress
 from datetime import datetime, timezone
@@ -33,7 +34,7 @@ class Marker:
     """A heartbeat file that says which driver is at work; a stale one is taken over. (CYC-09)"""
 
     def __init__(self, path: str, stale_s: float = 900, clock: Callable[[], float] = time.time):
-        self.path, self.stale_s, self.clock, self.owner = path, stale_s, clock, f"{os.getpid()}-{id(self)}"
+        self.path, self.stale_s, self.clock, self.owner = path, stale_s, clock, f"{os.getpid()}-{uuid.uuid4().hex}"
 
     def read(self) -> dict | None:
         try:
