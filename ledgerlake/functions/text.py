@@ -130,6 +130,11 @@ def _first_of_each(values: Column, key) -> Column:
     return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == (i + 1).cast("long"))
 
 
+def mailboxes(text: Column) -> Column:
+    """Every mailbox in a text, in lower case and each once, whatever it is for. (TXT-15)"""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), F.lit(0)), F.lower))
+
+
 def own_emails(text: Column, url: Column | None = None) -> Column:
     """Mailboxes that a site publishes on its own domain, role inboxes first, each once. (TXT-15)"""
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), F.lit(0)), lambda e: F.regexp_replace(e, r"^\.+|\.+$", ""))

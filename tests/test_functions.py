@@ -63,6 +63,20 @@ def test_mailboxes(spark):
     assert one(spark, X.company_profile(F.lit("linkedin.com/company/jobs linkedin.com/company/alder-x"))) == "https://www.linkedin.com/company/alder-x"
 
 
+def test_mailboxes_of_texts_are_all_counted(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["rtestn.5@mail5.example.com", ".a.b@x.example.org a.b@x.example.org A.B@x.example.org", "noreply@x.org", "x@y.zz a@b.png", "none", "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in entry.queries()["own_mailboxes"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == set(db.execute(entry.oracle_sql()["own_mailboxes"]).fetchall())
+    assert dict(got) == {0: 1, 1: 2, 2: 1, 3: 2}
+
+
 def test_thesis(spark):
     good = "We invest with a long-term approach to preserve wealth for each generation of the family."
     assert one(spark, X.thesis(F.lit("Home About Team Contact. " + good + " Read our privacy policy."))) == good
