@@ -31,8 +31,8 @@ BROADCAST_IDS = 2_000_000
 BLOCK = 64 << 20
 #: The model is cut by hash into shards of about so many n-grams, and a shard answers so many blocks in one task.
 SHARD_ROWS, BLOCKS_PER_TASK = 500_000, 256
-#: A task counts so many different n-grams before it passes them on.
-HELD_GRAMS = 1_200_000
+#: A task counts so many different n-grams before it passes them on, in batches of so many rows.
+HELD_GRAMS, GRAMS_PER_BATCH = 1_200_000, 1 << 16
 _STEPS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -99,14 +99,19 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def out(part: list[np.ndarray]) -> pa.RecordBatch:
+        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             code, gram, c = part[1:]
+            part.clear()
             near = np.zeros(len(gram), np.uint64)  # n-grams that begin alike stand together, which shuffle files store in less
             for k in range(min(4, gram.shape[1])):
                 near = near << np.uint64(16) | gram[:, k].astype(np.uint64) & np.uint64(0xFFFF)
             order = np.argsort(near)
-            return pa.record_batch([pa.array(code[order]), as_strings(gram[order]), pa.array(c[order])], ["code", "gram", "c"])
+            del near
+            for a in range(0, len(order), GRAMS_PER_BATCH):  # strings of all at once would take more memory than the counts
+                some = order[a : a + GRAMS_PER_BATCH]
+                yield pa.record_batch([pa.array(code[some]), as_strings(gram[some]), pa.array(c[some])], ["code", "gram", "c"])
 
+        fresh = 0
         for b in batches:
             data, off = flat(b.column("text"))
             code, taught = b.column("code").to_numpy(), b.column("taught").to_numpy(zero_copy_only=False)
@@ -120,12 +125,15 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
                 first = order[begin]
                 times = np.add.reduceat(np.repeat(taught[lo:hi], n)[order], begin, dtype=np.int64)
                 held.append([key[first], own[first], np.column_stack([c[first] for c in reversed(columns)]), times])
-            if sum(len(h[0]) for h in held) > 2 * HELD_GRAMS:
-                held.append(_merged(held))
-                if len(held[0][0]) > HELD_GRAMS:
-                    yield out(held.pop())
+                fresh += len(first)
+                del columns, own, key, order, first, times
+                if fresh > HELD_GRAMS // 2:
+                    fresh = 0
+                    held.append(_merged(held))
+                    if len(held[0][0]) > HELD_GRAMS * 5 // 4:
+                        yield from out(held.pop())
         if held:
-            yield out(_merged(held))
+            yield from out(_merged(held))
 
     return docs.select("text", "code", "taught").mapInArrow(tidy(gather), "code long, gram string, c long").groupBy("code", "gram").agg(F.sum("c").alias("c"))
 
@@ -165,10 +173,15 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
         else:
             asked = asked.withColumn("short", suffix(k - 1)).join(lower, ["code", "short"])
         p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.greatest(c - discount, F.lit(0.0)) + F.col("left") * F.col("below")) / F.col("total"))
-        lower = asked.select("code", F.col("gram").alias("short"), p.alias("below"))
-    model = settle(lower.select("code", F.col("short").alias("gram"), F.log("below").cast("float").alias("logp")))
-    for k in range(1, order):
-        discard(rows[k])
+        below = lower
+        if k == order:
+            model = settle(asked.select("code", "gram", F.log(p).cast("float").alias("logp")))
+        else:  # each order is a query of its own: its shuffle files go, and no plan holds them all
+            lower = settle(asked.select("code", F.col("gram").alias("short"), p.alias("below")))
+            discard(rows[k])
+        if below is not None:
+            discard(below)
+        discard(found)
     return model
 
 
@@ -330,7 +343,7 @@ class Lookup:
     EMPTY = np.int64(-1)
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        bits = max(4, int(2 * len(key)).bit_length())
+        bits = max(4, int(1.5 * len(key)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, self.EMPTY, np.int64), np.zeros(1 << bits, np.float32)
         todo, at = np.arange(len(key)), self.place(key)
