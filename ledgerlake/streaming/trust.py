@@ -1,64 +1,63 @@
-"""Trust across cycles as a stream: each firm's last snapshot is its state, and what changed comes out. (CYC-01 to CYC-03, CYC-06)"""
+"""Trust across cycles as a stream: each firm's last snapshot is kept in a store in buckets, and what changed comes out. (CYC-01 to CYC-03, CYC-06)"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.classify import trust_reason
-from ..operators.lineage import setting
+from ..operators.lineage import stored
 from ..schemas import TRUST_FIELDS
+from ..sources import buckets
+from .events import each_batch
 
 #: A drop: a snapshot of the released firms, with the number of its cycle.
 DROP = "fo_id string, " + ", ".join(f"{f} string" for f in TRUST_FIELDS) + ", n_sources int, cycle long"
-CHANGES = "fo_id string, cycle long, fewer boolean, changed array<struct<field:string,was:string,now:string>>"
 FIELDS = (*TRUST_FIELDS, "n_sources")
-_STATE = "cycle long, " + ", ".join(f"{f} string" for f in FIELDS)
-
-
-class TrustMemory(StatefulProcessor):
-    """A firm's rows in the order of their cycles, each against the one before. A firm that a cycle left out begins anew, as it has nothing to contradict."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", _STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self._last.get() if self._last.exists() else None
-        out = []
-        for r in pd.concat(rows).sort_values("cycle", kind="stable").to_dict("records"):
-            cycle = int(r["cycle"])
-            if last is not None and cycle <= last[0]:
-                continue  # a cycle that was seen already
-            now = tuple(None if pd.isna(r[f]) else str(int(r[f])) if f == "n_sources" else str(r[f]) for f in FIELDS)
-            if last is not None and last[0] == cycle - 1:
-                changed = [{"field": f, "was": was, "now": is_} for f, was, is_ in zip(FIELDS, last[1:], now, strict=True) if was != is_]
-                if changed:
-                    out.append((key[0], cycle, int(now[-1] or 0) < int(last[-1] or 0), changed))
-            last = (cycle, *now)
-        self._last.update(last)
-        yield pd.DataFrame(out, columns=["fo_id", "cycle", "fewer", "changed"])
 
-    def close(self) -> None:
-        pass
+def against_last(rows: DataFrame, last: DataFrame | None) -> DataFrame:
+    """(fo_id, cycle, fields, was) for rows(fo_id, cycle, fields, place): was is the firm's snapshot before, of rows or else of last(fo_id, cycle, fields).
 
-
-def changes(drops: DataFrame) -> DataFrame:
-    """(fo_id, cycle, reason, changed) of a stream of drops: what differs from the cycle before, with the weightiest reason.
-
-    Rows of one firm and cycle are one: the first in the drop counts. Rows without a fo_id or a cycle are left out. State
-    is a row for each firm ever seen, in RocksDB, whose versions are in the checkpoint folder.
+    Of a firm's rows of one cycle the first by place counts. Cycles that are not after the firm's last one were seen
+    already and are left out, as are rows without a fo_id or a cycle. A firm's rows are as many as the drops have cycles.
     """
-    rows = drops.where("fo_id <> '' AND cycle IS NOT NULL")
-    out = rows.groupBy("fo_id").transformWithStateInPandas(TrustMemory(), CHANGES, "Append", "None")
-    return out.select("fo_id", "cycle", trust_reason(F.col("fewer")).alias("reason"), "changed")
+    known = rows.where("fo_id <> '' AND cycle IS NOT NULL")
+    first = known.groupBy("fo_id", "cycle").agg(F.min_by(F.struct(*FIELDS), "place").alias("r")).select("fo_id", "cycle", "r.*")
+    all_ = first.withColumn("_old", F.lit(False))
+    if last is not None:
+        all_ = all_.unionByName(last.join(known.select("fo_id"), "fo_id", "left_semi").withColumn("_old", F.lit(True)))
+    firm = Window.partitionBy("fo_id")
+    seen = F.max(F.when(F.col("_old"), F.col("cycle"))).over(firm)
+    new = all_.withColumn("_seen", seen).where(F.col("_old") | F.col("_seen").isNull() | (F.col("cycle") > F.col("_seen")))
+    was = F.lag(F.struct("cycle", *FIELDS)).over(firm.orderBy("cycle"))
+    return new.withColumn("was", was).where("NOT _old").drop("_old", "_seen")
+
+
+def changes(placed: DataFrame) -> DataFrame:
+    """(fo_id, cycle, reason, changed) of against_last(): what differs from the cycle before, with the weightiest reason. A firm that a cycle left out begins anew, as it has nothing to contradict."""
+    change = lambda f: F.when(~F.col(f"was.{f}").eqNullSafe(F.col(f)), F.struct(F.lit(f).alias("field"), F.col(f"was.{f}").cast("string").alias("was"), F.col(f).cast("string").alias("now")))
+    fewer = F.coalesce("n_sources", F.lit(0)) < F.coalesce("was.n_sources", F.lit(0))
+    rows = placed.where("was.cycle = cycle - 1").select("fo_id", "cycle", fewer.alias("fewer"), F.array_compact(F.array(*[change(f) for f in FIELDS])).alias("changed"))
+    return rows.where(F.size("changed") > 0).select("fo_id", "cycle", trust_reason(F.col("fewer")).alias("reason"), "changed")
+
+
+def advance(batch: DataFrame, number: int, target: str, state: str) -> None:
+    """The changes of a batch of drops as target/batch=number, then the firms' last snapshots. A batch that broke off writes the same again; one that was done changes nothing."""
+    spark, version = batch.sparkSession, f"v{number}"
+    about = buckets.manifest(spark, state)
+    if about is not None and version in about["versions"]:
+        return
+    placed = stored(against_last(batch, None if about is None else buckets.read(spark, state)))
+    changes(placed).write.mode("overwrite").parquet(f"{target}/batch={number}")
+    buckets.upsert(placed.drop("was").withColumn("_at", F.col("cycle")), state, "fo_id", "_at", version)
 
 
 def follow(spark: SparkSession, drops: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> None:
-    """Append the changes of all drops that came since the last call; a restart reads no drop twice."""
+    """Add the changes of all drops that came since the last call to target; a restart reads no drop twice.
+
+    The state is a row for each firm ever seen, in buckets beside the checkpoint's log; a batch rewrites those it touches.
+    """
     stream = spark.readStream.schema(DROP).option("maxFilesPerTrigger", files_per_batch).parquet(drops)
-    with setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
-        changes(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("place")
+    each_batch(stream.select("*", place), lambda batch, number: advance(batch, number, target, f"{checkpoint}/firms"), checkpoint)

@@ -82,6 +82,23 @@ def test_trust_as_a_stream(spark, tmp_path):
     assert got["f4", 3][1] == [("fo_type", "M", "S"), ("principal_email", "y", "x")]
 
 
+def test_trust_batch_that_broke_off(spark, tmp_path):
+    """Without its version in the state's pointer a batch is done again and gives the same; done twice, it changes nothing. No Python runs for each firm."""
+    target, state = str(tmp_path / "changes"), str(tmp_path / "state")
+    at = lambda *rows: drop(spark, list(rows)).withColumn("place", F.monotonically_increasing_id())
+    trust.advance(at(("f1", 0, 2, {"fo_type": "S"}), ("f2", 0, 2, {})), 0, target, state)
+    for undone in (False, True, False):
+        if undone:
+            sinks.put_pointer(spark, state, "v0")
+        trust.advance(at(("f1", 1, 1, {"fo_type": "M"}), ("f3", 1, 1, {})), 1, target, state)
+        got = spark.read.parquet(target).select("fo_id", "cycle", F.col("changed.field").alias("f")).collect()
+        assert [tuple(r) for r in got] == [("f1", 1, ["fo_type", "n_sources"])]
+    trust.advance(at(("f1", 2, 1, {"fo_type": "M"}), ("f2", 2, 0, {}), ("f3", 2, None, {})), 2, target, state)
+    assert sorted((r["fo_id"], r["cycle"]) for r in spark.read.parquet(target).collect()) == [("f1", 1), ("f3", 2)]
+    plan = trust.changes(trust.against_last(at(("f1", 0, 2, {})), None))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_trust_reason_orders(spark):
     rows = spark.createDataFrame([([("principal_phone", "a", "b"), ("record_confidence", "a", "b")],), ([("estimated_aum", None, "1")],)], "changed array<struct<field:string,was:string,now:string>>")
     assert [r[0].split()[0] for r in rows.select(classify.trust_reason(F.lit(False))).collect()] == ["record", "a"]
