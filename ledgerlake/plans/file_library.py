@@ -194,11 +194,11 @@ def discovered_stream(spark, d):
     folder, k = scratch(spark), F.col("c_custkey")
     for kind, (one, page) in _sources(k).items():
         rows = table(spark, d, "customer").groupBy(F.floor(k / 50).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), one.alias("r")))), lambda x: x.r).alias("rows"))  # 50 a page
-        written = rows.select("page", F.to_json(page(F.col("rows"))).alias("value"))
+        written = rows.select("page", F.to_json(page(F.col("rows"))).alias("content"))
         for drop in (0, 1):
-            written.where(F.col("page") % 2 == drop).write.mode("append").partitionBy("page").text(f"{folder}/{kind}")
-            recorded.follow(spark, kind, f"{folder}/{kind}", f"{folder}/store", f"{folder}/checkpoint/{kind}")
-    recorded.follow(spark, "edgar", f"{folder}/edgar", f"{folder}/store", f"{folder}/checkpoint/edgar")
+            written.where(F.col("page") % 2 == drop).withColumn("page", F.lpad(F.col("page").cast("string"), 19, "0")).write.mode("append").json(f"{folder}/{kind}")
+            recorded.follow(spark, kind, f"{folder}/{kind}", f"{folder}/store", f"{folder}/checkpoint/{kind}", packed=True)
+    recorded.follow(spark, "edgar", f"{folder}/edgar", f"{folder}/store", f"{folder}/checkpoint/edgar", packed=True)
     return spark.read.parquet(f"{folder}/store").select("key", "name")
 
 

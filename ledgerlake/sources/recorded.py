@@ -133,15 +133,22 @@ def _parsed(rows: DataFrame, kind: str) -> DataFrame:
     return out.withColumn("name", without_cik(F.col("name"))).withColumn("_k", F.coalesce("source_key", norm_name(F.col("name")))).where("_k <> ''")
 
 
-def follow(spark: SparkSession, kind: str, folder: str, store: str, checkpoint: str, files_per_batch: int = 1000) -> None:
+def follow(spark: SparkSession, kind: str, folder: str, store: str, checkpoint: str, files_per_batch: int = 1000, packed: bool = False) -> None:
     """Add the candidates of all pages that came to folder since the last call to store, each identifier or name once. (SRC-14 to SRC-20, CYC-04)
 
+    A page is a file, or with packed a row {"page", "content"} of files of JSON lines: listing, logging and opening a file
+    for each page is most of the time where pages are many.
+
     The pages are a stream of files, whose log in the checkpoint folder holds the offsets, so a restart reads no page
     twice; a batch that broke off is read again and adds what is not there yet. Within a batch the first page by name
     counts. The store is keyed by kind:identifier or kind:name.
     """
-    files = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
-    rows = _parsed(files.select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("content")), kind)
+    stream = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+    if packed:
+        found = stream.schema("page string, content string").json(folder).where("page IS NOT NULL AND content IS NOT NULL")
+    else:
+        found = stream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("content"))
+    rows = _parsed(found, kind)
     kept = rows.withColumn("key", F.concat(F.lit(f"{kind}:"), "_k")).withColumn("source_class", F.lit(SOURCE_CLASSES[CLASSES[kind]])).drop("_k")
     each_batch(kept, lambda batch, _: insert_new(batch.withColumn("_order", F.struct("page", "place")), store, "key", "_order") and None, checkpoint)
 
