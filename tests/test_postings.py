@@ -74,3 +74,31 @@ def test_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, "a"), (5, "b " * 5000), (6, "c"), (7, "d"), (8, "e"), (None, "a")], "doc_id long, text string")
     assert postings.add(docs, folder, "x") == 8
     assert found(postings.Index(spark, folder), q, 3) == by_hand(docs.where("doc_id IS NOT NULL"), q, 3)
+
+
+def test_texts_are_cut_up_once(spark, tmp_path, docs):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    assert postings.add(docs.mapInArrow(counted, docs.schema), str(tmp_path), "a") == 1500
+    assert seen.value == 1500
+
+
+def test_scores_of_a_group_are_its_best(spark, tmp_path, monkeypatch, docs):
+    """A group of chunks gives the k best of each question, not a row for each document; blocks of questions and keys of text change nothing."""
+    folder, i = str(tmp_path), F.col("doc_id")
+    named = docs.withColumn("doc_id", F.concat_ws("_", F.lit("k"), (i % 7).cast("string"), i.cast("string")))
+    monkeypatch.setattr(postings, "QUESTIONS", 2)
+    postings.add(named, folder, "a")
+    q = spark.createDataFrame([(n, f"the w{n} w{n} w{n + 1}") for n in range(6)], "question_id int, text string")
+    index = postings.Index(spark, folder)
+    asked, first, left = index.plan(q, 3)
+    groups, chunks = 2 * spark.sparkContext.defaultParallelism, left.select("chunk").distinct().count()
+    scored = index._scores(asked, left, 3).groupBy("question").count().collect()
+    assert chunks > 5 and scored and all(r["count"] < min(chunks, groups) * 10 for r in scored)
+    got = {(r["question"], r["key"], round(r["score"], 6)) for r in index.search(q, 3).collect()}
+    assert got == by_hand(named, q, 3)
