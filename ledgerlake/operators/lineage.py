@@ -51,6 +51,20 @@ def few(df: DataFrame) -> DataFrame:
     return broadcast(kept) if kept.count() <= FEW else kept
 
 
+def sized(kept: DataFrame) -> DataFrame:
+    """kept, which is stored, to be broadcast if it has at most FEW rows; else to be grown()."""
+    return broadcast(kept) if kept.count() <= FEW else grown(kept)
+
+
+def grown(df: DataFrame) -> DataFrame:
+    """df, which grows with the input, to be sorted and merged with what it is joined with.
+
+    Spark takes a stored table to be as large as its packed files. A few MB of these can be a million rows, which it would
+    broadcast, so that the driver builds them whole; once a join is planned so, adaptive execution leaves it.
+    """
+    return df.hint("merge")
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """The session with name set to value; afterwards it is as it was."""

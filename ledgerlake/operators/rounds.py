@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import few, stored
+from .lineage import grown, sized, stored
 
 #: Fixed values, in the order in which they count: identifiers that name a firm, and hints that name its place.
 ID_KEYS = ("cik", "ein", "qid", "domain")
@@ -98,14 +98,14 @@ def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     The guess is the first row with one of a row's identifiers, else with its name and place. It only saves rounds.
     """
     pairs = _pairs(rows)
-    values = few(pairs.groupBy("k", "v").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    values = sized(stored(pairs.groupBy("k", "v").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")))
     asked = stored(pairs.join(values, ["k", "v"]))
     by_id = asked.groupBy("ordinal").agg(F.min("first").alias("a"))
     place = F.coalesce("geo", F.lit("")).alias("g")
     names = rows.where("key <> ''").groupBy("key", place).agg(F.min("ordinal").alias("first"), F.count("*").alias("n"))
-    often = few(names.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").drop("n"))
-    firsts = few(names.join(often, "key", "left_semi").where("n > 1").select(F.col("key").alias("_k"), F.col("g").alias("_g"), "first"))
-    found = rows.join(by_id, "ordinal", "left").join(often.select(F.col("key").alias("_key")), F.col("key") == F.col("_key"), "left").join(firsts, (F.col("key") == F.col("_k")) & (place == F.col("_g")), "left")
+    often = sized(stored(names.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").drop("n")))
+    firsts = sized(stored(names.join(often, "key", "left_semi").where("n > 1").select(F.col("key").alias("_k"), F.col("g").alias("_g"), "first")))
+    found = rows.join(grown(by_id), "ordinal", "left").join(often.select(F.col("key").alias("_key")), F.col("key") == F.col("_key"), "left").join(firsts, (F.col("key") == F.col("_k")) & (place == F.col("_g")), "left")
     first = F.coalesce(F.when(F.col("a") < F.col("ordinal"), F.col("a")), F.col("first"), F.col("ordinal"))
     out = found.select(*[F.coalesce(F.col("_key"), F.lit("")).alias("key") if c == "key" else c for c in rows.columns], first.alias("firm"), F.lit("").alias("basis"))
     return stored(out), asked.drop("first"), values.drop("first")
@@ -115,13 +115,13 @@ def _round(rows: DataFrame, asked: DataFrame, values: DataFrame, keysets: list[i
     """rows with firm and basis decided anew; was is the firm before."""
     firms = stored(_firms(rows))
     now = (F.col("since") < F.col("ordinal")) & (F.col("until").isNull() | (F.col("ordinal") <= F.col("until")))
-    by_id = asked.join(few(_holders(firms, values).withColumnRenamed("firm", "found")), ["k", "v"]).where(now).groupBy("ordinal").agg(F.min(F.struct("found", "k")).alias("id"))
-    known = stored(rows.join(by_id, "ordinal", "left"))
+    by_id = asked.join(sized(stored(_holders(firms, values).withColumnRenamed("firm", "found"))), ["k", "v"]).where(now).groupBy("ordinal").agg(F.min(F.struct("found", "k")).alias("id"))
+    known = stored(rows.join(grown(by_id), "ordinal", "left"))
     places = F.when(F.col("geo").isNull(), F.array(F.lit(_ALL))).otherwise(F.array(F.concat(F.lit(_AT), "geo"), F.lit(_NOWHERE)))
     open_ = known.where("id IS NULL AND key <> ''").select("ordinal", "key", F.col("keyset").alias("asked"), F.explode(places).alias("place"))
-    by_name = open_.join(few(_reigns(firms, keysets).withColumnRenamed("firm", "found")), ["key", "place", "asked"]).where(now).groupBy("ordinal").agg(F.min("found").alias("same"))
+    by_name = open_.join(sized(stored(_reigns(firms, keysets).withColumnRenamed("firm", "found"))), ["key", "place", "asked"]).where(now).groupBy("ordinal").agg(F.min("found").alias("same"))
     basis = F.when(F.col("id").isNotNull(), F.concat(F.lit("identifier:"), F.element_at(F.array(*[F.lit(k) for k in _SORTED]), F.col("id.k") + 1))).when(F.col("same").isNotNull(), "name+geo").otherwise("")
-    out = known.join(by_name, "ordinal", "left")
+    out = known.join(grown(by_name), "ordinal", "left")
     return out.withColumn("was", F.col("firm")).withColumn("firm", F.coalesce(F.col("id.found"), F.col("same"), F.col("ordinal"))).withColumn("basis", basis).drop("id", "same")
 
 
